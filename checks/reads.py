@@ -162,8 +162,8 @@ def _(camp, link, src):
 
 @check("campaign_recipient_lists", "J3", "campaign campaign_link referral_source",
        """SELECT c.id AS campaign_id, count(l.referralSourceId) AS recipients,
-            coalesce(string_agg(concat(l.referralSourceId, ':', coalesce(s.name, '?')), ',' ORDER BY l.referralSourceId), '')
-              AS names
+            coalesce(string_agg(concat(l.referralSourceId, ':', coalesce(s.name, '?')), ',' ORDER BY l.referralSourceId)
+              FILTER (l.referralSourceId IS NOT NULL), '') AS names
           FROM campaign c LEFT JOIN campaign_link l ON l.campaignId = c.id
           LEFT JOIN referral_source s ON s.id = l.referralSourceId GROUP BY c.id""")
 def _(camp, link, src):
