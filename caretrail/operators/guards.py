@@ -20,24 +20,20 @@ def guard_exists(req: DataFrame, table: DataFrame, on: str | list[str]) -> tuple
 def flag_duplicate_name(req: DataFrame, clinic: DataFrame) -> DataFrame:
     """``req`` (requestId, seq, id?, name) with ``duplicate``: the name belongs to another clinic already, or an
     earlier request of the batch takes it. ``id`` is null for a new clinic; a clinic may keep its own name.
+
+    What a name's fate depends on is worked out per name, from rows combined before they move; only then do the
+    requests meet it, so a name asked for very often can be split.
     """
-    id_type = F.lit(None).cast("string")
-    asked = req if "id" in req.columns else req.withColumn("id", id_type)
+    asked = req if "id" in req.columns else req.withColumn("id", F.lit(None).cast("string"))
     owners = clinic.groupBy("name").agg(F.min("id").alias("_owner"))
-    taken = F.col("_owner").isNotNull() & ~F.coalesce(F.col("_owner") == F.col("id"), F.lit(False))
-    checked = asked.join(owners, "name", "left").withColumn("_taken", taken)
-    first = (
-        checked.where(~F.col("_taken"))
-        .groupBy("name")
-        .agg(F.min_by(F.struct("requestId", "id"), F.struct("seq", "requestId")).alias("_first"))
-    )
-    is_first = (F.col("_first.requestId") == F.col("requestId")) | F.coalesce(
-        F.col("_first.id") == F.col("id"), F.lit(False)
-    )
-    late = ~F.coalesce(is_first, F.lit(False)) & F.col("name").isNotNull()
-    return checked.join(first, "name", "left").select(
-        *req.columns, (F.col("_taken") | late).alias("duplicate")
+    firsts = asked.where(F.col("name").isNotNull()).groupBy("name").agg(
+        F.min_by(F.struct("requestId", "id"), F.struct("seq", "requestId")).alias("_first")
     )
+    fate = firsts.join(owners, "name", "left")
+    own = F.coalesce(F.col("_owner") == F.col("id"), F.lit(False))
+    first = (F.col("_first.requestId") == F.col("requestId")) | F.coalesce(F.col("_first.id") == F.col("id"), F.lit(False))
+    duplicate = F.when(F.col("_owner").isNotNull(), ~own).otherwise(F.coalesce(~first, F.lit(False)))
+    return asked.join(fate, "name", "left").select(*req.columns, duplicate.alias("duplicate"))
 
 
 def guard_unique_name(req: DataFrame, clinic: DataFrame) -> tuple[DataFrame, DataFrame]:

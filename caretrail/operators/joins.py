@@ -54,14 +54,15 @@ def with_childless(parent: DataFrame, child: DataFrame, key: str, joined: DataFr
 def nest(flat: DataFrame, key: str, order: str, items: str, page_size: int = PAGE) -> DataFrame:
     """Rows of a key as arrays of about ``page_size``: (key, page, pages, <items>).
 
-    A key with few rows gives one page. A hot one gives many, spread by hash, so no task holds all its rows.
+    A key with few rows gives one page. A hot one gives many, spread by hash, so no task holds all its rows. The
+    exchange on key and page is asked for: grouping would otherwise stay on the join's exchange, which has the key alone.
     """
     sizes = flat.groupBy(key).agg(F.ceil(F.count(F.col(items)) / page_size).cast("int").alias("pages"))
     paged = flat.join(sizes, key).select(
         key, items, F.greatest("pages", F.lit(1)).alias("pages"),
         F.coalesce(F.pmod(F.xxhash64(order), F.greatest("pages", F.lit(1))), F.lit(0)).cast("int").alias("page"),
     )
-    return paged.groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(items)).alias(items))
+    return paged.repartition(key, "page").groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(items)).alias(items))
 
 
 def campaign_recipients(

@@ -119,6 +119,9 @@ def fold_patches(req: DataFrame, spec: dict[str, Field], tz: str) -> DataFrame:
 def apply_patches(
     table: DataFrame, ok: DataFrame, rejects: DataFrame, spec: dict[str, Field], as_of: datetime | str, tz: str
 ) -> Change:
+    """Fold the sound requests and lay them over the table. Requests for unknown ids find no row here; they are among
+    ``rejects``, which come from a join of their own. So many patches of one row are folded before any of them moves.
+    """
     folded = fold_patches(ok, spec, tz)
 
     def merged(joined: DataFrame) -> DataFrame:

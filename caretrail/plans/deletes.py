@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caretrail.operators.aggregates import linked_counts
 from caretrail.operators.joins import key_set
-from caretrail.plans.change import Change, first_reason, mark_known, split_rejects
+from caretrail.plans.change import Change, mark_known
 from caretrail.plans.patches import CAMPAIGN_MISSING, CLINIC_MISSING, INTERACTION_MISSING, SOURCE_MISSING
 
 SOURCE_FAILED = "Failed to delete referral source"
@@ -29,46 +29,48 @@ def _without(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(gone, key, "left_anti").select(*table.columns)
 
 
-def _known(req: DataFrame, table: DataFrame, missing: str) -> tuple[DataFrame, DataFrame]:
-    marked = mark_known(req, table, "id", "_known").withColumn("reason", first_reason((~F.col("_known"), missing)))
-    return split_rejects(marked)
+def _ids(req: DataFrame, table: DataFrame) -> DataFrame:
+    """Distinct ids asked for that are in the table. Repeats are dropped before anything moves."""
+    return key_set(req, "id").join(table.select("id"), "id", "left_semi")
+
+
+def _missing(req: DataFrame, table: DataFrame, reason: str) -> DataFrame:
+    marked = mark_known(req.select("requestId", "id"), table, "id", "_known")
+    return marked.where(~F.col("_known")).select("requestId", F.lit(reason).alias("reason"))
 
 
 def delete_interactions(req: DataFrame, inter: DataFrame) -> Change:
-    ok, rejects = _known(req, inter, INTERACTION_MISSING)
-    ids = key_set(ok, "id")
-    return Change(_without(inter, ids), ids, rejects)
+    ids = _ids(req, inter)
+    return Change(_without(inter, ids), ids, _missing(req, inter, INTERACTION_MISSING))
 
 
 def delete_campaigns(req: DataFrame, camp: DataFrame, link: DataFrame) -> LinkedDelete:
     """Campaigns with all their links."""
-    ok, rejects = _known(req, camp, CAMPAIGN_MISSING)
-    ids = key_set(ok, "id")
-    return LinkedDelete(_without(camp, ids), _without(link, ids, "campaignId"), ids, rejects)
+    ids = _ids(req, camp)
+    return LinkedDelete(
+        _without(camp, ids), _without(link, ids, "campaignId"), ids, _missing(req, camp, CAMPAIGN_MISSING)
+    )
 
 
 def delete_sources(req: DataFrame, src: DataFrame, link: DataFrame, inter: DataFrame) -> LinkedDelete:
     """Sources with their links; one that has interactions is refused, and then nothing of it is removed."""
-    marked = mark_known(req, src, "id", "_known")
-    used = key_set(inter, F.col("referralSourceId").alias("id")).withColumn("_used", F.lit(True))
-    marked = marked.join(used, "id", "left").withColumn(
-        "reason",
-        first_reason((~F.col("_known"), SOURCE_MISSING), (F.coalesce(F.col("_used"), F.lit(False)), SOURCE_FAILED)),
+    known = _ids(req, src)
+    used = known.join(key_set(inter, F.col("referralSourceId").alias("id")), "id", "left_semi")
+    ids = known.join(used, "id", "left_anti")
+    refused = req.select("requestId", "id").join(used, "id", "left_semi")
+    rejects = _missing(req, src, SOURCE_MISSING).unionByName(
+        refused.select("requestId", F.lit(SOURCE_FAILED).alias("reason"))
     )
-    ok, rejects = split_rejects(marked)
-    ids = key_set(ok, "id")
     return LinkedDelete(_without(src, ids), _without(link, ids, "referralSourceId"), ids, rejects)
 
 
 def delete_clinics(req: DataFrame, clinic: DataFrame, src: DataFrame) -> Change:
     """Clinics no source belongs to; the others are refused with the number of their sources."""
-    marked = mark_known(req, clinic, "id", "_known")
     counts = linked_counts(clinic, src, "clinicLocationId")
+    ids = _ids(req, clinic).join(counts, "id", "left_anti")
     refusal = F.concat(
         F.lit("Cannot delete clinic location. "), F.col("count").cast("string"),
         F.lit(" referral source(s) are linked to this location."),
     )
-    reason = F.when(~F.col("_known"), F.lit(CLINIC_MISSING)).otherwise(refusal)
-    ok, rejects = split_rejects(marked.join(counts, "id", "left").withColumn("reason", reason))
-    ids = key_set(ok, "id")
-    return Change(_without(clinic, ids), ids, rejects)
+    refused = req.select("requestId", "id").join(counts, "id").select("requestId", refusal.alias("reason"))
+    return Change(_without(clinic, ids), ids, _missing(req, clinic, CLINIC_MISSING).unionByName(refused))

@@ -5,14 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretrail.functions.defaults import with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
-from caretrail.operators.joins import key_set
 from caretrail.plans.change import (
-    Change, Field, apply_patches, blank, first_reason, has, mark_known, split_rejects, value, with_body,
+    Change, Field, apply_patches, blank, first_reason, mark_known, split_rejects, value, with_body,
 )
 from caretrail.plans.creates import recipient_ids
 from caretrail.schemas import LINK_KEY, conform
@@ -71,7 +70,7 @@ COVER_FIELDS = {
 }
 
 
-def _wrong(spec: dict[str, Field], tz: str):
+def _wrong(spec: dict[str, Field], tz: str) -> Column:
     bad = F.lit(False)
     for key, field in spec.items():
         bad = bad | F.coalesce(field.bad(key, tz), F.lit(False))
@@ -84,84 +83,78 @@ def _dangling(rows: DataFrame, key: str, parent: DataFrame | None) -> DataFrame:
     return known.withColumn(f"_{key}", F.col(f"_{key}") | value(key).isNull())
 
 
+def _patch(
+    rows: DataFrame, table: DataFrame, spec: dict[str, Field], as_of: datetime | str, tz: str,
+    early: list[tuple[Column, str]], missing: str, late: list[tuple[Column, str]],
+) -> Change:
+    """Reasons in order: ``early`` checks, unknown id, ``late`` checks."""
+    rows = rows.withColumn("_early", first_reason(*early)).withColumn("_late", first_reason(*late))
+    sound = rows.where(F.col("_early").isNull() & F.col("_late").isNull())
+    checked = mark_known(rows.select("requestId", "id", "_early", "_late"), table, "id", "_known")
+    unknown = F.when(~F.col("_known"), F.lit(missing))
+    rejects = split_rejects(checked.withColumn("reason", F.coalesce("_early", unknown, "_late")))[1]
+    return apply_patches(table, sound, rejects, spec, as_of, tz)
+
+
+def _unreadable() -> Column:
+    return F.col("b").isNull()
+
+
 def patch_sources(
     req: DataFrame, src: DataFrame, as_of: datetime | str, clinics: DataFrame | None = None,
     categories: DataFrame | None = None, tz: str = "UTC",
 ) -> Change:
-    rows = mark_known(with_body(req), src, "id", "_known")
-    rows = _dangling(_dangling(rows, "clinicLocationId", clinics), "categoryId", categories)
-    reason = first_reason(
-        (F.col("b").isNull(), SOURCE_FAILED),
-        (~F.col("_known"), SOURCE_MISSING),
-        (_wrong(SOURCE_FIELDS, tz) | ~F.col("_clinicLocationId") | ~F.col("_categoryId"), SOURCE_FAILED),
+    rows = _dangling(_dangling(with_body(req), "clinicLocationId", clinics), "categoryId", categories)
+    wrong = _wrong(SOURCE_FIELDS, tz) | ~F.col("_clinicLocationId") | ~F.col("_categoryId")
+    return _patch(
+        rows, src, SOURCE_FIELDS, as_of, tz, [(_unreadable(), SOURCE_FAILED)], SOURCE_MISSING, [(wrong, SOURCE_FAILED)]
     )
-    ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return apply_patches(src, ok, rejects, SOURCE_FIELDS, as_of, tz)
 
 
 def patch_interactions(
     req: DataFrame, inter: DataFrame, as_of: datetime | str, src: DataFrame | None = None, tz: str = "UTC"
 ) -> Change:
-    rows = _dangling(mark_known(with_body(req), inter, "id", "_known"), "referralSourceId", src)
-    reason = first_reason(
-        (F.col("b").isNull(), INTERACTION_FAILED),
-        (~F.col("_known"), INTERACTION_MISSING),
-        (_wrong(INTERACTION_FIELDS, tz) | ~F.col("_referralSourceId"), INTERACTION_FAILED),
+    rows = _dangling(with_body(req), "referralSourceId", src)
+    wrong = _wrong(INTERACTION_FIELDS, tz) | ~F.col("_referralSourceId")
+    return _patch(
+        rows, inter, INTERACTION_FIELDS, as_of, tz, [(_unreadable(), INTERACTION_FAILED)], INTERACTION_MISSING,
+        [(wrong, INTERACTION_FAILED)],
     )
-    ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return apply_patches(inter, ok, rejects, INTERACTION_FIELDS, as_of, tz)
 
 
 def patch_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str, tz: str = "UTC") -> Change:
     """A changed name must be free: in the table, and among the earlier requests of the batch."""
-    rows = mark_known(with_body(req), clinic, "id", "_known")
-    rows = rows.withColumn(
-        "reason", first_reason((F.col("b").isNull(), CLINIC_FAILED), (~F.col("_known"), CLINIC_MISSING))
-    ).withColumn("_wrong", _wrong(CLINIC_FIELDS, tz))
-    renames = rows.where(F.col("reason").isNull() & ~F.col("_wrong") & ~blank("name")).select(
-        "requestId", "seq", "id", value("name").alias("name")
-    )
-    flags = flag_duplicate_name(renames, clinic).where(F.col("duplicate")).select("requestId", "duplicate")
-    # a request that fails anyway still reports a name that is taken in the table first
-    owners = key_set(clinic, F.col("name").alias("_name"), F.col("id").alias("_owner"))
-    checked = (
-        rows.withColumn("_name", value("name"))
-        .join(flags, "requestId", "left")
-        .join(owners.groupBy("_name").agg(F.min("_owner").alias("_owner")), "_name", "left")
+    rows = with_body(req).withColumn("_name", F.when(~blank("name"), value("name"))).withColumn(
+        "_wrong", _wrong(CLINIC_FIELDS, tz)
     )
-    taken = ~blank("name") & (F.col("_owner") != F.col("id"))
-    reason = F.coalesce(
-        F.col("reason"),
-        F.when(F.coalesce(F.col("duplicate"), taken, F.lit(False)), F.lit(DUPLICATE_CLINIC)),
-        F.when(F.col("_wrong"), F.lit(CLINIC_FAILED)),
+    # only a request that would be stored takes its name away from later ones
+    known = rows.where(~F.col("_wrong") & F.col("_name").isNotNull()).join(clinic.select("id"), "id", "left_semi")
+    renames = known.select("requestId", "seq", "id", F.col("_name").alias("name"))
+    late = flag_duplicate_name(renames, clinic).where(F.col("duplicate")).select("requestId", F.lit(True).alias("_late"))
+    owners = clinic.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_owner"))
+    rows = rows.join(owners, "_name", "left").join(late, "requestId", "left")
+    taken = F.coalesce(F.col("_late"), F.col("_owner") != F.col("id"), F.lit(False))
+    return _patch(
+        rows.withColumn("_taken", taken).drop("_late"), clinic, CLINIC_FIELDS, as_of, tz, [(_unreadable(), CLINIC_FAILED)], CLINIC_MISSING,
+        [(F.col("_taken"), DUPLICATE_CLINIC), (F.col("_wrong"), CLINIC_FAILED)],
     )
-    ok, rejects = split_rejects(checked.withColumn("reason", reason))
-    return apply_patches(clinic, ok, rejects, CLINIC_FIELDS, as_of, tz)
 
 
 def patch_campaigns(req: DataFrame, camp: DataFrame, as_of: datetime | str, tz: str = "UTC") -> Change:
-    rows = mark_known(with_body(req), camp, "id", "_known")
-    reason = first_reason(
-        (F.col("b").isNull(), CAMPAIGN_FAILED),
-        (~F.col("_known"), CAMPAIGN_MISSING),
-        (_wrong(CAMPAIGN_FIELDS, tz), CAMPAIGN_FAILED),
+    return _patch(
+        with_body(req), camp, CAMPAIGN_FIELDS, as_of, tz, [(_unreadable(), CAMPAIGN_FAILED)], CAMPAIGN_MISSING,
+        [(_wrong(CAMPAIGN_FIELDS, tz), CAMPAIGN_FAILED)],
     )
-    ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return apply_patches(camp, ok, rejects, CAMPAIGN_FIELDS, as_of, tz)
 
 
 def patch_cover_sheet(req: DataFrame, camp: DataFrame, as_of: datetime | str, tz: str = "UTC") -> Change:
     """Cover sheet settings; when switched on, sender, subject and message must be in the same request."""
-    rows = mark_known(with_body(req), camp, "id", "_known")
     on = ~F.coalesce(value("includeCoverSheet").isin("", "0", "false"), F.lit(True))
-    reason = first_reason(
-        (F.col("b").isNull(), COVER_FAILED),
-        *[(on & blank(key), text) for key, text in COVER_REQUIRED.items()],
-        (~F.col("_known"), CAMPAIGN_MISSING),
-        (_wrong(COVER_FIELDS, tz), COVER_FAILED),
+    early = [(_unreadable(), COVER_FAILED), *[(on & blank(key), text) for key, text in COVER_REQUIRED.items()]]
+    return _patch(
+        with_body(req), camp, COVER_FIELDS, as_of, tz, early, CAMPAIGN_MISSING,
+        [(_wrong(COVER_FIELDS, tz), COVER_FAILED)],
     )
-    ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return apply_patches(camp, ok, rejects, COVER_FIELDS, as_of, tz)
 
 
 class Sync(NamedTuple):

@@ -43,31 +43,40 @@ def read_delivery_stream(spark: SparkSession, path: str, files_per_trigger: int
     )
 
 
-def classify(batch: DataFrame, link: DataFrame) -> DataFrame:
-    """Events with ``reason``, null for the good ones.
-
-    The links named in the batch are looked up by a semi join that streams over the key columns of the table with the
-    batch's distinct pairs as the small side, so the table is not exchanged for a small batch.
-    """
+def well_formed(batch: DataFrame) -> DataFrame:
+    """Events with ``reason``, null where nothing is missing."""
     malformed = F.col("malformed") if "malformed" in batch.columns else F.lit(False)
     lacking = is_missing("faxId") | is_missing("status") | is_missing("campaignId") | is_missing("referralSourceId")
-    checked = batch.withColumn(
-        "reason", F.when(malformed, F.lit(MALFORMED)).when(lacking, F.lit(MISSING))
-    )
-    pairs = key_set(checked.where(F.col("reason").isNull()), *LINK_KEY)
-    known = link.select(*LINK_KEY).join(pairs, LINK_KEY, "left_semi").withColumn("_known", F.lit(True))
-    unknown = F.col("reason").isNull() & F.col("_known").isNull()
-    return (
-        checked.join(known, LINK_KEY, "left")
-        .withColumn("reason", F.when(unknown, F.lit(UNKNOWN)).otherwise(F.col("reason")))
-        .select(*batch.columns, "reason")
-    )
+    return batch.withColumn("reason", F.when(malformed, F.lit(MALFORMED)).when(lacking, F.lit(MISSING)))
+
+
+def known_links(batch: DataFrame, link: DataFrame) -> DataFrame:
+    """Keys of the links a batch names.
+
+    The distinct pairs of the batch are the small side of a semi join that streams over the two key columns of the
+    table, so the table is not exchanged for a small batch.
+    """
+    return link.select(*LINK_KEY).join(key_set(batch, *LINK_KEY), LINK_KEY, "left_semi")
 
 
 def split_invalid(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events to apply, dead letters with their reason)."""
-    checked = classify(batch, link)
-    return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
+    checked = well_formed(batch)
+    sound = checked.where(F.col("reason").isNull())
+    known = known_links(sound, link)
+    lost = sound.join(known, LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
+    dead = checked.where(F.col("reason").isNotNull()).unionByName(lost)
+    return sound.drop("reason").join(known, LINK_KEY, "left_semi"), dead.select(*batch.columns, "reason")
+
+
+def apply_events(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one change per known link, dead letters).
+
+    Events are folded before they meet the links: a link with very many events then brings one row to the join.
+    """
+    sound = well_formed(batch).where(F.col("reason").isNull())
+    changes = fold_events(sound).join(known_links(sound, link), LINK_KEY, "left_semi")
+    return changes, split_invalid(batch, link)[1]
 
 
 def fold_events(batch: DataFrame) -> DataFrame:
@@ -101,15 +110,13 @@ def run_delivery_stream(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        checked = classify(batch, read_entity(session, root, "campaign_link")).persist()
+        events = batch.persist()
         try:
-            dead = checked.where(F.col("reason").isNotNull()).select(
-                "faxId", "status", *LINK_KEY, "receivedAt", "reason"
-            )
-            changes = fold_events(checked.where(F.col("reason").isNull()))
+            changes, dead = apply_events(events, read_entity(session, root, "campaign_link"))
+            dead = dead.select("faxId", "status", *LINK_KEY, "receivedAt", "reason")
             upsert_links(session, root, changes, f"{name}-{batch_id}", dead)
         finally:
-            checked.unpersist()
+            events.unpersist()
 
     writer = (
         read_delivery_stream(spark, src, files_per_trigger)

@@ -72,8 +72,8 @@ EVENTS = """WITH good AS (SELECT e.*, CASE WHEN upper(e.status) IN ('DELIVERED',
        EVENTS + """SELECT campaignId, referralSourceId, mapped AS status, responded AS "responseAt", faxId, status AS event
          FROM ranked WHERE n = 1""")
 def _(ev, link):
-    good, _dead = delivery.split_invalid(ev, link)
-    return delivery.fold_events(good).select(
+    changes, _dead = delivery.apply_events(ev, link)
+    return changes.select(
         *LINK_KEY, "status", "responseAt", "faxId", F.col("eventStatus").alias("event"))
 
 
