@@ -73,6 +73,11 @@ def final_response(fax_id: Column | str, final_status: Column | str, details: Co
 
 def provider_fax_id(answer: Column | str, tmp_id: Column | str) -> Column:
     """Id in a provider answer: data.sentFax.id, else faxId, else id, else the temporary id."""
-    parsed = F.from_json(col(answer), PROVIDER_ANSWER)
-    found = [parsed["data"]["sentFax"]["id"], parsed["faxId"], parsed["id"]]
-    return F.coalesce(*[F.when(~v.isin("", "0"), v) for v in found], col(tmp_id))
+
+    def found(parsed: Column) -> Column:
+        ids = [parsed["data"]["sentFax"]["id"], parsed["faxId"], parsed["id"]]
+        return F.coalesce(*[F.when(~v.isin("", "0"), v) for v in ids])
+
+    # the lambda names the parsed answer, so the text is parsed once
+    once = F.transform(F.array(F.from_json(col(answer), PROVIDER_ANSWER)), found)
+    return F.coalesce(F.get(once, F.lit(0)), col(tmp_id))

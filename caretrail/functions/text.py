@@ -14,7 +14,9 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 STATE_ZIP = f"([A-Z]{{2}})[{BLANKS}]+(.+)"
-COUNTRY_SUFFIXES = ("USA", "US")
+# a country after two or more other parts
+WITH_COUNTRY = f"(?s)^([^,]*,.*),[{BLANKS}]*(?:USA|US)[{BLANKS}]*\\z"
+THREE_PARTS = "^[^,]*,[^,]*,"
 
 
 def trim_blanks(c: Column) -> Column:
@@ -31,25 +33,20 @@ def normalize_phone(c: Column | str) -> Column:
 
 
 def parse_address(c: Column | str) -> Column:
-    """One-line address to struct(address, city, state, zipCode).
-
-    Only the three parts that are used get trimmed, so the expression stays inside generated code
-    (a lambda over the parts would not).
+    """One-line address to struct(address, city, state, zipCode): the first two parts and the last one, when there are
+    three or more besides the country; otherwise all of it is the address.
     """
     text = col(c)
-    parts = F.split(text, ",", -1)
-    n = F.size(parts)
-    tail = trim_blanks(F.element_at(parts, -1))
-    has_country = (n > 2) & tail.isin(*COUNTRY_SUFFIXES)
-    kept = n - has_country.cast("int")
-    last = F.when(has_country, trim_blanks(F.get(parts, n - 2))).otherwise(tail)
+    base = F.regexp_replace(text, WITH_COUNTRY, "$1")
+    full = base.rlike(THREE_PARTS)
+    last = trim_blanks(F.substring_index(base, ",", -1))
     state = F.regexp_extract(last, STATE_ZIP, 1)
-    full = kept >= 3
+    second = F.substring_index(F.substring_index(base, ",", 2), ",", -1)
     return F.when(
         text.isNotNull(),
         F.struct(
-            F.when(full, trim_blanks(F.get(parts, F.lit(0)))).otherwise(text).alias("address"),
-            F.when(full, trim_blanks(F.get(parts, F.lit(1)))).otherwise("").alias("city"),
+            F.when(full, trim_blanks(F.substring_index(base, ",", 1))).otherwise(text).alias("address"),
+            F.when(full, trim_blanks(second)).otherwise("").alias("city"),
             F.when(full, F.coalesce(null_if_empty(state), last)).otherwise("").alias("state"),
             F.when(full, F.regexp_extract(last, STATE_ZIP, 2)).otherwise("").alias("zipCode"),
         ),

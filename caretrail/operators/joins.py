@@ -51,20 +51,28 @@ def with_childless(parent: DataFrame, child: DataFrame, key: str, joined: DataFr
     return joined.unionByName(lonely, allowMissingColumns=True)
 
 
-def nest(flat: DataFrame, key: str, order: str, items: str, page_size: int = PAGE) -> DataFrame:
-    """Rows of a key as arrays of about ``page_size``: (key, page, pages, <items>).
+def nest(flat: DataFrame, child: DataFrame, key: str, order: str, items: str, page_size: int = PAGE) -> DataFrame:
+    """Rows of a key as arrays of about ``page_size``: (key, page, pages, <items>); ``child`` holds the rows to count.
 
     A key with few rows gives one page. A hot one gives many, spread by hash, so no task holds all its rows. The
     exchange on key and page is asked for: grouping would otherwise stay on the join's exchange, which has the key alone.
     """
-    sizes = flat.groupBy(key).agg(F.ceil(F.count(F.col(items)) / page_size).cast("int").alias("pages"))
-    paged = flat.join(sizes, key).select(
-        key, items, F.greatest("pages", F.lit(1)).alias("pages"),
-        F.coalesce(F.pmod(F.xxhash64(order), F.greatest("pages", F.lit(1))), F.lit(0)).cast("int").alias("page"),
+    sizes = child.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
+    pages = F.coalesce("pages", F.lit(1))
+    paged = flat.join(sizes, key, "left").select(
+        key, items, pages.alias("pages"), F.coalesce(F.pmod(F.xxhash64(order), pages), F.lit(0)).cast("int").alias("page")
     )
     return paged.repartition(key, "page").groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(items)).alias(items))
 
 
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast once counting has shown it to hold at most ``rows`` rows; as it was otherwise.
+
+    For a persisted or otherwise cheap frame whose size the optimizer cannot know.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def campaign_recipients(
     camp: DataFrame, link: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE
 ) -> DataFrame:
@@ -82,8 +90,8 @@ def campaign_recipients(
     if not nested:
         return flat
     item = F.when(F.col("link").isNotNull(), F.struct("link.referralSourceId", "link", "source"))
-    return nest(flat.select("campaignId", item.alias("recipients")), "campaignId", "recipients.referralSourceId",
-                "recipients", page_size)
+    rows = flat.select("campaignId", item.alias("recipients"))
+    return nest(rows, link, "campaignId", "recipients.referralSourceId", "recipients", page_size)
 
 
 def clinic_roster(clinic: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE) -> DataFrame:
@@ -97,7 +105,8 @@ def clinic_roster(clinic: DataFrame, src: DataFrame, nested: bool = False, page_
     )
     if not nested:
         return flat
-    return nest(flat.withColumnRenamed("source", "sources"), "clinicLocationId", "sources.id", "sources", page_size)
+    rows = flat.withColumnRenamed("source", "sources")
+    return nest(rows, src, "clinicLocationId", "sources.id", "sources", page_size)
 
 
 def events_to_links(ev: DataFrame, link: DataFrame) -> DataFrame:

@@ -45,8 +45,11 @@ def sort_sources(df: DataFrame, field: str = "name", direction: str = "asc") ->
 
 
 def recent_interactions(inter: DataFrame, src: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` latest, with their source's name. Cut first: only ``k`` rows meet the sources, as the broadcast side."""
-    return interactions_enriched(limit_interactions(inter, k), src).orderBy(F.desc("date"), "id")
+    """The ``k`` latest, with their source's name. Cut first: only ``k`` rows meet the sources, as the broadcast side.
+
+    The closing limit drops nothing; with it the order is kept by a top-k instead of a range exchange.
+    """
+    return limit_interactions(interactions_enriched(limit_interactions(inter, k), src), k)
 
 
 def recent_campaigns(camp: DataFrame, link: DataFrame, k: int = 5) -> DataFrame:
@@ -54,4 +57,4 @@ def recent_campaigns(camp: DataFrame, link: DataFrame, k: int = 5) -> DataFrame:
     newest = newest_first(camp).limit(k)
     ids = newest.select(F.col("id").alias("campaignId"))
     counted = campaign_recipient_counts(newest, link.select("campaignId").join(ids, "campaignId"))
-    return newest_first(counted)
+    return newest_first(counted).limit(k)

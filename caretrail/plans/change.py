@@ -23,9 +23,18 @@ class Change(NamedTuple):
     rejects: DataFrame
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """``df`` with a costly column that is worked out once per row.
+
+    It comes out of a one-element explode. As a plain column it would be worked out again by every filter that the
+    optimizer moves below it.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def with_body(req: DataFrame) -> DataFrame:
     """``req`` with its JSON body as map ``b``: a key is missing, null or has a value. Unreadable text gives null."""
-    return req.withColumn("b", F.from_json("body", "map<string,string>"))
+    return once(req, "b", F.from_json("body", "map<string,string>"))
 
 
 def has(key: str) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretrail.functions.dates import parse_instant, parse_local_date
-from caretrail.functions.defaults import null_if_empty, null_if_zero, ntz, with_defaults
+from caretrail.functions.defaults import is_missing, null_if_empty, null_if_zero, ntz, with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
 from caretrail.operators.joins import key_set
-from caretrail.plans.change import Change, blank, first_reason, has, mark_known, split_rejects, value, whole_number, with_body
+from caretrail.plans.change import (
+    Change, blank, first_reason, has, mark_known, once, split_rejects, value, whole_number, with_body,
+)
 from caretrail.schemas import conform
 
 # Reasons given to the caller.
@@ -52,27 +54,38 @@ def create_sources(
     categories: DataFrame | None = None,
 ) -> Change:
     """New sources. '' and 0 are stored as null, except in fax and NPI number."""
-    numbers = ("rating", "expectedMonthlyReferrals", "numberOfProviders")
+    numbers = {"rating": value("rating").try_cast("double")}
+    numbers |= {k: whole_number(value(k)) for k in ("expectedMonthlyReferrals", "numberOfProviders")}
+    wrong = F.lit(False)
+    for k, number in numbers.items():
+        wrong = wrong | (~blank(k) & number.isNull())
     rows = with_body(req).withColumns(
         {
             "name": value("name"),
             **_filled(*SOURCE_TEXTS),
             "faxNumber": value("faxNumber"),
             "npiNumber": value("npiNumber"),
-            "rating": null_if_zero(value("rating").try_cast("double")),
-            **{k: null_if_zero(whole_number(value(k))) for k in numbers[1:]},
+            **{k: null_if_zero(number) for k, number in numbers.items()},
+            "_wrong": wrong | _unreadable(),
         }
     )
-    rows = mark_known(rows, clinics, "clinicLocationId", "_clinic")
-    rows = mark_known(rows, categories, "categoryId", "_category")
-    zero = {k: F.coalesce(value(k).try_cast("double") == 0, F.lit(False)) for k in numbers}
-    wrong = F.lit(False)
-    for k in numbers:
-        wrong = wrong | (~blank(k) & F.col(k).isNull() & ~zero[k])
-    dangling = (F.col("clinicLocationId").isNotNull() & ~F.col("_clinic")) | (
-        F.col("categoryId").isNotNull() & ~F.col("_category")
+    return insert_sources(rows, src, as_of, clinics, categories)
+
+
+def insert_sources(
+    rows: DataFrame, src: DataFrame, as_of: datetime | str, clinics: DataFrame | None = None,
+    categories: DataFrame | None = None,
+) -> Change:
+    """New sources from typed rows with ``requestId`` and ``_wrong``, which rejects a row whatever else it holds."""
+    dangling = F.lit(False)
+    for key, parent in (("clinicLocationId", clinics), ("categoryId", categories)):
+        if parent is not None:
+            rows = mark_known(rows, parent, key, f"_{key}")
+            dangling = dangling | (F.col(key).isNotNull() & ~F.col(f"_{key}"))
+    unreadable = F.col("b").isNull() if "b" in rows.columns else F.col("_wrong")
+    reason = first_reason(
+        (unreadable, SOURCE_FAILED), (is_missing("name"), NAME_REQUIRED), (F.col("_wrong") | dangling, SOURCE_FAILED)
     )
-    reason = first_reason((_unreadable(), SOURCE_FAILED), (blank("name"), NAME_REQUIRED), (wrong | dangling, SOURCE_FAILED))
     ok, rejects = split_rejects(rows.withColumn("reason", reason))
     return _finish(src, ok, "referral_source", rejects, as_of)
 
@@ -117,7 +130,7 @@ def create_campaigns(
 ) -> CampaignChange:
     """New campaigns with one PENDING link per recipient. An unknown or repeated recipient rejects the campaign."""
     document = ~blank("documentUrl")
-    rows = with_body(req).withColumns(
+    rows = once(with_body(req), "_ids", recipient_ids()).withColumns(
         {
             "name": value("name"),
             "type": value("type"),
@@ -126,7 +139,6 @@ def create_campaigns(
             "endDate": F.when(~blank("endDate"), parse_local_date(value("endDate"), tz)),
             **_filled("description", "content", "documentUrl"),
             "documentName": F.when(document, null_if_empty(value("documentName"))),
-            "_ids": recipient_ids(),
         }
     )
     wanted = rows.select("requestId", F.explode("_ids").alias("referralSourceId"))

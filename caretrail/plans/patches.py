@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caretrail.functions.defaults import with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
 from caretrail.plans.change import (
-    Change, Field, apply_patches, blank, first_reason, mark_known, split_rejects, value, with_body,
+    Change, Field, apply_patches, blank, first_reason, mark_known, once, split_rejects, value, with_body,
 )
 from caretrail.plans.creates import recipient_ids
 from caretrail.schemas import LINK_KEY, conform
@@ -208,7 +208,7 @@ def update_campaigns(
     """
     patched = patch_campaigns(req, camp, as_of, tz)
     sound = req.join(patched.rejects.select("requestId").distinct(), "requestId", "left_anti")
-    body = with_body(sound).withColumn("_ids", recipient_ids())
+    body = once(with_body(sound), "_ids", recipient_ids())
     lists = (
         body.where(F.col("_ids").isNotNull())
         .groupBy(F.col("id").alias("campaignId"))

@@ -7,11 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caretrail.functions.defaults import null_if_empty
 from caretrail.functions.text import import_note, parse_address
 from caretrail.operators.filters import min_rating, valid_details
 from caretrail.operators.places import enrich_listings, match_clinic
 from caretrail.plans.change import Change
-from caretrail.plans.creates import create_sources
+from caretrail.plans.creates import insert_sources
 
 
 def search_results(places: DataFrame, details: DataFrame, rating: float = 0) -> DataFrame:
@@ -19,29 +20,24 @@ def search_results(places: DataFrame, details: DataFrame, rating: float = 0) ->
     return valid_details(enrich_listings(min_rating(places, rating), details)).drop("status")
 
 
-def import_requests(found: DataFrame, clinics: DataFrame) -> DataFrame:
-    """Search results (id, name, address, rating, userRatingsTotal, phone, website, types) as create requests."""
-    parsed = found.withColumn("_a", parse_address("address")).withColumn("_city", F.col("_a.city"))
-    placed = match_clinic(parsed.withColumnRenamed("_city", "city"), clinics, "city")
-    body = F.to_json(
-        F.struct(
+def import_rows(found: DataFrame, clinics: DataFrame) -> DataFrame:
+    """Search results (id, name, address, rating, userRatingsTotal, phone, website, types) as rows to insert."""
+    parsed = found.withColumn("_a", parse_address("address"))
+    placed = match_clinic(
+        parsed.select(
+            F.concat(F.lit("place/"), "id").alias("requestId"),
             "name",
-            F.col("_a.address").alias("address"),
-            F.col("city"),
-            F.col("_a.state").alias("state"),
-            F.col("_a.zipCode").alias("zipCode"),
-            "clinicLocationId",
-            F.col("phone").alias("contactPhone"),
-            "website",
+            *[F.col(f"_a.{k}").alias(k) for k in ("address", "city", "state", "zipCode")],
+            null_if_empty("phone").alias("contactPhone"),
+            null_if_empty("website").alias("website"),
             import_note("rating", "userRatingsTotal", "types").alias("notes"),
-        )
-    )
-    # a listing without address or types cannot be imported: no body, so it is rejected below
-    usable = F.col("_a").isNotNull() & F.col("types").isNotNull()
-    return placed.select(
-        F.concat(F.lit("place/"), "id").alias("requestId"), F.lit(0).cast("long").alias("seq"),
-        F.when(usable, body).alias("body"),
+            # a listing without address or types cannot be imported
+            (F.col("address").isNull() | F.col("types").isNull()).alias("_wrong"),
+        ),
+        clinics,
+        "city",
     )
+    return placed.withColumns({k: null_if_empty(k) for k in ("address", "city", "state", "zipCode")})
 
 
 def import_prospects(
@@ -49,4 +45,4 @@ def import_prospects(
     rating: float = 0,
 ) -> Change:
     """Search results added to the sources. Importing a listing twice in one table is allowed, as the data is."""
-    return create_sources(import_requests(search_results(places, details, rating), clinics), src, as_of)
+    return insert_sources(import_rows(search_results(places, details, rating), clinics), src, as_of)

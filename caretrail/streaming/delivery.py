@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from caretrail.functions.defaults import is_missing
 from caretrail.functions.labels import map_event_status
 from caretrail.functions.payloads import event_response
-from caretrail.operators.joins import key_set
+from caretrail.operators.joins import few, key_set
 from caretrail.schemas import LINK_KEY
 from caretrail.session import shared_folder
 from caretrail.sources.tables import read_entity
@@ -50,33 +50,41 @@ def well_formed(batch: DataFrame) -> DataFrame:
     return batch.withColumn("reason", F.when(malformed, F.lit(MALFORMED)).when(lacking, F.lit(MISSING)))
 
 
-def known_links(batch: DataFrame, link: DataFrame) -> DataFrame:
+def known_links(batch: DataFrame, link: DataFrame, counted: bool = False) -> DataFrame:
     """Keys of the links a batch names.
 
-    The distinct pairs of the batch are the small side of a semi join that streams over the two key columns of the
-    table, so the table is not exchanged for a small batch.
+    The batch's distinct pairs go to the table, not the reverse: when they are few the semi join streams over the two
+    key columns of the table, and the table is not exchanged.
     """
-    return link.select(*LINK_KEY).join(key_set(batch, *LINK_KEY), LINK_KEY, "left_semi")
+    pairs = key_set(batch, *LINK_KEY)
+    return link.select(*LINK_KEY).join(few(pairs) if counted else pairs, LINK_KEY, "left_semi")
 
 
 def split_invalid(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events to apply, dead letters with their reason)."""
     checked = well_formed(batch)
-    sound = checked.where(F.col("reason").isNull())
-    known = known_links(sound, link)
-    lost = sound.join(known, LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
-    dead = checked.where(F.col("reason").isNotNull()).unionByName(lost)
-    return sound.drop("reason").join(known, LINK_KEY, "left_semi"), dead.select(*batch.columns, "reason")
+    known = known_links(checked.where(F.col("reason").isNull()), link)
+    return _sound(checked).join(known, LINK_KEY, "left_semi"), _dead(batch, checked, known)
 
 
-def apply_events(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sound(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("reason").isNull()).drop("reason")
+
+
+def _dead(batch: DataFrame, checked: DataFrame, known: DataFrame) -> DataFrame:
+    lost = _sound(checked).join(known, LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
+    return checked.where(F.col("reason").isNotNull()).unionByName(lost).select(*batch.columns, "reason")
+
+
+def apply_events(batch: DataFrame, link: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(one change per known link, dead letters).
 
     Events are folded before they meet the links: a link with very many events then brings one row to the join.
+    ``counted`` allows a count of the (persisted) batch to decide on a broadcast.
     """
-    sound = well_formed(batch).where(F.col("reason").isNull())
-    changes = fold_events(sound).join(known_links(sound, link), LINK_KEY, "left_semi")
-    return changes, split_invalid(batch, link)[1]
+    checked = well_formed(batch)
+    known = known_links(_sound(checked), link, counted)
+    return fold_events(_sound(checked)).join(known, LINK_KEY, "left_semi"), _dead(batch, checked, known)
 
 
 def fold_events(batch: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def run_delivery_stream(
         session = batch.sparkSession
         events = batch.persist()
         try:
-            changes, dead = apply_events(events, read_entity(session, root, "campaign_link"))
+            changes, dead = apply_events(events, read_entity(session, root, "campaign_link"), counted=True)
             dead = dead.select("faxId", "status", *LINK_KEY, "receivedAt", "reason")
             upsert_links(session, root, changes, f"{name}-{batch_id}", dead)
         finally:
