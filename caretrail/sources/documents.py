@@ -9,7 +9,7 @@ from caretrail.functions.text import base_name, file_ext
 
 
 def document_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, extension, size, stored name and URL of each file; file contents are not read.
+    """Name, extension, size, stored name and URL of each file; file contents are not read. Spark leaves out empty files.
 
     The stored name is a hash of path and time in the form of a UUID: unique, and the same on every run.
     """
