@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.operators.joins import key_set
+from caretrail.operators.joins import rekeyed
 
 DUPLICATE_CLINIC = "A clinic location with this name already exists"
 
 
 def guard_exists(req: DataFrame, table: DataFrame, on: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(requests whose key is in the table, the others)."""
+    """(requests whose key is in the table, the others); ``on`` is a key of the table."""
     on = [on] if isinstance(on, str) else on
-    keys = key_set(table, *on)
+    keys = table.select(*on)
     return req.join(keys, on, "left_semi"), req.join(keys, on, "left_anti")
 
 
@@ -25,11 +25,11 @@ def flag_duplicate_name(req: DataFrame, clinic: DataFrame) -> DataFrame:
     requests meet it, so a name asked for very often can be split.
     """
     asked = req if "id" in req.columns else req.withColumn("id", F.lit(None).cast("string"))
-    owners = clinic.groupBy("name").agg(F.min("id").alias("_owner"))
+    owners = clinic.select("name", F.col("id").alias("_owner"))
     firsts = asked.where(F.col("name").isNotNull()).groupBy("name").agg(
         F.min_by(F.struct("requestId", "id"), F.struct("seq", "requestId")).alias("_first")
     )
-    fate = firsts.join(owners, "name", "left")
+    fate = rekeyed(firsts.join(owners, "name", "left"), "name")
     own = F.coalesce(F.col("_owner") == F.col("id"), F.lit(False))
     first = (F.col("_first.requestId") == F.col("requestId")) | F.coalesce(F.col("_first.id") == F.col("id"), F.lit(False))
     duplicate = F.when(F.col("_owner").isNotNull(), ~own).otherwise(F.coalesce(~first, F.lit(False)))

@@ -1,9 +1,13 @@
 """Joins.
 
-No side is forced to be broadcast: the optimizer does so below ``spark.sql.autoBroadcastJoinThreshold``, adaptive
-execution once the true size is known, and anything larger is a sort-merge join. Such a join can only split a hot key
-on its inner, or preserved (left), side. So a table whose keys repeat without bound is always put there, and the other
-side has the key once.
+No side is forced to be broadcast unless counted (:func:`few`): the optimizer does so below
+``spark.sql.autoBroadcastJoinThreshold``, adaptive execution once the true size is known, and anything larger is a
+sort-merge join.
+
+One key may hold a large part of a table. Adaptive execution splits such a key's partition when the join is inner, or
+the hot rows are on its left; when both inputs come straight from an exchange; and when nothing above relies on the
+join's partitioning. So tables whose keys repeat without bound go left, tables with a primary key are joined as they
+are (no ``distinct`` between exchange and join), and keys worked out by an aggregate or join pass :func:`rekeyed`.
 """
 
 from __future__ import annotations
@@ -21,6 +25,15 @@ def key_set(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its (text) keys worked out anew, so that the partitioning it has by them is no longer known.
+
+    A sort-merge join on the keys then has an exchange right below it on this side too. That moves a small side once
+    more, and is what allows the hot partitions of the other side to be split. For a broadcast it changes nothing.
+    """
+    return df.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
+
+
 def as_relation(df: DataFrame, key: str, name: str, cols: list[str] | None = None) -> DataFrame:
     """A to-one partner: its key as ``_<name>`` and its columns as one struct, null after an unmatched left join."""
     return df.select(F.col("id").alias(key), F.struct(*(cols or df.columns)).alias(name))
@@ -58,6 +71,7 @@ def nest(flat: DataFrame, child: DataFrame, key: str, order: str, items: str, pa
     exchange on key and page is asked for: grouping would otherwise stay on the join's exchange, which has the key alone.
     """
     sizes = child.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
+    sizes = rekeyed(sizes.where(F.col("pages") > 1), key)
     pages = F.coalesce("pages", F.lit(1))
     paged = flat.join(sizes, key, "left").select(
         key, items, pages.alias("pages"), F.coalesce(F.pmod(F.xxhash64(order), pages), F.lit(0)).cast("int").alias("page")

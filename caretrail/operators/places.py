@@ -7,6 +7,8 @@ from math import cos, degrees, radians
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caretrail.operators.joins import rekeyed
+
 EARTH_RADIUS = 6_371_000.0
 RADIUS = 50_000
 NO_GEOCODE = "Failed to geocode location"
@@ -76,6 +78,7 @@ def _match_by_piece(df: DataFrame, names: DataFrame, city_col: str) -> DataFrame
         .groupBy("_city")
         .agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.struct("name", "id"))).alias("clinicLocationId"))
     )
+    first = rekeyed(first, "_city")
     return df.join(first, df[city_col] == first["_city"], "left").drop("_city")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from caretrail.functions.dates import parse_instant, parse_local_date
 from caretrail.functions.defaults import is_missing, null_if_empty, ntz
-from caretrail.operators.joins import key_set
 
 
 class Change(NamedTuple):
@@ -64,7 +63,7 @@ def mark_known(req: DataFrame, table: DataFrame | None, fk: str, mark: str) -> D
     """``req`` with boolean ``mark``: its ``fk`` is an id of the table. Without a table everything is known."""
     if table is None:
         return req.withColumn(mark, F.lit(True))
-    ids = key_set(table, F.col("id").alias(fk)).withColumn(mark, F.lit(True))
+    ids = table.select(F.col("id").alias(fk), F.lit(True).alias(mark))
     return req.join(ids, fk, "left").withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
 
 

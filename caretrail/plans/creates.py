@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from caretrail.functions.dates import parse_instant, parse_local_date
 from caretrail.functions.defaults import is_missing, null_if_empty, null_if_zero, ntz, with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
-from caretrail.operators.joins import key_set
 from caretrail.plans.change import (
     Change, blank, first_reason, has, mark_known, once, split_rejects, value, whole_number, with_body,
 )
@@ -182,7 +181,7 @@ def create_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str) ->
     sound = rows.where(F.col("_early").isNull())
     # only a request that would be stored takes its name away from later ones
     takers = flag_duplicate_name(sound.where(F.col("_late").isNull()).select("requestId", "seq", "name"), clinic)
-    taken = key_set(clinic, "name").withColumn("_exists", F.lit(True))
+    taken = clinic.select("name", F.lit(True).alias("_exists"))
     flagged = (
         rows.join(takers.select("requestId", "duplicate"), "requestId", "left")
         .join(taken, "name", "left")

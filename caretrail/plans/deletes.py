@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caretrail.operators.aggregates import linked_counts
-from caretrail.operators.joins import key_set
+from caretrail.operators.joins import key_set, rekeyed
 from caretrail.plans.change import Change, mark_known
 from caretrail.plans.patches import CAMPAIGN_MISSING, CLINIC_MISSING, INTERACTION_MISSING, SOURCE_MISSING
 
@@ -25,7 +25,7 @@ class LinkedDelete(NamedTuple):
 
 
 def _without(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    gone = ids.select(F.col("id").alias(key))
+    gone = rekeyed(ids.select(F.col("id").alias(key)), key)
     return table.join(gone, key, "left_anti").select(*table.columns)
 
 
@@ -57,7 +57,7 @@ def delete_sources(req: DataFrame, src: DataFrame, link: DataFrame, inter: DataF
     known = _ids(req, src)
     used = known.join(key_set(inter, F.col("referralSourceId").alias("id")), "id", "left_semi")
     ids = known.join(used, "id", "left_anti")
-    refused = req.select("requestId", "id").join(used, "id", "left_semi")
+    refused = req.select("requestId", "id").join(rekeyed(used, "id"), "id", "left_semi")
     rejects = _missing(req, src, SOURCE_MISSING).unionByName(
         refused.select("requestId", F.lit(SOURCE_FAILED).alias("reason"))
     )
@@ -72,5 +72,5 @@ def delete_clinics(req: DataFrame, clinic: DataFrame, src: DataFrame) -> Change:
         F.lit("Cannot delete clinic location. "), F.col("count").cast("string"),
         F.lit(" referral source(s) are linked to this location."),
     )
-    refused = req.select("requestId", "id").join(counts, "id").select("requestId", refusal.alias("reason"))
+    refused = req.select("requestId", "id").join(rekeyed(counts, "id"), "id").select("requestId", refusal.alias("reason"))
     return Change(_without(clinic, ids), ids, _missing(req, clinic, CLINIC_MISSING).unionByName(refused))

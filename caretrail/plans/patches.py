@@ -14,6 +14,7 @@ from caretrail.plans.change import (
     Change, Field, apply_patches, blank, first_reason, mark_known, once, split_rejects, value, with_body,
 )
 from caretrail.plans.creates import recipient_ids
+from caretrail.operators.joins import rekeyed
 from caretrail.schemas import LINK_KEY, conform
 
 # Reasons given to the caller.
@@ -131,7 +132,7 @@ def patch_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str, tz:
     known = rows.where(~F.col("_wrong") & F.col("_name").isNotNull()).join(clinic.select("id"), "id", "left_semi")
     renames = known.select("requestId", "seq", "id", F.col("_name").alias("name"))
     late = flag_duplicate_name(renames, clinic).where(F.col("duplicate")).select("requestId", F.lit(True).alias("_late"))
-    owners = clinic.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_owner"))
+    owners = clinic.select(F.col("name").alias("_name"), F.col("id").alias("_owner"))
     rows = rows.join(owners, "_name", "left").join(late, "requestId", "left")
     taken = F.coalesce(F.col("_late"), F.col("_owner") != F.col("id"), F.lit(False))
     return _patch(
@@ -182,7 +183,8 @@ def sync_recipients(
     fresh = mark_known(fresh, src.select("id") if src is not None else None, "referralSourceId", "_source")
     failed = fresh.where(F.col("_twice") | ~F.col("_source")).select("campaignId").distinct()
     rejects = failed.select("campaignId", F.lit(CAMPAIGN_FAILED).alias("reason"))
-    touched = asked.select("campaignId").distinct().join(failed, "campaignId", "left_anti")
+    failed = rekeyed(failed, "campaignId")
+    touched = rekeyed(asked.select("campaignId").distinct().join(failed, "campaignId", "left_anti"), "campaignId")
     made = fresh.join(failed, "campaignId", "left_anti").select(*LINK_KEY)
     added = conform(with_defaults(made, "campaign_link", as_of), "campaign_link")
     dropped = (

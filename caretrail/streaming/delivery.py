@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from caretrail.functions.defaults import is_missing
 from caretrail.functions.labels import map_event_status
 from caretrail.functions.payloads import event_response
-from caretrail.operators.joins import few, key_set
+from caretrail.operators.joins import few, key_set, rekeyed
 from caretrail.schemas import LINK_KEY
 from caretrail.session import shared_folder
 from caretrail.sources.tables import read_entity
@@ -64,7 +64,7 @@ def split_invalid(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFra
     """(events to apply, dead letters with their reason)."""
     checked = well_formed(batch)
     known = known_links(checked.where(F.col("reason").isNull()), link)
-    return _sound(checked).join(known, LINK_KEY, "left_semi"), _dead(batch, checked, known)
+    return _sound(checked).join(rekeyed(known, *LINK_KEY), LINK_KEY, "left_semi"), _dead(batch, checked, known)
 
 
 def _sound(checked: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _sound(checked: DataFrame) -> DataFrame:
 
 
 def _dead(batch: DataFrame, checked: DataFrame, known: DataFrame) -> DataFrame:
-    lost = _sound(checked).join(known, LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
+    lost = _sound(checked).join(rekeyed(known, *LINK_KEY), LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
     return checked.where(F.col("reason").isNotNull()).unionByName(lost).select(*batch.columns, "reason")
 
 

@@ -94,7 +94,7 @@ def _run_delivery(ev, link):
     landed, root = f"{base}/events", f"{base}/tables"
     write_snapshot(conform(link, "campaign_link"), root, "campaign_link", 0)
     body = ev.select("faxId", "status", F.struct(*LINK_KEY).alias("metadata"), "receivedAt")
-    body.repartition(6).write.json(landed)
+    body.repartition(6).write.options(timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(landed)
     query = delivery.run_delivery_stream(spark, landed, root, f"{base}/checkpoint", files_per_trigger=3)
     query.awaitTermination()
     return spark, root
@@ -126,7 +126,8 @@ def _(inter, src):
     rows = conform(inter, "interaction")
     arriving = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
     commit(spark, root, {"interaction": rows.where(~arriving), "referral_source": conform(src, "referral_source")}, "v0")
-    rows.where(arriving).repartition(4).write.json(landed)
+    whole = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows.where(arriving).repartition(4).write.options(**whole).json(landed)
     query = recent.run_recent_stream(spark, landed, root, f"{base}/checkpoint", available_now=True, files_per_trigger=2)
     query.awaitTermination()
     return recent.recent_list(spark, root).select("id", "date", F.col("sourceName").alias("source_name"))

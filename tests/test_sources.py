@@ -1,6 +1,7 @@
 """Files: snapshots and commits, requests, places, documents, JSON."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,7 @@ def test_document_catalog(spark, tmp_path):
 
 def test_write_json_keeps_nulls_and_nesting(spark, tmp_path):
     path = str(tmp_path / "out")
-    df = spark.createDataFrame([("a", None, [("x", 1)])], "id string, note string, items array<struct<k:string,v:int>>")
-    write_json(df, path)
-    assert json.loads(spark.read.text(path).first()[0]) == {"id": "a", "note": None, "items": [{"k": "x", "v": 1}]}
+    schema = "id string, note string, items array<struct<k:string,v:int>>, at timestamp_ntz"
+    write_json(spark.createDataFrame([("a", None, [("x", 1)], datetime(2024, 1, 2, 3))], schema), path)
+    assert json.loads(spark.read.text(path).first()[0]) == {
+        "id": "a", "note": None, "items": [{"k": "x", "v": 1}], "at": "2024-01-02T03:00:00.000Z"}
