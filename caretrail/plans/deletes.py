@@ -34,21 +34,21 @@ def _ids(req: DataFrame, table: DataFrame) -> DataFrame:
     return key_set(req, "id").join(table.select("id"), "id", "left_semi")
 
 
-def _missing(req: DataFrame, table: DataFrame, reason: str) -> DataFrame:
+def missing(req: DataFrame, table: DataFrame, reason: str) -> DataFrame:
     marked = mark_known(req.select("requestId", "id"), table, "id", "_known")
     return marked.where(~F.col("_known")).select("requestId", F.lit(reason).alias("reason"))
 
 
 def delete_interactions(req: DataFrame, inter: DataFrame) -> Change:
     ids = _ids(req, inter)
-    return Change(_without(inter, ids), ids, _missing(req, inter, INTERACTION_MISSING))
+    return Change(_without(inter, ids), ids, missing(req, inter, INTERACTION_MISSING))
 
 
 def delete_campaigns(req: DataFrame, camp: DataFrame, link: DataFrame) -> LinkedDelete:
     """Campaigns with all their links."""
     ids = _ids(req, camp)
     return LinkedDelete(
-        _without(camp, ids), _without(link, ids, "campaignId"), ids, _missing(req, camp, CAMPAIGN_MISSING)
+        _without(camp, ids), _without(link, ids, "campaignId"), ids, missing(req, camp, CAMPAIGN_MISSING)
     )
 
 
@@ -58,7 +58,7 @@ def delete_sources(req: DataFrame, src: DataFrame, link: DataFrame, inter: DataF
     used = known.join(key_set(inter, F.col("referralSourceId").alias("id")), "id", "left_semi")
     ids = known.join(used, "id", "left_anti")
     refused = req.select("requestId", "id").join(rekeyed(used, "id"), "id", "left_semi")
-    rejects = _missing(req, src, SOURCE_MISSING).unionByName(
+    rejects = missing(req, src, SOURCE_MISSING).unionByName(
         refused.select("requestId", F.lit(SOURCE_FAILED).alias("reason"))
     )
     return LinkedDelete(_without(src, ids), _without(link, ids, "referralSourceId"), ids, rejects)
@@ -73,4 +73,4 @@ def delete_clinics(req: DataFrame, clinic: DataFrame, src: DataFrame) -> Change:
         F.lit(" referral source(s) are linked to this location."),
     )
     refused = req.select("requestId", "id").join(rekeyed(counts, "id"), "id").select("requestId", refusal.alias("reason"))
-    return Change(_without(clinic, ids), ids, _missing(req, clinic, CLINIC_MISSING).unionByName(refused))
+    return Change(_without(clinic, ids), ids, missing(req, clinic, CLINIC_MISSING).unionByName(refused))

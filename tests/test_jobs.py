@@ -1,0 +1,122 @@
+"""The jobs end to end on one table root: request files in, committed tables out."""
+
+import json
+
+import pytest
+
+from caretrail.functions.dispatch import DispatchConfig
+from caretrail.jobs import OUTBOX, SKIPPED, Tables
+from caretrail.plans.migration import seed_clinics
+from caretrail.sources import commit, read_entity, table_paths
+from caretrail.streaming import delivery
+from caretrail.streaming.links import CHANGES
+
+AS_OF = "2024-09-01 12:00:00"
+LATER = "2024-09-01 13:00:00"
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    root = str(tmp_path / "db")
+    commit(spark, root, {"clinic_location": seed_clinics(spark, AS_OF)}, "seed")
+    return Tables(spark, root, "America/New_York")
+
+
+@pytest.fixture
+def ask(tmp_path):
+    def write(name, *requests):
+        """Requests as (id, body), one per line."""
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(
+            json.dumps({"requestId": f"{name}{n}", "seq": n, "id": key, "body": body}) for n, (key, body) in enumerate(requests)))
+        return str(path)
+
+    return write
+
+
+def names(df):
+    return {r["name"]: r for r in df.collect()}
+
+
+def test_a_campaign_from_start_to_end(spark, tmp_path, tables, ask):
+    path = ask("src", (None, {"name": "A", "faxNumber": "9105551234", "clinicLocationId": "clm1"}), (None, {"name": "B"}),
+               (None, {"name": ""}), (None, {"name": "C", "faxNumber": "9105550000"}))
+    tables.create_sources(path, "t1", AS_OF)
+    tables.create_sources(path, "t1", AS_OF)
+    src = names(tables.read("referral_source"))
+    assert set(src) == {"A", "B", "C"}
+    assert [(r.requestId, r.reason) for r in tables.rejects().collect()] == [("src2", "Name is required")]
+
+    body = {"name": "Fall", "type": "FAX", "documentUrl": "/u/d.pdf", "referralSourceIds": [r.id for r in src.values()]}
+    tables.create_campaigns(ask("camp", (None, body)), "t2", AS_OF)
+    campaign = tables.read("campaign").first().id
+    assert tables.read("campaign_link").count() == 3
+
+    ids = spark.createDataFrame([(campaign, "send0"), ("gone", "send1")], "id string, requestId string")
+    tables.send_campaigns(ids, "t3", DispatchConfig(host="h.example.com"))
+    box = spark.read.parquet(*[f"{tables.root}/{p}" for p in table_paths(spark, tables.root, OUTBOX)])
+    assert {r["name"]: r.toNumber for r in box.collect()} == {"A": "19105551234", "C": "19105550000"}
+    skipped = spark.read.parquet(*[f"{tables.root}/{p}" for p in table_paths(spark, tables.root, SKIPPED)])
+    assert [r["name"] for r in skipped.collect()] == ["B"]
+    assert ("send1", "Campaign not found") in {(r.requestId, r.reason) for r in tables.rejects().collect()}
+
+    def status():
+        back = {r.id: n for n, r in src.items()}
+        return {back[r.referralSourceId]: r.status for r in tables.read("campaign_link").collect()}
+
+    assert status() == {"A": "SENDING", "B": "PENDING", "C": "SENDING"}
+    results = spark.createDataFrame(
+        [(campaign, src["A"].id, True, "fA", None, None, None), (campaign, src["C"].id, False, None, None, "busy", None)],
+        "campaignId string, referralSourceId string, success boolean, faxId string, data string, error string, status string")
+    tables.apply_send_results(results, "t4", AS_OF)
+    assert status() == {"A": "SENT", "B": "PENDING", "C": "FAILED"}
+    assert tables.read("campaign").first().status == "ACTIVE"
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({
+        "faxId": "fC", "status": "Completed", "metadata": {"campaignId": campaign, "referralSourceId": src["C"].id},
+        "receivedAt": "2024-09-01T12:30:00"}))
+    delivery.run_delivery_stream(spark, str(tmp_path / "in"), tables.root, str(tmp_path / "ckpt")).awaitTermination()
+    assert status() == {"A": "SENT", "B": "PENDING", "C": "SENT"}
+
+    feed = spark.createDataFrame([("fA", "delivered", "{}")], "faxId string, status string, body string")
+    tables.reconcile_final(feed, "t5", LATER)
+    assert status() == {"A": "DELIVERED", "B": "PENDING", "C": "SENT"}
+    assert table_paths(spark, tables.root, CHANGES) == [], "the new version holds the streamed changes"
+
+    update = {"name": "Autumn", "referralSourceIds": [src["A"].id]}
+    tables.update_campaigns(ask("upd", (campaign, update), ("gone", {})), "t6", LATER)
+    assert status() == {"A": "DELIVERED"} and tables.read("campaign").first()["name"] == "Autumn"
+    tables.patch_cover_sheets(ask("cov", (campaign, {"includeCoverSheet": False})), "t7", LATER)
+    assert tables.read("campaign").first().includeCoverSheet is False
+
+    tables.delete_campaigns(ask("del", (campaign, None)), "t8")
+    assert tables.read("campaign").count() == tables.read("campaign_link").count() == 0
+
+
+def test_clinics_sources_and_interactions(spark, tables, ask):
+    tables.create_clinics(ask("c", (None, {"name": "Wilson"}), (None, {"name": "Wilmington"})), "t1", AS_OF)
+    assert tables.read("clinic_location").count() == 6
+    tables.create_sources(ask("s", (None, {"name": "A", "clinicLocationId": "clm2"}), (None, {"name": "B"})), "t2", AS_OF)
+    src = names(tables.read("referral_source"))
+    tables.create_interactions(
+        ask("i", (None, {"referralSourceId": src["A"].id, "type": "CALL", "date": "2024-03-01"})), "t3", AS_OF)
+    inter = tables.read("interaction").first()
+    tables.patch_interactions(ask("ip", (inter.id, {"outcome": "ok"})), "t4", LATER)
+    assert tables.read("interaction").first().outcome == "ok"
+    tables.patch_sources(ask("sp", (src["B"].id, {"name": "B2", "clinicLocationId": "nowhere"}), (src["B"].id, {"city": "x"})), "t5", LATER)
+    assert names(tables.read("referral_source"))["B"].city == "x"
+    tables.patch_clinics(ask("cp", ("clm1", {"name": "Wilson"}), ("clm3", {"isActive": False})), "t6", LATER)
+    tables.delete_clinics(ask("cd", ("clm2", None), ("clm4", None)), "t7")
+    assert {r.id for r in tables.read("clinic_location").collect()} >= {"clm1", "clm2", "clm3", "clm5"}
+    tables.delete_sources(ask("sd", (src["A"].id, None), (src["B"].id, None)), "t8")
+    assert set(names(tables.read("referral_source"))) == {"A"}
+    tables.delete_interactions(ask("id", (inter.id, None)), "t9")
+    assert tables.read("interaction").count() == 0
+    assert {r.requestId for r in tables.rejects().collect()} == {"c1", "sp0", "cp0", "cd0", "sd0"}
+
+
+def test_a_failed_job_changes_nothing(spark, tables, ask, tmp_path):
+    with pytest.raises(Exception):
+        tables.create_sources(str(tmp_path / "absent"), "t1", AS_OF)
+    assert read_entity(spark, tables.root, "referral_source").count() == 0 and tables.rejects().count() == 0
