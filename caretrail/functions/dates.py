@@ -12,7 +12,7 @@ MOMENT = (
     r"^\d{4}-(?:0[1-9]|1[0-2])(?:-(?:0[1-9]|[12]\d|3[01])"
     r"(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?)?$"
 )
-OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+EPOCH = "1970-01-01 00:00:00"
 
 # En-US date patterns of the pages.
 STYLES = {"long": "MMM d, yyyy", "short": "MMM d", "input": "yyyy-MM-dd", "utc": "yyyy-MM-dd"}
@@ -31,27 +31,34 @@ def _piece(text: Column, start: int, length: int) -> Column:
     return F.substring(text, start, length).try_cast("int")
 
 
+def _instant(text: Column) -> Column:
+    """UTC moment, to the millisecond, of text that ends in Z or an offset. Counted from 1970, so that the session's
+    zone does not come into it."""
+    millis = F.unix_millis(text.try_cast("timestamp"))
+    return F.timestamp_add("MILLISECOND", millis, F.lit(EPOCH).cast("timestamp_ntz"))
+
+
 def parse_instant(c: Column | str, tz: str = "UTC") -> Column:
     """ISO text to UTC. A bare date is UTC midnight, a time without offset is in ``tz``; other text gives null."""
     text = col(c)
-    offset = F.regexp_extract(text, OFFSET, 1)
-    body = F.regexp_replace(text, OFFSET, "")
-    day = _day(_piece(body, 1, 4), _piece(body, 6, 2), F.coalesce(_piece(body, 9, 2), F.lit(1)))
-    # sign of an offset from its first character, then hours and minutes; Z and no offset shift by nothing
-    shift = (
-        F.coalesce(_piece(offset, 2, 2), F.lit(0)) * 60 + F.coalesce(_piece(offset, -2, 2), F.lit(0))
-    ) * F.when(offset.startswith("-"), 1).otherwise(-1)
-    millis = F.rpad(F.substring(body, 21, 3), 3, "0")
-    seconds = F.concat(F.coalesce(_piece(body, 18, 2), F.lit(0)).cast("string"), F.lit("."), millis)
-    moment = day + F.make_dt_interval(
-        F.lit(0),
-        F.coalesce(_piece(body, 12, 2), F.lit(0)),
-        F.coalesce(_piece(body, 15, 2), F.lit(0)) + shift,
-        seconds.try_cast("decimal(18,6)"),
+    tail = F.substring(text, 11, 40)
+    zoned = tail.rlike("[Z+-]")
+    # Spark's own parser takes it from here; it wants a day, seconds and a zone
+    timed = F.when(F.substring(text, 17, 1) == ":", text).otherwise(
+        F.concat(F.substring(text, 1, 16), F.lit(":00"), F.substring(text, 17, 40))
+    )
+    full = (
+        F.when(F.length(text) == 7, F.concat(text, F.lit("-01T00:00:00Z")))
+        .when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when(zoned, timed)
+        .otherwise(F.concat(timed, F.lit("Z")))
     )
+    # a day beyond its month: as many days after the first
+    first = F.concat(F.substring(full, 1, 8), F.lit("01"), F.substring(full, 11, 40))
+    days = F.make_dt_interval(_piece(full, 9, 2) - 1)
+    moment = F.coalesce(_instant(full), _instant(first) + days)
     if tz != "UTC":
-        in_zone = (offset == "") & (F.length(body) > 10)
-        moment = F.when(in_zone, _to_utc(moment, tz)).otherwise(moment)
+        moment = F.when((F.length(text) > 10) & ~zoned, _to_utc(moment, tz)).otherwise(moment)
     return F.when(text.rlike(MOMENT), moment)
 
 

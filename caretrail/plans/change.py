@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -101,10 +102,10 @@ class Field:
             return parse_local_date(null_if_empty(text), tz)
         return text
 
-    def bad(self, key: str, tz: str) -> Column:
+    def bad(self, key: str) -> Column:
         """The value cannot be stored: of the wrong type, or null where the column needs one."""
-        text, typed = value(key), self.value(key, tz)
-        wrong = text.isNotNull() & typed.isNull()
+        text = value(key)
+        wrong = text.isNotNull() & F.col("v")[key].isNull()
         if self.kind == "end_date":
             wrong = wrong & (text != "")
         if self.required and self.kind != "instant":
@@ -112,25 +113,34 @@ class Field:
         return self.present(key) & wrong
 
 
-def fold_patches(req: DataFrame, spec: dict[str, Field], tz: str) -> DataFrame:
+def with_values(rows: DataFrame, spec: dict[str, Field], tz: str) -> DataFrame:
+    """``rows`` with the typed values of all patch keys as struct ``v``."""
+    return once(rows, "v", F.struct(*[field.value(key, tz).alias(key) for key, field in spec.items()]))
+
+
+def wrong_values(spec: dict[str, Field]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(f.bad(k), F.lit(False)) for k, f in spec.items()])
+
+
+def fold_patches(req: DataFrame, spec: dict[str, Field]) -> DataFrame:
     """One row per id: for every column the last value sent (null when none was). Many patches of one row are combined
     per task before they are exchanged."""
+
     def last(key: str, field: Field) -> Column:
         there = field.present(key)
-        return F.max_by(
-            F.when(there, F.struct(field.value(key, tz).alias("v"))), F.when(there, F.col("seq"))
-        ).alias(f"_{key}")
+        boxed = F.struct(F.col("v")[key].alias("v"))
+        return F.max_by(F.when(there, boxed), F.when(there, F.col("seq"))).alias(f"_{key}")
 
     return req.groupBy("id").agg(*[last(k, f) for k, f in spec.items()], F.lit(True).alias("_patched"))
 
 
 def apply_patches(
-    table: DataFrame, ok: DataFrame, rejects: DataFrame, spec: dict[str, Field], as_of: datetime | str, tz: str
+    table: DataFrame, ok: DataFrame, rejects: DataFrame, spec: dict[str, Field], as_of: datetime | str
 ) -> Change:
     """Fold the sound requests and lay them over the table. Requests for unknown ids find no row here; they are among
     ``rejects``, which come from a join of their own. So many patches of one row are folded before any of them moves.
     """
-    folded = fold_patches(ok, spec, tz)
+    folded = fold_patches(ok, spec)
 
     def merged(joined: DataFrame) -> DataFrame:
         new = {

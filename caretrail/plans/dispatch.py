@@ -133,23 +133,19 @@ def reconcile_final(
     """
     moment = ntz(as_of)
     full = _full(link, "campaign_link")
-    due = F.coalesce(
-        (F.col("status") == "SENT") & (F.col("sentAt") <= moment - F.expr(f"INTERVAL {after}")), F.lit(False)
-    )
+    due = (F.col("status") == "SENT") & (F.col("sentAt") <= moment - F.expr(f"INTERVAL {after}"))
+    # a made-up id stands for many faxes and is in no feed
+    named = F.get_json_object("response", "$.faxId")
+    waits = F.coalesce(due & ~named.startswith("unknown-"), F.lit(False))
     feed = provider_status.where(~is_missing("faxId")).groupBy("faxId").agg(
         F.max(F.struct("status", "body")).alias("_f")
     )
-    waiting = full.where(due).withColumn("faxId", F.get_json_object("response", "$.faxId"))
-    # a made-up id stands for many faxes and is in no feed
-    waiting = waiting.withColumn("faxId", F.when(~F.col("faxId").startswith("unknown-"), F.col("faxId")))
-    unnamed = waiting.where(F.col("faxId").isNull())
     found = F.col("_f").isNotNull()
-    checked = waiting.where(F.col("faxId").isNotNull()).join(feed, "faxId", "left").withColumns(
+    checked = full.where(waits).withColumn("faxId", named).join(feed, "faxId", "left").withColumns(
         {
             "status": F.when(found, map_final_status("_f.status")).otherwise(F.col("status")),
             "response": F.when(found, final_response("faxId", "_f.status", "_f.body")).otherwise(F.col("response")),
             "updatedAt": F.when(found, moment).otherwise(F.col("updatedAt")),
         }
     )
-    done = checked.select(*full.columns).unionByName(unnamed.select(*full.columns))
-    return done.unionByName(full.where(~due))
+    return checked.select(*full.columns).unionByName(full.where(~waits))

@@ -12,6 +12,7 @@ from caretrail.functions.defaults import with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
 from caretrail.plans.change import (
     Change, Field, apply_patches, blank, first_reason, mark_known, once, split_rejects, value, with_body,
+    with_values, wrong_values,
 )
 from caretrail.plans.creates import recipient_ids
 from caretrail.operators.joins import rekeyed
@@ -71,13 +72,6 @@ COVER_FIELDS = {
 }
 
 
-def _wrong(spec: dict[str, Field], tz: str) -> Column:
-    bad = F.lit(False)
-    for key, field in spec.items():
-        bad = bad | F.coalesce(field.bad(key, tz), F.lit(False))
-    return bad
-
-
 def _dangling(rows: DataFrame, key: str, parent: DataFrame | None) -> DataFrame:
     """Adds ``_<key>``: a patched foreign key names a parent, or is null."""
     known = mark_known(rows.withColumn(key, value(key)), parent, key, f"_{key}").drop(key)
@@ -85,16 +79,16 @@ def _dangling(rows: DataFrame, key: str, parent: DataFrame | None) -> DataFrame:
 
 
 def _patch(
-    rows: DataFrame, table: DataFrame, spec: dict[str, Field], as_of: datetime | str, tz: str,
+    rows: DataFrame, table: DataFrame, spec: dict[str, Field], as_of: datetime | str,
     early: list[tuple[Column, str]], missing: str, late: list[tuple[Column, str]],
 ) -> Change:
-    """Reasons in order: ``early`` checks, unknown id, ``late`` checks."""
+    """Reasons in order: ``early`` checks, unknown id, ``late`` checks. ``rows`` come from :func:`with_values`."""
     rows = rows.withColumn("_early", first_reason(*early)).withColumn("_late", first_reason(*late))
     sound = rows.where(F.col("_early").isNull() & F.col("_late").isNull())
     checked = mark_known(rows.select("requestId", "id", "_early", "_late"), table, "id", "_known")
     unknown = F.when(~F.col("_known"), F.lit(missing))
     rejects = split_rejects(checked.withColumn("reason", F.coalesce("_early", unknown, "_late")))[1]
-    return apply_patches(table, sound, rejects, spec, as_of, tz)
+    return apply_patches(table, sound, rejects, spec, as_of)
 
 
 def _unreadable() -> Column:
@@ -105,28 +99,29 @@ def patch_sources(
     req: DataFrame, src: DataFrame, as_of: datetime | str, clinics: DataFrame | None = None,
     categories: DataFrame | None = None, tz: str = "UTC",
 ) -> Change:
-    rows = _dangling(_dangling(with_body(req), "clinicLocationId", clinics), "categoryId", categories)
-    wrong = _wrong(SOURCE_FIELDS, tz) | ~F.col("_clinicLocationId") | ~F.col("_categoryId")
+    rows = with_values(with_body(req), SOURCE_FIELDS, tz)
+    rows = _dangling(_dangling(rows, "clinicLocationId", clinics), "categoryId", categories)
+    wrong = wrong_values(SOURCE_FIELDS) | ~F.col("_clinicLocationId") | ~F.col("_categoryId")
     return _patch(
-        rows, src, SOURCE_FIELDS, as_of, tz, [(_unreadable(), SOURCE_FAILED)], SOURCE_MISSING, [(wrong, SOURCE_FAILED)]
+        rows, src, SOURCE_FIELDS, as_of, [(_unreadable(), SOURCE_FAILED)], SOURCE_MISSING, [(wrong, SOURCE_FAILED)]
     )
 
 
 def patch_interactions(
     req: DataFrame, inter: DataFrame, as_of: datetime | str, src: DataFrame | None = None, tz: str = "UTC"
 ) -> Change:
-    rows = _dangling(with_body(req), "referralSourceId", src)
-    wrong = _wrong(INTERACTION_FIELDS, tz) | ~F.col("_referralSourceId")
+    rows = _dangling(with_values(with_body(req), INTERACTION_FIELDS, tz), "referralSourceId", src)
+    wrong = wrong_values(INTERACTION_FIELDS) | ~F.col("_referralSourceId")
     return _patch(
-        rows, inter, INTERACTION_FIELDS, as_of, tz, [(_unreadable(), INTERACTION_FAILED)], INTERACTION_MISSING,
+        rows, inter, INTERACTION_FIELDS, as_of, [(_unreadable(), INTERACTION_FAILED)], INTERACTION_MISSING,
         [(wrong, INTERACTION_FAILED)],
     )
 
 
 def patch_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str, tz: str = "UTC") -> Change:
     """A changed name must be free: in the table, and among the earlier requests of the batch."""
-    rows = with_body(req).withColumn("_name", F.when(~blank("name"), value("name"))).withColumn(
-        "_wrong", _wrong(CLINIC_FIELDS, tz)
+    rows = with_values(with_body(req), CLINIC_FIELDS, tz).withColumns(
+        {"_name": F.when(~blank("name"), value("name")), "_wrong": wrong_values(CLINIC_FIELDS)}
     )
     # only a request that would be stored takes its name away from later ones
     known = rows.where(~F.col("_wrong") & F.col("_name").isNotNull()).join(clinic.select("id"), "id", "left_semi")
@@ -136,15 +131,15 @@ def patch_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str, tz:
     rows = rows.join(owners, "_name", "left").join(late, "requestId", "left")
     taken = F.coalesce(F.col("_late"), F.col("_owner") != F.col("id"), F.lit(False))
     return _patch(
-        rows.withColumn("_taken", taken).drop("_late"), clinic, CLINIC_FIELDS, as_of, tz, [(_unreadable(), CLINIC_FAILED)], CLINIC_MISSING,
+        rows.withColumn("_taken", taken).drop("_late"), clinic, CLINIC_FIELDS, as_of, [(_unreadable(), CLINIC_FAILED)], CLINIC_MISSING,
         [(F.col("_taken"), DUPLICATE_CLINIC), (F.col("_wrong"), CLINIC_FAILED)],
     )
 
 
 def patch_campaigns(req: DataFrame, camp: DataFrame, as_of: datetime | str, tz: str = "UTC") -> Change:
     return _patch(
-        with_body(req), camp, CAMPAIGN_FIELDS, as_of, tz, [(_unreadable(), CAMPAIGN_FAILED)], CAMPAIGN_MISSING,
-        [(_wrong(CAMPAIGN_FIELDS, tz), CAMPAIGN_FAILED)],
+        with_values(with_body(req), CAMPAIGN_FIELDS, tz), camp, CAMPAIGN_FIELDS, as_of,
+        [(_unreadable(), CAMPAIGN_FAILED)], CAMPAIGN_MISSING, [(wrong_values(CAMPAIGN_FIELDS), CAMPAIGN_FAILED)],
     )
 
 
@@ -153,8 +148,8 @@ def patch_cover_sheet(req: DataFrame, camp: DataFrame, as_of: datetime | str, tz
     on = ~F.coalesce(value("includeCoverSheet").isin("", "0", "false"), F.lit(True))
     early = [(_unreadable(), COVER_FAILED), *[(on & blank(key), text) for key, text in COVER_REQUIRED.items()]]
     return _patch(
-        with_body(req), camp, COVER_FIELDS, as_of, tz, early, CAMPAIGN_MISSING,
-        [(_wrong(COVER_FIELDS, tz), COVER_FAILED)],
+        with_values(with_body(req), COVER_FIELDS, tz), camp, COVER_FIELDS, as_of, early, CAMPAIGN_MISSING,
+        [(wrong_values(COVER_FIELDS), COVER_FAILED)],
     )
 
 

@@ -16,6 +16,8 @@ DEFAULTS = {
     # one hot key must be split even when the split costs another exchange further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # HotSpot does not compile larger methods; the jobs that read request bodies would make some
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
