@@ -51,7 +51,7 @@ def well_formed(batch: DataFrame) -> DataFrame:
 
 
 def known_links(batch: DataFrame, link: DataFrame, counted: bool = False) -> DataFrame:
-    """Keys of the links a batch names.
+    """Keys of the links a batch names. ``counted`` allows a count of the (persisted) batch to decide on a broadcast.
 
     The batch's distinct pairs go to the table, not the reverse: when they are few the semi join streams over the two
     key columns of the table, and the table is not exchanged.
@@ -76,14 +76,13 @@ def _dead(batch: DataFrame, checked: DataFrame, known: DataFrame) -> DataFrame:
     return checked.where(F.col("reason").isNotNull()).unionByName(lost).select(*batch.columns, "reason")
 
 
-def apply_events(batch: DataFrame, link: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(one change per known link, dead letters).
+def apply_events(batch: DataFrame, link: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one change per known link, dead letters); ``known`` are the links of the batch, if looked up already.
 
     Events are folded before they meet the links: a link with very many events then brings one row to the join.
-    ``counted`` allows a count of the (persisted) batch to decide on a broadcast.
     """
     checked = well_formed(batch)
-    known = known_links(_sound(checked), link, counted)
+    known = known_links(_sound(checked), link) if known is None else known
     return fold_events(_sound(checked)).join(known, LINK_KEY, "left_semi"), _dead(batch, checked, known)
 
 
@@ -119,11 +118,15 @@ def run_delivery_stream(
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         events = batch.persist()
+        link = read_entity(session, root, "campaign_link")
+        # both outputs need the known links; the table is read for them once
+        known = known_links(_sound(well_formed(events)), link, counted=True).persist()
         try:
-            changes, dead = apply_events(events, read_entity(session, root, "campaign_link"), counted=True)
+            changes, dead = apply_events(events, link, known)
             dead = dead.select("faxId", "status", *LINK_KEY, "receivedAt", "reason")
             upsert_links(session, root, changes, f"{name}-{batch_id}", dead)
         finally:
+            known.unpersist()
             events.unpersist()
 
     writer = (

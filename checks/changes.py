@@ -433,85 +433,80 @@ def _(link, feed):
 
 # ---- deletes, migration, import ------------------------------------------------------------------------------------
 
-DELETED_INTERACTIONS = "SELECT requestId, concat('i', seq * (1 + seq % 2)) AS id FROM interaction_request WHERE seq % 4 < 2"
 
-
-@check("interactions_after_delete", "M13 J5", "interaction_request interaction",
-       f"SELECT id, type FROM interaction WHERE id NOT IN (SELECT id FROM ({DELETED_INTERACTIONS}))")
+@check("interactions_after_delete", "M13 J5", "interaction_delete interaction",
+       "SELECT id, type FROM interaction WHERE id NOT IN (SELECT id FROM interaction_delete)")
 def _(req, inter):
-    gone = req.where("seq % 4 < 2").selectExpr("requestId", "concat('i', seq * (1 + seq % 2)) AS id")
-    return deletes.delete_interactions(gone, inter).table.select("id", "type")
+    return deletes.delete_interactions(req, inter).table.select("id", "type")
 
 
-@check("rejected_interaction_deletes", "M13", "interaction_request interaction",
-       f"""SELECT "requestId", 'Interaction not found' AS reason FROM ({DELETED_INTERACTIONS})
-           WHERE id NOT IN (SELECT id FROM interaction)""")
+@check("rejected_interaction_deletes", "M13", "interaction_delete interaction",
+       """SELECT "requestId", 'Interaction not found' AS reason FROM interaction_delete
+          WHERE id NOT IN (SELECT id FROM interaction)""")
 def _(req, inter):
-    gone = req.where("seq % 4 < 2").selectExpr("requestId", "concat('i', seq * (1 + seq % 2)) AS id")
-    return deletes.delete_interactions(gone, inter).rejects
-
+    return deletes.delete_interactions(req, inter).rejects
 
-def _campaign_deletes(req, camp, link):
-    return deletes.delete_campaigns(req.where("seq % 7 = 0").select("requestId", "id"), camp, link)
 
-
-@check("campaigns_after_delete", "M13", "campaign_patch campaign campaign_link",
-       "SELECT id FROM campaign WHERE id NOT IN (SELECT id FROM campaign_patch WHERE seq % 7 = 0)")
+@check("campaigns_after_delete", "M13", "campaign_delete campaign campaign_link",
+       "SELECT id FROM campaign WHERE id NOT IN (SELECT id FROM campaign_delete)")
 def _(req, camp, link):
-    return _campaign_deletes(req, camp, link).table.select("id")
+    return deletes.delete_campaigns(req, camp, link).table.select("id")
 
 
-@check("links_after_campaign_delete", "M13", "campaign_patch campaign campaign_link",
+@check("links_after_campaign_delete", "M13", "campaign_delete campaign campaign_link",
        """SELECT campaignId, referralSourceId FROM campaign_link
-          WHERE campaignId NOT IN (SELECT id FROM campaign_patch WHERE seq % 7 = 0)""")
+          WHERE campaignId NOT IN (SELECT id FROM campaign_delete WHERE id IN (SELECT id FROM campaign))""")
 def _(req, camp, link):
-    return _campaign_deletes(req, camp, link).links.select("campaignId", "referralSourceId")
+    return deletes.delete_campaigns(req, camp, link).links.select("campaignId", "referralSourceId")
 
 
-def _source_deletes(req, src, link, inter):
-    return deletes.delete_sources(req.select("requestId", "id"), src, link, inter.where("id LIKE '%77'"))
+@check("rejected_campaign_deletes", "M13", "campaign_delete campaign campaign_link",
+       """SELECT "requestId", 'Campaign not found' AS reason FROM campaign_delete
+          WHERE id NOT IN (SELECT id FROM campaign)""")
+def _(req, camp, link):
+    return deletes.delete_campaigns(req, camp, link).rejects
 
 
-USED = "SELECT referralSourceId FROM interaction WHERE id LIKE '%77'"
+USED = "SELECT referralSourceId FROM spread_interaction"
 GONE = f"SELECT id FROM source_patch WHERE id NOT IN ({USED})"
 
 
-@check("sources_after_delete", "M13 J5", "source_patch referral_source campaign_link interaction",
+@check("sources_after_delete", "M13 J5", "source_patch referral_source campaign_link spread_interaction",
        f"SELECT id FROM referral_source WHERE id NOT IN ({GONE})")
 def _(req, src, link, inter):
-    return _source_deletes(req, src, link, inter).table.select("id")
+    return deletes.delete_sources(req, src, link, inter).table.select("id")
 
 
-@check("links_after_source_delete", "M13", "source_patch referral_source campaign_link interaction",
+@check("links_after_source_delete", "M13", "source_patch referral_source campaign_link spread_interaction",
        f"""SELECT campaignId, referralSourceId FROM campaign_link
            WHERE referralSourceId NOT IN (SELECT id FROM ({GONE}) WHERE id IN (SELECT id FROM referral_source))""")
 def _(req, src, link, inter):
-    return _source_deletes(req, src, link, inter).links.select("campaignId", "referralSourceId")
+    return deletes.delete_sources(req, src, link, inter).links.select("campaignId", "referralSourceId")
 
 
-@check("rejected_source_deletes", "M13", "source_patch referral_source campaign_link interaction",
+@check("rejected_source_deletes", "M13", "source_patch referral_source campaign_link spread_interaction",
        f"""SELECT "requestId", CASE WHEN id NOT IN (SELECT id FROM referral_source) THEN 'Referral source not found'
              ELSE 'Failed to delete referral source' END AS reason FROM source_patch
            WHERE id NOT IN (SELECT id FROM referral_source) OR id IN ({USED})""")
 def _(req, src, link, inter):
-    return _source_deletes(req, src, link, inter).rejects
+    return deletes.delete_sources(req, src, link, inter).rejects
 
 
-@check("clinics_after_delete", "M13 A10", "clinic_patch clinic_location referral_source",
+@check("clinics_after_delete", "M13 A10", "clinic_patch clinic_location grouped_source",
        """SELECT id FROM clinic_location WHERE id NOT IN (SELECT id FROM clinic_patch)
-          OR id IN (SELECT clinicLocationId FROM referral_source WHERE expectedMonthlyReferrals = 39)""")
+          OR id IN (SELECT clinicLocationId FROM grouped_source)""")
 def _(req, clinic, src):
-    return deletes.delete_clinics(req.select("requestId", "id"), clinic, src.where("expectedMonthlyReferrals = 39")).table.select("id")
+    return deletes.delete_clinics(req, clinic, src).table.select("id")
 
 
-@check("rejected_clinic_deletes", "M13 A10", "clinic_patch clinic_location referral_source",
-       """WITH n AS (SELECT clinicLocationId AS id, count(*) AS n FROM referral_source WHERE expectedMonthlyReferrals = 39 GROUP BY 1)
+@check("rejected_clinic_deletes", "M13 A10", "clinic_patch clinic_location grouped_source",
+       """WITH n AS (SELECT clinicLocationId AS id, count(*) AS n FROM grouped_source GROUP BY 1)
           SELECT "requestId", CASE WHEN c.id IS NULL THEN 'Clinic location not found' ELSE concat(
               'Cannot delete clinic location. ', n.n, ' referral source(s) are linked to this location.') END AS reason
           FROM clinic_patch p LEFT JOIN clinic_location c ON c.id = p.id LEFT JOIN n ON n.id = p.id
           WHERE c.id IS NULL OR n.n IS NOT NULL""")
 def _(req, clinic, src):
-    return deletes.delete_clinics(req.select("requestId", "id"), clinic, src.where("expectedMonthlyReferrals = 39")).rejects
+    return deletes.delete_clinics(req, clinic, src).rejects
 
 
 @check("migrated_sources", "M15", "legacy_source",

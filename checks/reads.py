@@ -240,11 +240,10 @@ def _(src, clinic, cat, inter, camp, link):
     ])
 
 
-@check("orphaned_events", "J8", "delivery_event campaign",
-       """SELECT DISTINCT faxId, campaignId FROM delivery_event e WHERE campaignId IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM campaign c WHERE c.id = e.campaignId AND c.status <> 'PAUSED')""")
-def _(ev, camp):
-    return joins.orphans(ev.select("faxId", "campaignId").distinct(), camp.where("status <> 'PAUSED'"), "campaignId")
+@check("orphaned_patches", "J8", "source_patch referral_source",
+       """SELECT "requestId", id AS "sourceId" FROM source_patch WHERE id NOT IN (SELECT id FROM referral_source)""")
+def _(req, src):
+    return joins.orphans(req.select("requestId", F.col("id").alias("sourceId")), src, "sourceId")
 
 
 @check("events_with_links", "J9", "delivery_event campaign_link",
@@ -362,33 +361,32 @@ def _(ev):
 
 
 @check("newest_sources", "O1", "referral_source",
-       "SELECT id, name, createdAt FROM referral_source ORDER BY createdAt DESC, id LIMIT 20")
+       "SELECT id, name, createdAt FROM referral_source ORDER BY createdAt DESC, id")
 def _(src):
-    return sorting.newest_first(src.select("id", "name", "createdAt")).limit(20)
+    return sorting.newest_first(src.select("id", "name", "createdAt"))
 
 
-@check("latest_interactions", "O2", "interaction", "SELECT id, date FROM interaction")
+@check("latest_interactions", "O2", "interaction", "SELECT id, date FROM interaction ORDER BY date DESC, id")
 def _(inter):
     return sorting.latest_interactions(inter.select("id", "date"))
 
 
-@check("clinics_by_name", "O3", "clinic_location", "SELECT id, name FROM clinic_location")
+@check("clinics_by_name", "O3", "clinic_location", "SELECT id, name FROM clinic_location ORDER BY name, id")
 def _(clinic):
     return sorting.clinics_by_name(clinic.select("id", "name"))
 
 
 @check("sources_by_address", "O4", "referral_source clinic_location referral_category",
        """SELECT id, name FROM referral_source ORDER BY CASE WHEN coalesce(address, '') = '' THEN ''
-            WHEN coalesce(city, '') = '' THEN address ELSE concat(address, ', ', city) END DESC, createdAt DESC, id
-          LIMIT 40""")
+            WHEN coalesce(city, '') = '' THEN address ELSE concat(address, ', ', city) END DESC, createdAt DESC, id""")
 def _(src, clinic, cat):
-    return sorting.sort_sources(joins.sources_enriched(src, clinic, cat), "address", "desc").select("id", "name").limit(40)
+    return sorting.sort_sources(joins.sources_enriched(src, clinic, cat), "address", "desc").select("id", "name")
 
 
 @check("sources_by_providers", "O4", "referral_source clinic_location referral_category",
-       """SELECT id, name FROM referral_source ORDER BY coalesce(numberOfProviders, 0), createdAt DESC, id LIMIT 150""")
+       """SELECT id, name FROM referral_source ORDER BY coalesce(numberOfProviders, 0), createdAt DESC, id""")
 def _(src, clinic, cat):
-    return sorting.sort_sources(joins.sources_enriched(src, clinic, cat), "numberOfProviders").select("id", "name").limit(150)
+    return sorting.sort_sources(joins.sources_enriched(src, clinic, cat), "numberOfProviders").select("id", "name")
 
 
 @check("recent_interactions", "O5", "interaction referral_source",

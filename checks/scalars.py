@@ -173,11 +173,12 @@ def _(ev):
 
 
 @check("provider_ids", "X14", "provider_answer",
-       """SELECT n, coalesce(nullif(json_extract_string(answer, '$.data.sentFax.id'), ''),
-            nullif(json_extract_string(answer, '$.faxId'), ''), nullif(json_extract_string(answer, '$.id'), ''), tmpId)
-            AS fax FROM provider_answer WHERE n > 0""")
+       """WITH a AS (SELECT n, tmpId, json_extract_string(answer, '$.data.sentFax.id') AS sent,
+            json_extract_string(answer, '$.faxId') AS fax, json_extract_string(answer, '$.id') AS id FROM provider_answer)
+          SELECT n, coalesce(CASE WHEN sent NOT IN ('', '0') THEN sent END, CASE WHEN fax NOT IN ('', '0') THEN fax END,
+            CASE WHEN id NOT IN ('', '0') THEN id END, tmpId) AS fax FROM a""")
 def _(answers):
-    return answers.where("n > 0").select("n", X.provider_fax_id("answer", "tmpId").alias("fax"))
+    return answers.select("n", X.provider_fax_id("answer", "tmpId").alias("fax"))
 
 
 @check("website_links", "X15", "referral_source",

@@ -108,9 +108,9 @@ FROM {lineitem} WHERE l_linenumber < 5""",
 SELECT concat(n_name, ', NC') AS place, CAST(34 + n_nationkey * 0.08 AS DOUBLE) AS lat,
   CAST(-78 - n_nationkey * 0.05 AS DOUBLE) AS lng
 FROM {nation}""",
-    # detail answers: one in seven failed, one in eleven missing; some lack a phone, website or rating
+    # detail answers: one in seven failed, one in eleven is for another place; some lack a phone, website or rating
     "place_detail": """
-SELECT concat('p', p_partkey) AS place_id,
+SELECT concat(CASE WHEN p_partkey % 11 = 5 THEN 'q' ELSE 'p' END, p_partkey) AS place_id,
   CASE WHEN p_partkey % 7 = 3 THEN 'NOT_FOUND' ELSE 'OK' END AS status,
   concat(p_name, ' ', p_brand) AS name,
   CASE p_partkey % 4
@@ -126,7 +126,7 @@ SELECT concat('p', p_partkey) AS place_id,
     AS phone,
   CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat('https://p', p_partkey, '.example.com') END AS website,
   lower(p_type) AS kind
-FROM {part} WHERE p_partkey % 11 <> 5""",
+FROM {part}""",
     # places as the geocoder describes them: whole states, towns, zip codes
     "geocode_component": """
 SELECT concat('p', p_partkey) AS place_id,
@@ -225,13 +225,14 @@ SELECT DISTINCT concat('c', l_orderkey) AS campaignId,
   concat('rs', CASE WHEN l_linenumber < 3 THEN l_partkey % 150 ELSE l_suppkey % 150 END) AS referralSourceId
 FROM {lineitem}""",
     "send_result": """
-SELECT concat('c', l_orderkey) AS campaignId, concat('rs', l_partkey % 150) AS referralSourceId,
+SELECT concat(CASE WHEN l_orderkey % 3 = 0 THEN 'k' ELSE 'c' END, l_orderkey) AS campaignId,
+  concat('rs', l_partkey % 150) AS referralSourceId,
   min(l_quantity) > 5 AS success,
   CASE WHEN min(l_linenumber) < 3 THEN concat('f', min(l_suppkey)) ELSE NULL END AS faxId,
   CASE WHEN max(l_linenumber) > 4 THEN concat('{{"id":"d', max(l_suppkey), '"}}') ELSE NULL END AS data,
   CASE WHEN min(l_quantity) > 3 THEN NULL ELSE 'busy' END AS error,
   CASE WHEN min(l_quantity) > 2 THEN NULL ELSE '500' END AS status
-FROM {lineitem} WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey, l_partkey % 150""",
+FROM {lineitem} GROUP BY l_orderkey, l_partkey % 150""",
     # links as they stand after a send, with the stored answer
     "sent_link": """
 SELECT concat('c', l_orderkey) AS campaignId, concat('rs', l_partkey % 150) AS referralSourceId,
@@ -240,11 +241,11 @@ SELECT concat('c', l_orderkey) AS campaignId, concat('rs', l_partkey % 150) AS r
   concat('{{"faxId":"f', l_orderkey, '-', l_partkey % 150, '","status":"sent","details":{{}}}}') AS response
 FROM {lineitem} GROUP BY l_orderkey, l_partkey % 150""",
     "provider_status": """
-SELECT DISTINCT concat('f', l_orderkey, '-', l_partkey % 150) AS faxId,
+SELECT DISTINCT concat(CASE WHEN l_partkey % 150 % 5 = 0 THEN 'g' ELSE 'f' END, l_orderkey, '-', l_partkey % 150) AS faxId,
   CASE (l_orderkey + l_partkey % 150) % 4 WHEN 0 THEN 'delivered' WHEN 1 THEN 'failed' WHEN 2 THEN 'Delivered'
     ELSE 'processing' END AS status,
   '{{"pages":2}}' AS body
-FROM {lineitem} WHERE l_partkey % 150 % 5 <> 0""",
+FROM {lineitem}""",
     "provider_answer": """
 SELECT o_orderkey AS n, concat('tmp.', o_orderkey) AS tmpId,
   CASE o_orderkey % 6
@@ -252,6 +253,18 @@ SELECT o_orderkey AS n, concat('tmp.', o_orderkey) AS tmpId,
     WHEN 1 THEN concat('{{"faxId":"f', o_orderkey, '"}}') WHEN 2 THEN concat('{{"id":', o_orderkey, '}}')
     WHEN 3 THEN '{{}}' WHEN 4 THEN concat('{{"faxId":"","id":"i', o_orderkey, '"}}') ELSE NULL END AS answer
 FROM {orders}""",
+    # ids to delete, half of them unknown
+    "interaction_delete": """
+SELECT concat('id', event_id) AS requestId,
+  concat(CASE WHEN event_id % 4 < 2 THEN 'i' ELSE 'x' END, event_id) AS id FROM {events}""",
+    "campaign_delete": """
+SELECT concat('cd', o_orderkey) AS requestId,
+  concat(CASE WHEN o_orderkey % 4 < 2 THEN 'c' ELSE 'x' END, o_orderkey) AS id FROM {orders}""",
+    # contacts with every third source only, sources of every third clinic only
+    "spread_interaction": """
+SELECT concat('i', event_id) AS id, concat('rs', user_id * 3) AS referralSourceId FROM {events}""",
+    "grouped_source": """
+SELECT concat('rs', c_custkey) AS id, concat('cl', c_nationkey - c_nationkey % 3) AS clinicLocationId FROM {customer}""",
     "legacy_source": """
 SELECT concat('rs', c_custkey) AS id, c_name AS name, 'OTHER' AS industry, 'ACTIVE' AS status,
   CASE c_custkey % 8 WHEN 0 THEN 'Jacksonville' WHEN 1 THEN 'Wilmington' WHEN 2 THEN 'Beulaville'

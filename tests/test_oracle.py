@@ -27,3 +27,13 @@ def test_entry(spark):
 
 def test_every_query_has_a_twin():
     assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize(
+    "name", ["newest_sources", "latest_interactions", "clinics_by_name", "sources_by_address", "sources_by_providers",
+             "limited_interactions", "recent_interactions", "recent_campaigns"])
+def test_order(spark, con, name):
+    ours = [r.id for r in entry.queries()[name](spark, SF_DIR).select("id").collect()]
+    rel = con.execute(entry.oracle_sql()[name])
+    at = [d[0] for d in rel.description].index("id")
+    assert ours == [r[at] for r in rel.fetchall()]
