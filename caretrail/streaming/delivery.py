@@ -82,8 +82,12 @@ def apply_events(batch: DataFrame, link: DataFrame, known: DataFrame | None = No
     Events are folded before they meet the links: a link with very many events then brings one row to the join.
     """
     checked = well_formed(batch)
-    known = known_links(_sound(checked), link) if known is None else known
-    return fold_events(_sound(checked)).join(known, LINK_KEY, "left_semi"), _dead(batch, checked, known)
+    changes = fold_events(_sound(checked))
+    if known is None:
+        # the pair is the key of both sides: an inner join adds no row, and either side may be the small one
+        known = known_links(_sound(checked), link)
+        return changes.join(link.select(*LINK_KEY), LINK_KEY), _dead(batch, checked, known)
+    return changes.join(known, LINK_KEY), _dead(batch, checked, known)
 
 
 def fold_events(batch: DataFrame) -> DataFrame:
