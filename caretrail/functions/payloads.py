@@ -50,7 +50,10 @@ def send_response(
 
 def event_response(fax_id: Column | str, status: Column | str, updated_at: Column | str, error: Column | str) -> Column:
     """What is stored after a delivery event; ``error`` is written even when null."""
-    stamp = F.concat(F.date_format(col(updated_at).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    # from the text of the moment: a date pattern would go through the session's zone and its clock changes
+    text = col(updated_at).cast("timestamp_ntz").cast("string")
+    millis = F.rpad(F.substring(text, 21, 3), 3, "0")
+    stamp = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), millis, F.lit("Z"))
     return F.to_json(
         F.struct(
             col(fax_id).alias("faxId"), col(status).alias("status"), stamp.alias("updatedAt"), col(error).alias("error")

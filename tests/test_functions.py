@@ -90,6 +90,13 @@ def test_dates_do_not_depend_on_the_session_zone(spark):
         assert apply(spark, MOMENTS, X.parse_instant) == expected
         shown = apply(spark, ["2024-03-01T02:00:00Z"], lambda c: X.format_date(X.parse_instant(c), "long", "America/New_York"))
         assert shown == ["Feb 29, 2024"]
+        # a moment the session's clocks skip
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        skipped = X.event_response(F.lit("f"), F.lit("s"), ntz("2024-03-10 02:30:00.25"), F.lit(None).cast("string"))
+        assert '"2024-03-10T02:30:00.250Z"' in spark.range(1).select(skipped).first()[0]
+        texts = ["2024-03-10T02:30:00Z", "2024-11-03T01:30:00-04:00", "2024-11-03T01:30:00-05:00"]
+        assert apply(spark, texts, X.parse_instant) == [
+            datetime(2024, 3, 10, 2, 30), datetime(2024, 11, 3, 5, 30), datetime(2024, 11, 3, 6, 30)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
