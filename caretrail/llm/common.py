@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,3 +55,22 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, make: Callable[[], Callable], fields: str) -> DataFrame:
+    """``keep`` columns as they are and ``fields``, which are computed batch by batch from the texts.
+
+    ``make`` is called once for each partition; what it returns takes a list of texts (or None) and returns one Arrow
+    array for each field.
+    """
+    schema = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(fields).fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            columns = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns[:-1], *work(columns[-1].to_pylist())], schema.names)
+
+    return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import decontaminate, secrets
+from caretrail.llm import bpe, decontaminate, fingerprints, secrets, sharding, toxicity
 from caretrail.llm.common import documents
 
 
@@ -21,14 +21,34 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(documents(spark, sf_dir))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
+    "op4_sharding": op4_sharding,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_bpe": op7_bpe,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 _SPLIT = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
