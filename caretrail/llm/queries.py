@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import bpe, decontaminate, fingerprints, secrets, sharding, toxicity
-from caretrail.llm.common import documents
+from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, secrets, sharding, toxicity
+from caretrail.llm.common import documents, row_keys
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    cleaned = lines.dedup_lines(docs)
+    rows = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")))
+    return rows.join(cleaned.dropDuplicates(["_k", "_h"]), ["_k", "_h"]).select(
+        "doc_id", "n_lines", "n_repeats", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(documents(spark, sf_dir))
 
@@ -44,6 +56,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
+    "op1_line_dedup": op1_line_dedup,
+    "op3_license_scans": op3_license_scans,
     "op4_sharding": op4_sharding,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_bpe": op7_bpe,
@@ -54,6 +68,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPLIT = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": """
+with rows as (
+  select doc_id, text, string_split(text, chr(10)) l from documents
+), lines as (
+  select doc_id, unnest(l) line, unnest(range(len(l))) pos from rows
+), firsts as (
+  select line, min(doc_id) doc_id, arg_min(pos, (doc_id, pos)) pos, strlen(line) n from lines
+  where strlen(line) >= 24 group by line
+), near as (
+  select distinct b.line from firsts a join firsts b
+  on b.n between a.n - 2 and a.n + 2 and (a.doc_id, encode(a.line)) < (b.doc_id, encode(b.line))
+  where levenshtein(a.line, b.line) <= 2
+), kept as (
+  select lines.*, near.line is not null gone, firsts.doc_id is not null first
+  from lines left join firsts using (line, doc_id, pos) left join near on near.line = firsts.line
+)
+select doc_id, count(*) n_lines, count_if(strlen(line) >= 24 and not first) n_repeats, count_if(gone) n_near,
+       sha256(coalesce(string_agg(line, chr(10) order by pos)
+                       filter (where strlen(line) < 24 or (first and not gone)), '')) kept_sha256
+from kept group by doc_id""",
     "op9_benchmark_decontamination": rf"""
 with words as (
   select doc_id, list_filter({_SPLIT}'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents
