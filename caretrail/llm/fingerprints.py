@@ -21,6 +21,7 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 SHINGLE = 5
 ONE_IN = 8
 CELL = 2000  # documents in a cell of neighbouring ids, about
+MAX_CELLS = 1 << 16  # bounds the table of the cells' first rows, which is broadcast; beyond it cells grow instead
 
 
 def with_sketch(df: DataFrame, text: str, name: str, one_in: int = ONE_IN) -> DataFrame:
@@ -77,7 +78,7 @@ def with_next(df: DataFrame, key: str, carried: list[str], cell: int = CELL) ->
     row of a cell is also a guest at the end of the cell before, so no order over all rows is needed.
     """
     lowest, highest, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    cells = max(1, rows // cell)
+    cells = min(MAX_CELLS, max(1, rows // cell))
     width = 1 if lowest is None else -(-(highest - lowest + 1) // cells)
     number = F.coalesce(F.floor((F.col(key).cast("decimal(38,0)") - F.lit(lowest or 0)) / width), F.lit(-1)).cast("long")
     placed = df.withColumn("_cell", number)
@@ -85,7 +86,7 @@ def with_next(df: DataFrame, key: str, carried: list[str], cell: int = CELL) ->
     order = Window.orderBy("_cell")  # over one row for each cell
     before = F.coalesce(F.lead("_cell").over(order), F.min("_cell").over(Window.partitionBy()))
     guests = placed.join(
-        tops.select("_cell", "_top", before.alias("_host")),
+        F.broadcast(tops.select("_cell", "_top", before.alias("_host"))),
         (placed["_cell"] == tops["_cell"]) & placed[key].eqNullSafe(F.col("_top"))
     ).select(*df.columns, F.col("_host").alias("_cell"), F.lit(1).alias("_guest"))
     within = Window.partitionBy("_cell").orderBy("_guest", F.col(key).desc_nulls_last(), *carried[:1])
