@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, secrets, sharding, toxicity
+from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, near, secrets, sharding, toxicity
 from caretrail.llm.common import documents, row_keys
 
 
@@ -29,6 +29,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_repeats", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op1_line_dedup": op1_line_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_license_scans": op3_license_scans,
     "op4_sharding": op4_sharding,
     "op6_document_fingerprints": op6_document_fingerprints,
@@ -88,6 +93,22 @@ select doc_id, count(*) n_lines, count_if(strlen(line) >= 24 and not first) n_re
        sha256(coalesce(string_agg(line, chr(10) order by pos)
                        filter (where strlen(line) < 24 or (first and not gone)), '')) kept_sha256
 from kept group by doc_id""",
+    "op2_minhash_near_dedup": r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end s from words
+), shingles as (select doc_id, len(s) n, unnest(s) g from sets),
+links as (
+  select a.doc_id a, b.doc_id b from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), smallest as (select a doc_id, min(b) m from reach group by a)
+select doc_id, cast(len(s) as bigint) n_shingles, least(doc_id, m) component_id, doc_id <= coalesce(m, doc_id) kept
+from sets left join smallest using (doc_id)""",
     "op9_benchmark_decontamination": rf"""
 with words as (
   select doc_id, list_filter({_SPLIT}'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents
