@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, near, secrets, sharding, toxicity
+from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, near, secrets, sharding, suffixes, toxicity
 from caretrail.llm.common import documents, row_keys
 
 
@@ -49,6 +49,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_bpe": op7_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
