@@ -1,8 +1,7 @@
 """Joins.
 
-No side is forced to be broadcast unless counted (:func:`few`): the optimizer does so below
-``spark.sql.autoBroadcastJoinThreshold``, adaptive execution once the true size is known, and anything larger is a
-sort-merge join.
+No side is forced to be broadcast: the optimizer does so below ``spark.sql.autoBroadcastJoinThreshold``, adaptive
+execution once the true size in bytes is known, and anything larger is a sort-merge join.
 
 One key may hold a large part of a table. Adaptive execution splits such a key's partition when the join is inner, or
 the hot rows are on its left; when both inputs come straight from an exchange; and when nothing above relies on the
@@ -79,14 +78,6 @@ def nest(flat: DataFrame, child: DataFrame, key: str, order: str, items: str, pa
     return paged.repartition(key, "page").groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(items)).alias(items))
 
 
-def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast once counting has shown it to hold at most ``rows`` rows; as it was otherwise.
-
-    For a persisted or otherwise cheap frame whose size the optimizer cannot know.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def campaign_recipients(
     camp: DataFrame, link: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE
 ) -> DataFrame:

@@ -31,47 +31,23 @@ def enrich_listings(places: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
-FEW_CLINICS = 200
-
-
-def match_clinic(df: DataFrame, clinics: DataFrame, city_col: str, few: int = FEW_CLINICS) -> DataFrame:
+def match_clinic(df: DataFrame, clinics: DataFrame, city_col: str) -> DataFrame:
     """``df`` with ``clinicLocationId``: the first active clinic, by name, whose name is part of the city.
 
-    Up to ``few`` clinics become literals and ``df`` is not moved at all; beyond that see :func:`_match_by_piece`.
+    Containment is turned into equality: each distinct city, in lower case, is cut into its pieces of the lengths that
+    clinic names have, and pieces meet names in a hash join. So no pair of city and clinic is tried, nothing is fetched,
+    and the work per city is its length times the number of different name lengths. A clinic with an empty name is part
+    of every city but an empty one.
     """
-    names = clinics.where(F.col("isActive")).select("id", "name")
-    listed = names.orderBy("name", "id").limit(few + 1).collect()
+    names = clinics.where(F.col("isActive")).select("id", "name", F.lower("name").alias("_piece"))
     kept = df.drop("clinicLocationId")
-    if len(listed) > few:
-        return _match_by_piece(kept, names, city_col)
-    if not listed:
-        return kept.withColumn("clinicLocationId", F.lit(None).cast("string"))
-    known = F.array(*[F.struct(F.lower(F.lit(c["name"])).alias("name"), F.lit(c["id"]).alias("id")) for c in listed])
-    # the outer lambda names the lower-cased city, so it is worked out once per row and not once per clinic
-    first = F.transform(
-        F.array(F.lower(F.nullif(F.col(city_col), F.lit("")))),
-        lambda city: F.get(F.filter(known, lambda c: city.contains(c["name"])), F.lit(0))["id"],
-    )
-    return kept.withColumn("clinicLocationId", F.get(first, F.lit(0)))
-
-
-def _match_by_piece(df: DataFrame, names: DataFrame, city_col: str) -> DataFrame:
-    """Clinic match for any number of clinics: containment is turned into equality.
-
-    Each distinct city is cut into its pieces, no longer than the longest clinic name, and pieces meet names in a hash
-    join. So no pair of city and clinic is tried, neither side need fit in memory, and the work per city is linear in
-    its length.
-    """
-    names = names.withColumn("_piece", F.lower("name"))
-    longest = F.coalesce(names.agg(F.max(F.length("_piece"))).scalar(), F.lit(0))
-    city = F.lower(F.col("_city"))
-    cities = df.where(F.col(city_col) != "").select(F.col(city_col).alias("_city")).distinct()
-    starts = cities.select("_city", F.explode(F.sequence(F.lit(1), F.length("_city"))).alias("_at"))
-    room = F.least(longest, F.length("_city") - F.col("_at") + 1)
-    pieces = (
-        starts.select("_city", "_at", F.explode(F.sequence(F.lit(0), F.greatest(room, F.lit(0)))).alias("_n"))
-        .select("_city", F.substring(city, F.col("_at"), F.col("_n")).alias("_piece"))
-    )
+    lengths = F.coalesce(names.agg(F.collect_set(F.length("_piece"))).scalar(), F.array().cast("array<int>"))
+    cities = kept.where(F.col(city_col) != "").select(F.col(city_col).alias("_city")).distinct().select(
+        "_city", F.lower("_city").alias("_lower"))
+    sizes = cities.select("_city", "_lower", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("_lower"))
+    last = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.length("_lower") - F.col("_n") + 1)
+    pieces = sizes.select("_city", "_lower", "_n", F.explode(F.sequence(F.lit(1), last)).alias("_at")).select(
+        "_city", F.substring("_lower", F.col("_at"), F.col("_n")).alias("_piece"))
     # an outer join, so that only the names may be broadcast: the pieces are many more than their plan suggests
     first = (
         pieces.join(names, "_piece", "left")
@@ -79,7 +55,7 @@ def _match_by_piece(df: DataFrame, names: DataFrame, city_col: str) -> DataFrame
         .agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.struct("name", "id"))).alias("clinicLocationId"))
     )
     first = rekeyed(first, "_city")
-    return df.join(first, df[city_col] == first["_city"], "left").drop("_city")
+    return kept.join(first, kept[city_col] == first["_city"], "left").drop("_city")
 
 
 def places_near(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from caretrail.functions.defaults import is_missing
 from caretrail.functions.labels import map_event_status
 from caretrail.functions.payloads import event_response
-from caretrail.operators.joins import few, key_set, rekeyed
+from caretrail.operators.joins import key_set, rekeyed
 from caretrail.schemas import LINK_KEY
 from caretrail.session import shared_folder
 from caretrail.sources.tables import read_entity
@@ -36,7 +36,9 @@ def read_delivery_stream(spark: SparkSession, path: str, files_per_trigger: int
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    landed = F.col("_metadata.file_modification_time").cast("timestamp_ntz")
+    # counted from the epoch: a cast would shift the time by the session's zone
+    micros = "CAST(unix_micros(_metadata.file_modification_time) AS DECIMAL(20, 0))"
+    landed = F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({micros} / 1000000 AS DECIMAL(18, 6)))")
     return reader.json(path).select(
         "faxId", "status", "metadata.campaignId", "metadata.referralSourceId", "error",
         F.coalesce("receivedAt", landed).alias("receivedAt"), F.col("_corrupt_record").isNotNull().alias("malformed"),
@@ -50,14 +52,13 @@ def well_formed(batch: DataFrame) -> DataFrame:
     return batch.withColumn("reason", F.when(malformed, F.lit(MALFORMED)).when(lacking, F.lit(MISSING)))
 
 
-def known_links(batch: DataFrame, link: DataFrame, counted: bool = False) -> DataFrame:
-    """Keys of the links a batch names. ``counted`` allows a count of the (persisted) batch to decide on a broadcast.
+def known_links(batch: DataFrame, link: DataFrame) -> DataFrame:
+    """Keys of the links a batch names.
 
-    The batch's distinct pairs go to the table, not the reverse: when they are few the semi join streams over the two
-    key columns of the table, and the table is not exchanged.
+    The batch's distinct pairs go to the table, not the reverse. Whether they are broadcast, so that the table's two key
+    columns need no exchange, is left to their measured size.
     """
-    pairs = key_set(batch, *LINK_KEY)
-    return link.select(*LINK_KEY).join(few(pairs) if counted else pairs, LINK_KEY, "left_semi")
+    return link.select(*LINK_KEY).join(key_set(batch, *LINK_KEY), LINK_KEY, "left_semi")
 
 
 def split_invalid(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +125,7 @@ def run_delivery_stream(
         events = batch.persist()
         link = read_entity(session, root, "campaign_link")
         # both outputs need the known links; the table is read for them once
-        known = known_links(_sound(well_formed(events)), link, counted=True).persist()
+        known = known_links(_sound(well_formed(events)), link).persist()
         try:
             changes, dead = apply_events(events, link, known)
             dead = dead.select("faxId", "status", *LINK_KEY, "receivedAt", "reason")

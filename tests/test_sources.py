@@ -141,16 +141,27 @@ def test_import_prospects(spark):
 CITIES = ["north ALPHA city", "beta", "alphabeta", "", None, "gamma", "a", "ÄLPHA"]
 
 
-@pytest.mark.parametrize("few", [200, 1])
-def test_match_clinic_both_ways(spark, few):
+@pytest.mark.parametrize("more", [0, 195, 196, 1995])
+def test_match_clinic_is_one_rule_for_any_number_of_clinics(spark, more):
     clinics = spark.createDataFrame(
-        [("1", "Beta", True), ("2", "Alpha", True), ("3", "Alph", False), ("4", "Gam", True), ("5", "äl", True)],
+        [("1", "Beta", True), ("2", "Alpha", True), ("3", "Alph", False), ("4", "Gam", True), ("5", "äl", True)]
+        + [(f"x{i}", f"{i:04d} elsewhere", True) for i in range(more)],
         "id string, name string, isActive boolean")
     df = spark.createDataFrame([(i, c) for i, c in enumerate(CITIES)], "n int, city string")
-    got = {r.n: r.clinicLocationId for r in match_clinic(df, clinics, "city", few).collect()}
+    got = {r.n: r.clinicLocationId for r in match_clinic(df, clinics, "city").collect()}
     assert [got[i] for i in range(len(CITIES))] == ["2", "1", "2", None, None, "4", None, "5"]
 
 
+def test_match_clinic_where_lower_case_is_longer(spark):
+    clinics = spark.createDataFrame([("1", "İzmir", True), ("2", "mir", True)], "id string, name string, isActive boolean")
+    df = spark.createDataFrame([("İzmir",), ("Greater İzmir area",), ("Izmir",), ("",), (None,)], "city string")
+    got = {r.city: r.clinicLocationId for r in match_clinic(df, clinics, "city").collect()}
+    assert got == {"İzmir": "2", "Greater İzmir area": "2", "Izmir": "2", "": None, None: None}
+    only = clinics.where("id = '1'")
+    got = {r.city: r.clinicLocationId for r in match_clinic(df, only, "city").collect()}
+    assert got == {"İzmir": "1", "Greater İzmir area": "1", "Izmir": None, "": None, None: None}
+
+
 def test_match_clinic_without_clinics(spark):
     none = spark.createDataFrame([], "id string, name string, isActive boolean")
     df = spark.createDataFrame([("x",)], "city string")
@@ -189,3 +200,38 @@ def test_write_json_keeps_nulls_and_nesting(spark, tmp_path):
     write_json(spark.createDataFrame([("a", None, [("x", 1)], datetime(2024, 1, 2, 3))], schema), path)
     assert json.loads(spark.read.text(path).first()[0]) == {
         "id": "a", "note": None, "items": [{"k": "x", "v": 1}], "at": "2024-01-02T03:00:00.000Z"}
+
+
+def test_interleaved_commits_keep_every_row(spark, tmp_path):
+    """A second writer commits while the first one writes: additions of both stay, a replace of a moved table is refused."""
+    from caretrail.sources.tables import Conflict
+
+    root = str(tmp_path / "db")
+
+    class Late:
+        """A frame whose writing lets another commit in."""
+
+        def __init__(self, df, other):
+            self.df, self.other = df, other
+
+        @property
+        def write(self):
+            self.other()
+            return self.df.write
+
+    write_snapshot(categories(spark, "a"), root, "referral_category", 1)
+    other = lambda: commit(spark, root, {"referral_category": categories(spark, "c")}, "other", append=["referral_category"])
+    commit(spark, root, {"referral_category": Late(categories(spark, "b"), other)}, "mine", append=["referral_category"])
+    names = lambda: sorted(r.id for r in read_entity(spark, root, "referral_category").collect())
+    assert len(names()) == 3
+    again = lambda: commit(spark, root, {"referral_category": categories(spark, "e")}, "third", append=["referral_category"])
+    with pytest.raises(Conflict):
+        commit(spark, root, {"referral_category": Late(categories(spark, "x"), again)}, "replace")
+    assert len(names()) == 4
+
+
+def test_snapshots_of_two_tables_may_have_one_number(spark, tmp_path):
+    root = str(tmp_path / "db")
+    write_snapshot(categories(spark, "a"), root, "referral_category", 1)
+    write_snapshot(spark.createDataFrame([], TABLES["clinic_location"]), root, "clinic_location", 1)
+    assert table_paths(spark, root, "clinic_location") and table_paths(spark, root, "referral_category")
