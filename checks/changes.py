@@ -333,11 +333,11 @@ PLANNED = f"""SELECT l.campaignId, l.referralSourceId, s.name, s.contactPerson,
     c.documentUrl, c.includeCoverSheet AS shown, c.coverSheetFromNumber AS sender, c.coverSheetSubject AS subject,
     CASE WHEN length({DIGITS}) = 10 THEN concat('1', {DIGITS}) ELSE coalesce(nullif({DIGITS}, ''), s.faxNumber) END AS number
   FROM campaign c JOIN campaign_link l ON l.campaignId = c.id JOIN referral_source s ON s.id = l.referralSourceId
-  WHERE c.status = 'ACTIVE' AND coalesce(c.documentUrl, '') <> ''"""
+  WHERE coalesce(c.documentUrl, '') <> ''"""
 
 
 def _outbox(camp, link, src):
-    return dispatch.build_outbox(camp.where("status = 'ACTIVE'"), link, src, CFG)
+    return dispatch.build_outbox(camp, link, src, CFG)
 
 
 @check("outbox", "M11 J3 F10 F11 X1 X17 X18 X19", "campaign campaign_link referral_source",

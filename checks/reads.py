@@ -415,11 +415,10 @@ def _(inter):
 
 
 @check("appended_pages", "U1", "place_listing",
-       """SELECT place_id, name FROM place_listing WHERE rating >= 3
-          UNION ALL SELECT place_id, name FROM place_listing WHERE rating >= 4""")
+       """SELECT place_id, name, rating FROM place_listing UNION ALL SELECT place_id, name, rating FROM place_listing""")
 def _(listing):
-    rows = listing.select("place_id", "name", "rating")
-    return sets.append_pages(filters.min_rating(rows, 3), filters.min_rating(rows, 4)).drop("rating")
+    page = listing.select("place_id", "name", "rating")
+    return sets.append_pages(page, page)
 
 
 @check("recipient_differences", "U2", "campaign_link kept_recipient",

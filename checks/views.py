@@ -95,7 +95,7 @@ FROM {part}""",
 SELECT concat('f', l_orderkey, '-', l_linenumber) AS faxId, 'queued' AS status,
   concat('c', l_orderkey) AS campaignId, concat('rs', l_partkey % 150) AS referralSourceId,
   l_shipdate + (l_suppkey % 3) * INTERVAL '1' MINUTE AS receivedAt
-FROM {lineitem} WHERE l_linenumber < 5
+FROM {lineitem}
 UNION ALL
 SELECT concat('f', l_orderkey, '-', l_linenumber) AS faxId,
   CASE l_returnflag WHEN 'A' THEN 'Delivered' WHEN 'N' THEN 'FAILED'
@@ -103,7 +103,7 @@ SELECT concat('f', l_orderkey, '-', l_linenumber) AS faxId,
   CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('c', l_orderkey) END AS campaignId,
   concat('rs', l_partkey % 151) AS referralSourceId,
   l_shipdate + INTERVAL '1' MINUTE AS receivedAt
-FROM {lineitem} WHERE l_linenumber < 5""",
+FROM {lineitem}""",
     "gazetteer": """
 SELECT concat(n_name, ', NC') AS place, CAST(34 + n_nationkey * 0.08 AS DOUBLE) AS lat,
   CAST(-78 - n_nationkey * 0.05 AS DOUBLE) AS lng
