@@ -123,13 +123,13 @@ def wrong_values(spec: dict[str, Field]) -> Column:
 
 
 def fold_patches(req: DataFrame, spec: dict[str, Field]) -> DataFrame:
-    """One row per id: for every column the last value sent (null when none was). Many patches of one row are combined
-    per task before they are exchanged."""
+    """One row per id: for every column the last value sent (null when none was), by (seq, requestId) with null first.
+    Many patches of one row are combined per task before they are exchanged."""
 
     def last(key: str, field: Field) -> Column:
         there = field.present(key)
         boxed = F.struct(F.col("v")[key].alias("v"))
-        return F.max_by(F.when(there, boxed), F.when(there, F.col("seq"))).alias(f"_{key}")
+        return F.max_by(F.when(there, boxed), F.when(there, F.struct("seq", "requestId"))).alias(f"_{key}")
 
     return req.groupBy("id").agg(*[last(k, f) for k, f in spec.items()], F.lit(True).alias("_patched"))
 

@@ -209,7 +209,8 @@ def update_campaigns(
     lists = (
         body.where(F.col("_ids").isNotNull())
         .groupBy(F.col("id").alias("campaignId"))
-        .agg(F.max_by("_ids", "seq").alias("referralSourceIds"), F.max_by("requestId", "seq").alias("requestId"))
+        .agg(F.max_by("_ids", F.struct("seq", "requestId")).alias("referralSourceIds"),
+             F.max_by("requestId", F.struct("seq", "requestId")).alias("requestId"))
     )
     links = sync_recipients(lists, link, as_of, src)
     failed = lists.join(links.rejects, "campaignId").select("requestId", "reason")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution does three things the plans here rely on: it turns a join into a broadcast only
@@ -31,8 +29,8 @@ def build_session(name: str = "caretrail", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder every executor sees: below ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    """A folder every executor sees: below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{name}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_shared"
+    return f"{base.rstrip('/')}/{name}"
