@@ -72,8 +72,8 @@ def _runs(batches):
             if len(raw) < LENGTH:
                 continue
             digest = hashlib.blake2b(raw, digest_size=16).digest()
-            if seen.get(digest, tuple(key)) < tuple(key):
-                continue  # a later copy: it goes whole, without its runs
+            if digest in seen and seen[digest] <= tuple(key):
+                continue  # a later copy, which goes whole, or the same row again
             if len(seen) < COPIES:
                 seen[digest] = tuple(key)
             data = np.frombuffer(raw, np.uint8)
@@ -110,6 +110,8 @@ def _sorted_runs(batches):
         if held:
             cols = [np.r_[h, c] for h, c in zip(held[0], cols, strict=True)]
             repeat0, company0 = held[1:]
+        again = np.all([c[1:] == c[:-1] for c in cols[:5]], axis=0)  # a run of a row that repeats
+        cols = [c[np.r_[True, ~again]] for c in cols]
         same_gram = cols[0][1:] == cols[0][:-1]
         same = same_gram & (cols[1][1:] == cols[1][:-1])
         repeat = np.r_[repeat0, same]
@@ -209,9 +211,15 @@ def _windows(block: pd.DataFrame):
     return piece, np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _ordered(block: pd.DataFrame) -> pd.DataFrame:
+    """Runs in order, those of rows that repeat once."""
+    place = ["_k", "_h", "start"]
+    return block.drop_duplicates(place).sort_values(place, kind="stable").reset_index(drop=True)
+
+
 def shard_repeats(block: pd.DataFrame) -> pd.DataFrame:
     """Intervals of the windows of a shard's runs that share all bytes with an earlier one of the shard."""
-    block = block.sort_values(["_k", "_h", "start"], kind="stable").reset_index(drop=True)
+    block = _ordered(block)
     pieces = [np.frombuffer(b, np.uint8) for b in block["bytes"]]
     sizes = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -227,7 +235,7 @@ def shard_repeats(block: pd.DataFrame) -> pd.DataFrame:
 
 def merged_repeats(block: pd.DataFrame) -> pd.DataFrame:
     """Intervals of windows of two shards of one gram that the other shard has earlier, by binary search."""
-    block = block.sort_values(["_k", "_h", "start"], kind="stable").reset_index(drop=True)
+    block = _ordered(block)
     piece, offset = _windows(block)
     joined = np.frombuffer(b"".join(block["bytes"]), np.uint8)
     sizes = block["bytes"].map(len).to_numpy(np.int64)
@@ -306,7 +314,7 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
         "parts > 1"))
     cuts = left.groupBy("_k", "_h").agg(F.collect_list(F.struct("gram", "start", "count")).alias("cuts"))
     pieces = texts.join(cuts, ["_k", "_h"]).select("_k", "_h", "text", "cuts").mapInArrow(
-        _pieces, "gram long, _k long, _h long, start int, count int, bytes binary").dropDuplicates(["_k", "_h", "start"])
+        _pieces, "gram long, _k long, _h long, start int, count int, bytes binary")
     if not crowded.isEmpty():
         pieces = pieces.join(crowded, "gram", "left")
     else:

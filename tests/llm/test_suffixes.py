@@ -58,6 +58,14 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
     rows = m.without_repeated_bytes(df).collect()
     assert len(rows) == 3 and len({r.n_removed for r in rows if r.doc_id == 1}) == 1
+    once = " ".join(map(str, range(100)))
+    for parts in (1, 6):
+        df = spark.createDataFrame([(1, once), (1, once), (1, once), (2, once), (2, once)], "doc_id long, text string")
+        rows = m.without_repeated_bytes(df.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0)] * 3 + [(2, len(once))] * 2
+    both = [(1, once), (2, "x" + once[50:200] + "y"), (2, "x" + once[50:200] + "y")]
+    rows = m.without_repeated_bytes(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (2, 150), (2, 150)]
     assert m.without_repeated_bytes(df.limit(0)).count() == 0
 
 
