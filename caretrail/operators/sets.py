@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caretrail.operators.joins import key_set
 from caretrail.schemas import LINK_KEY
@@ -15,15 +16,19 @@ def append_pages(*pages: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pages)
 
 
+def recipient_changes(current: DataFrame, requested: DataFrame) -> DataFrame:
+    """Pairs of campaign and source with ``change``: add, remove or keep. One join; the pair is unique on both sides."""
+    wanted = key_set(requested, *LINK_KEY).withColumn("_wanted", F.lit(True))
+    have = current.select(*LINK_KEY, F.lit(True).alias("_have"))
+    change = F.when(F.col("_have").isNull(), "add").when(F.col("_wanted").isNull(), "remove").otherwise("keep")
+    return have.join(wanted, LINK_KEY, "full").select(*LINK_KEY, change.alias("change"))
+
+
 def recipient_diff(current: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(to add, to remove, kept) for pairs of campaign and source."""
-    wanted = key_set(requested, *LINK_KEY)
-    have = current.select(*LINK_KEY)
-    return (
-        wanted.join(have, LINK_KEY, "left_anti"),
-        have.join(wanted, LINK_KEY, "left_anti"),
-        have.join(wanted, LINK_KEY, "left_semi"),
-    )
+    changes = recipient_changes(current, requested)
+    add, remove, keep = (changes.where(F.col("change") == c).drop("change") for c in ("add", "remove", "keep"))
+    return add, remove, keep
 
 
 def update_selection(

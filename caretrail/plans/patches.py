@@ -163,30 +163,36 @@ class Sync(NamedTuple):
 
 
 def sync_recipients(
-    req: DataFrame, link: DataFrame, as_of: datetime | str, src: DataFrame | None = None
+    req: DataFrame, link: DataFrame, as_of: datetime | str, src: DataFrame | None = None, camp: DataFrame | None = None
 ) -> Sync:
     """Make the recipients of each campaign those of the request (campaignId, referralSourceIds).
 
     No list changes nothing, an empty one removes all; links that stay are untouched. A new recipient that is unknown
-    or listed twice rejects the campaign. The key pair is unique, so the joins on it spread evenly even if one campaign
+    or listed twice rejects the campaign, and so does (given ``camp``) one that does not exist. The key pair is unique, so the joins on it spread evenly even if one campaign
     holds much of the table.
     """
     asked = req.where(F.col("referralSourceIds").isNotNull())
+    missing = None
+    if camp is not None:
+        there = camp.select(F.col("id").alias("campaignId"))
+        missing = asked.select("campaignId").distinct().join(there, "campaignId", "left_anti")
+        asked = asked.join(there, "campaignId", "left_semi")
     listed = asked.select("campaignId", F.explode("referralSourceIds").alias("referralSourceId"))
     wanted = listed.groupBy(*LINK_KEY).agg((F.count(F.lit(1)) > 1).alias("_twice"))
     fresh = wanted.join(link.select(*LINK_KEY), LINK_KEY, "left_anti")
     fresh = mark_known(fresh, src.select("id") if src is not None else None, "referralSourceId", "_source")
     failed = fresh.where(F.col("_twice") | ~F.col("_source")).select("campaignId").distinct()
     rejects = failed.select("campaignId", F.lit(CAMPAIGN_FAILED).alias("reason"))
+    if missing is not None:
+        rejects = rejects.unionByName(missing.select("campaignId", F.lit(CAMPAIGN_MISSING).alias("reason")))
     failed = rekeyed(failed, "campaignId")
     touched = rekeyed(asked.select("campaignId").distinct().join(failed, "campaignId", "left_anti"), "campaignId")
     made = fresh.join(failed, "campaignId", "left_anti").select(*LINK_KEY)
     added = conform(with_defaults(made, "campaign_link", as_of), "campaign_link")
-    dropped = (
-        link.select(*LINK_KEY).join(touched, "campaignId", "left_semi").join(wanted, LINK_KEY, "left_anti")
-    )
-    removed = link.join(dropped, LINK_KEY, "left_semi").select(*link.columns)
-    kept = link.join(dropped, LINK_KEY, "left_anti").select(*link.columns)
+    marked = link.join(touched.withColumn("_touched", F.lit(True)), "campaignId", "left").join(
+        wanted.select(*LINK_KEY, F.lit(True).alias("_wanted")), LINK_KEY, "left")
+    goes = F.col("_touched").isNotNull() & F.col("_wanted").isNull()
+    removed, kept = marked.where(goes).select(*link.columns), marked.where(~goes).select(*link.columns)
     return Sync(kept.unionByName(added, allowMissingColumns=True), added, removed, rejects)
 
 

@@ -428,8 +428,7 @@ def _(listing):
           FROM campaign_link l FULL JOIN kept_recipient k
           ON l.campaignId = k.campaignId AND l.referralSourceId = k.referralSourceId""")
 def _(link, requested):
-    parts = dict(zip(("add", "remove", "keep"), sets.recipient_diff(link, requested)))
-    return sets.append_pages(*[df.withColumn("change", F.lit(name)) for name, df in parts.items()])
+    return sets.recipient_changes(link, requested)
 
 
 @check("toggled_selection", "U3", "referral_source",

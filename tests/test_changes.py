@@ -413,3 +413,11 @@ def test_conform_completes_and_orders(spark):
     df = conform(spark.createDataFrame([("x", 1)], "name string, extra int"), "referral_category")
     assert df.columns == ["id", "name", "description", "createdAt", "updatedAt"]
     assert df.where(F.col("id").isNull()).count() == 1
+
+
+def test_sync_of_a_campaign_that_does_not_exist(spark):
+    camp = spark.createDataFrame([("c",)], "id string")
+    req = spark.createDataFrame([("c", ["b"]), ("nowhere", ["a"])], "campaignId string, referralSourceIds array<string>")
+    sync = patches.sync_recipients(req, links(spark, ("c", "a")), AS_OF, camp=camp)
+    assert {(r.campaignId, r.referralSourceId) for r in sync.table.collect()} == {("c", "b")}
+    assert [(r.campaignId, r.reason) for r in sync.rejects.collect()] == [("nowhere", patches.CAMPAIGN_MISSING)]
