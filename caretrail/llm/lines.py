@@ -3,7 +3,7 @@
 Exact repeats are found on hashes of 128 bits. For near repeats every distinct line is cut into ``EDITS + 1`` segments; a
 line within ``EDITS`` edits of it holds one of them as a substring, at a place that the lengths bound. Segments are
 indexed by (length, segment, content), each line probes the indexes of its own and slightly smaller lengths at those
-places, and pairs that meet are verified by banded bit-parallel edit distance. Letter counts travel with the keys and
+places, and pairs that meet are verified by banded bit-parallel edit distance. Letter parities travel with the keys and
 settle most pairs of a crowded key inside the join, before a row is made of them.
 
 The rule: rows are ordered by (doc_id, hash of the row), null ids as -1. A line of ``LEAST`` bytes or more is kept where
@@ -25,7 +25,7 @@ from caretrail.llm.common import row_keys
 
 EDITS = 2
 LEAST = 24  # bytes
-COUNTED = "etaoinsrhldcumpg"  # whose counts (modulo 16) are compared: an edit changes two of them by one at most
+COUNTED = "etaoinsrhldcumpg"  # of whose counts the parities are compared: an edit changes two of them at most
 
 
 def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
@@ -108,25 +108,15 @@ def _probe_keys(line: Column, edits: int) -> list[Column]:
     return out
 
 
-def letter_counts(line: Column) -> Column:
-    """Sixteen counts of four bits each."""
-    n, packed = F.octet_length(line), F.lit(0).cast("long")
+def letter_parities(line: Column) -> Column:
+    """Bit i: is the count of letter i of ``COUNTED`` odd?"""
+    n, packed = F.octet_length(line), F.lit(0)
     for i, c in enumerate(COUNTED):
-        count = (n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(count, 4 * i))
+        odd = (n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1))
+        packed = packed.bitwiseOR(F.shiftleft(odd, i))
     return packed
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """Sum of the differences of two packed counts, each taken the short way round."""
-    total = F.lit(0)
-    for i in range(16):
-        x = (F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15))).bitwiseAND(
-            F.lit(15))
-        total = total + F.least(x, F.lit(16) - x)
-    return total
-
-
 def _row_lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(*row_keys(F.col("doc_id"), F.col("text")), text.alias("text"))
@@ -142,25 +132,25 @@ def first_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """_k, _h, pos, line of the places (_k, _h, pos). Texts are exchanged by row, lines picked by their place in it."""
+    """_k, _h, pos, line of the places (_k, _h, pos), once for each row that repeats. Texts are exchanged by row."""
     at = places.groupBy("_k", "_h").agg(F.collect_set("pos").alias("at"))
     cut = _row_lines(docs).join(at, ["_k", "_h"]).select("_k", "_h", "at", F.split("text", "\n").alias("all"))
     picked = F.transform("at", lambda p: F.struct(p.alias("pos"), F.get("all", p).alias("line")))
-    return cut.select("_k", "_h", F.explode_outer(picked).alias("x")).select("_k", "_h", "x.*").distinct()
+    return cut.select("_k", "_h", F.explode_outer(picked).alias("x")).select("_k", "_h", "x.*")
 
 
 def near_links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of distinct lines within ``edits`` of each other, as the (h1, _k, _h, pos, line) structs a and b."""
     lines = lines_at(docs, firsts).select("line", F.xxhash64("line").alias("h1"))
-    data = lines.select("h1", F.col("line").cast("binary").alias("b"), letter_counts(F.col("line")).alias("counts"))
-    index = data.select("h1", "counts", F.explode_outer(F.array(*_index_keys(F.col("b"), edits))).alias("key"))
+    data = lines.select("h1", F.col("line").cast("binary").alias("b"), letter_parities(F.col("line")).alias("odd"))
+    index = data.select("h1", "odd", F.explode_outer(F.array(*_index_keys(F.col("b"), edits))).alias("key"))
     probe = data.select(
-        F.col("h1").alias("p1"), F.col("counts").alias("pc"),
-        F.explode_outer(F.array_distinct(F.array(*_probe_keys(F.col("b"), edits)))).alias("key"))
+        F.col("h1").alias("p1"), F.col("odd").alias("podd"),
+        F.explode_outer(F.array(*_probe_keys(F.col("b"), edits))).alias("key"))
     # Equal lengths meet twice; a pair of such lines is taken both ways and once after ``distinct``.
     pairs = index.join(
         probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("p1"))
-        & (counts_apart(F.col("counts"), F.col("pc")) <= 2 * edits)
+        & (F.bit_count(F.col("odd").bitwiseXOR(F.col("podd"))) <= 2 * edits)
     ).select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     texts = lines_at(docs, firsts.join(ends, "h1", "left_semi")).select(
