@@ -88,11 +88,13 @@ def unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     if ledger is not None:
         done = ledger.where(F.col("rules") == rules_version(rules)).select("blob")
         addressed = addressed.join(done, "blob", "left_anti")
-    # the path that hands in the text is chosen over narrow rows; a null path stands in as the smallest
-    first = addressed.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(-1 << 63))).alias("first"))
+    # The path that hands in the text is chosen over narrow rows. Joined by a key made of both, so that the many paths of
+    # one blob are spread; rows that repeat then lie together and fall to one without another exchange.
+    key = F.concat_ws(":", "blob", F.coalesce("path", F.lit(-1 << 63)).cast("string"))
+    first = addressed.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(-1 << 63))).alias("path"))
     return (
-        addressed.withColumn("first", F.coalesce("path", F.lit(-1 << 63)))
-        .join(first, ["blob", "first"], "left_semi").dropDuplicates(["blob"]).select("blob", "text")
+        addressed.withColumn("key", key).join(first.select(key.alias("key")), "key", "left_semi")
+        .dropDuplicates(["key"]).select("blob", "text")
     )
 
 
