@@ -1,9 +1,9 @@
 """MinHash near-dedup on bottom-k sketches from one hash function.
 
 A document's set is its distinct five-word shingles; documents of equal sets are one node. A node's sketch is its ``K``
-smallest hashes. Two sets of similarity 0.75 share more than ``SHARED`` of ``K`` retained values (save for about one pair
-in ten million), so a node need only be listed under its rarest retained values, those that remain when ``SHARED`` - 1
-are left out: values that many unlike documents share make no lists. In an inverted list
+smallest hashes. Two sets of similarity 0.75 share ``SHARED`` of ``K`` retained values at least (save for about one pair
+in 700,000 at that very similarity, fewer above), so a node need only be listed under its rarest retained values, those
+that remain when ``SHARED`` - 1 are left out: values that many unlike documents share make no lists. In an inverted list
 
 1. every node is paired with the list's pivots; the pivot it meets most often is estimated on the sketch of the union and,
    if the estimate allows 0.75, verified on the full sets. A few rounds with other pivots join most of each group;
@@ -64,7 +64,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """value, node, size (of the list): each node under its rarest retained values, as far as others are there too."""
+    """value, node, size (of the list): each node under its rarest retained values, as far as others are there too, and
+    each set of nodes once."""
     entries = nodes.select("node", "n", F.explode_outer("sketch").alias("value"))
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
     ranked = entries.join(counts, "value").groupBy("node", "n").agg(
@@ -72,8 +73,11 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     shared = F.least(F.lit(SHARED), F.ceil(F.col("n") * 3 / 4)).cast("int")
     rarest = F.slice("values", F.lit(1), F.size("values") - shared + 1)
     listed = ranked.select("node", F.explode_outer(rarest).alias("x")).select("node", "x.*").where("size > 1")
-    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return listed.drop("size").join(sizes, "value").select("value", "node", "size")
+    # Near copies share most values: of lists with the same members one is enough, as its pairs are theirs.
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size"), *members).where("size > 1")
+    once = sizes.groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value", "size")
+    return listed.drop("size").join(once, "value").select("value", "node", "size")
 
 
 def union_estimate(a: Column, b: Column) -> Column:
