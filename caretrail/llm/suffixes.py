@@ -33,7 +33,7 @@ from caretrail.llm.shingles import _BASE, _INVERSE, _powers, mixed
 
 LENGTH = 100
 GRAM = 32
-SHARD = 4_000_000  # bytes
+SHARD = 2_000_000  # bytes
 CROWD = 4000  # runs
 COPIES = 500_000  # texts a task remembers to leave out their later copies; the result is the same without
 
