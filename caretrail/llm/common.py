@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,20 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id, F.lit(-1)).alias("_k"), F.xxhash64(doc_id, text).alias("_h")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, in case they can't import it from a path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_caretrail_llm", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="caretrail-")).resolve() / "caretrail_llm.zip"  # Spark sends it from here
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._caretrail_llm = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,6 +80,7 @@ def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, make: Callable[[]
     ``make`` is called once for each partition; what it returns takes a list of texts (or None) and returns one Arrow
     array for each field.
     """
+    ship(df.sparkSession)
     schema = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(fields).fields])
 
     def run(batches):

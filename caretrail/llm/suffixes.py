@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretrail.llm.common import checkpointed, row_keys, stored, whole_text
+from caretrail.llm.common import checkpointed, row_keys, ship, stored, whole_text
 from caretrail.llm.shingles import _BASE, _INVERSE, _powers, mixed
 
 LENGTH = 100
@@ -294,6 +294,7 @@ def _cut(batches):
 
 def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
+    ship(docs.sparkSession)
     text = whole_text(F.col("text"))
     rows = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), text.alias("text"))
     # 1: the first row of each text, over narrow rows

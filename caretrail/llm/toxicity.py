@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import map_texts
+from caretrail.llm.common import map_texts, ship
 
 EXAMPLES = 3000
 TERMS = 512
@@ -142,6 +142,7 @@ def _vectors(vocabulary: dict[str, int]):
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """Learns from labels of documents outside the held-out fifth; what reaches the driver is bounded by the parameters."""
+    ship(docs.sparkSession)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
