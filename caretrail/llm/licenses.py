@@ -1,32 +1,37 @@
 """License scans by conditional compression.
 
-Lines that speak of a license are candidate blocks. Each block is compressed alone and with each template as a zstandard
-raw-content dictionary; templates are ranked by the bytes they save, and the best are confirmed by comparing wording: the
-template's words must appear in the block in order, with few words missing and few foreign ones between. A block may so
-carry a notice within other text, and two notices are told apart by the words in which they differ.
-
-Defined results: null and empty texts and texts without candidates have no license; a block equal in length to another
-result is ranked by template order; rows that repeat are judged each; columns besides doc_id and text are ignored.
+Around each cue, a wording that speaks of a license, a window of words is cut on both sides that holds the longest template
+with its allowed foreign words, so no block grows with the text. Every template is aligned with the window: its words must
+appear in order, with few missing and few foreign ones between. What is aligned is compressed alone and with the template
+as a zstandard raw-content dictionary, and counts if that saves bytes; of alignments that overlap, the one with the fewest
+differences is taken, then the one that saves most. A line of any length may so carry notices within other text,
+and two notices are told apart by the words in which they differ.
+
+Defined results: null and empty texts and texts without cues have no license; alignments equal in differences and saving
+are ranked by template order; n_candidates counts the lines in which a cue begins; rows that repeat are judged each;
+columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import map_texts, row_keys, whole_text
+from caretrail.llm.common import map_texts, whole_text
 
-CUES = r"(?i)licen[sc]e|copyright|\bspdx\b|public domain|permission is hereby|\bcc[ -](by|0)|redistribution and use"
-RANKED = 3  # templates whose wording is compared
+CUES = (r"(?i)licen[sc]e|copyright|(?<![a-z0-9_])spdx(?![a-z0-9_])|public domain|permission is hereby"
+        r"|(?<![a-z0-9_])cc[ -](by|0)|redistribution and use")
 MAX_MISSING = 0.1  # of the template's words
 MAX_FOREIGN = 0.25  # words between, as a part of the template's
 LEAST_SAVED = 4  # bytes
 KNOWN_BLOCKS = 50_000
+WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 # The notices' public wordings.
 TEMPLATES = (
@@ -64,98 +69,168 @@ class Match:
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+    return WORD.findall(text.lower())
 
 
-def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and words of the block between the first and the last it shares."""
-    pieces = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    if not pieces:
-        return template, []
-    missing, foreign, at, to = [], [], 0, pieces[0].b
-    for m in pieces:
-        missing += template[at:m.a]
-        foreign += block[to:m.b]
-        at, to = m.a + m.size, m.b + m.size
-    return missing + template[at:], foreign
+@dataclass(frozen=True)
+class Alignment:
+    """A template within a list of words: words start to end (excluded), and the places of the matched words in both."""
+    template: int
+    start: int
+    end: int
+    pairs: tuple[tuple[int, int], ...]
 
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         import zstandard
 
-        self.templates = [(name, words_of(text)) for name, text in templates]
+        self.names = [name for name, _ in templates]
+        self.templates = [words_of(text) for _, text in templates]
+        self.cues = re.compile(CUES, re.ASCII)
+        self.reach = max(len(t) + int(MAX_FOREIGN * len(t)) for t in self.templates)
         self.alone = zstandard.ZstdCompressor(level=6, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-                text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
-        self.match = lru_cache(KNOWN_BLOCKS)(self._match)
+                " ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
+        self.saved = lru_cache(KNOWN_BLOCKS)(self._saved)
+
+    def _saved(self, block: str, template: int) -> int:
+        """Bytes that the template saves on a block of words."""
+        data = block.encode()
+        return len(self.alone.compress(data)) - len(self.given[template].compress(data))
 
     def ranking(self, block: str) -> list[tuple[int, int]]:
         """(bytes saved, template) from the best on."""
-        data = block.lower().encode()
-        base = len(self.alone.compress(data))
-        saved = [(base - len(c.compress(data)), i) for i, c in enumerate(self.given)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def _match(self, block: str) -> Match | None:
-        """The confirmed template with the fewest differences among the best ranked ones."""
-        best = None
-        words = words_of(block)
-        ranked = self.ranking(block)
-        least = ranked[min(RANKED, len(ranked)) - 1][0]
-        for saved, i in ranked:
-            if saved < max(least, LEAST_SAVED):  # templates that save as much as the last ranked are compared too
-                break
-            name, template = self.templates[i]
-            missing, foreign = differences(template, words)
-            if any(c.isdigit() for c in "".join(missing)):  # another version is another license
-                continue
-            if len(missing) <= MAX_MISSING * len(template) and len(foreign) <= MAX_FOREIGN * len(template):
-                cost = (len(missing) + len(foreign), -saved, i)
-                if best is None or cost < best[0]:
-                    best = (cost, Match(name, saved, " ".join(missing), " ".join(foreign)))
-        return best[1] if best else None
-
-
-def _matches(templates: tuple[tuple[str, str], ...]):
+        block = " ".join(words_of(block))
+        return sorted(((self._saved(block, i), i) for i in range(len(self.given))), key=lambda x: (-x[0], x[1]))
+
+    def alignments(self, number: int, words: list[str]) -> Iterator[Alignment]:
+        """Every end at which the template is found within its bounds, with the fewest foreign words for it.
+
+        A state is (template words passed, of these missing); it keeps the foreign words so far, the first word and the
+        matched ones as a linked list. Numbers can't be missing: another version is another license.
+        """
+        template = self.templates[number]
+        n, most_missing, most_foreign = len(template), int(MAX_MISSING * len(template)), int(MAX_FOREIGN * len(template))
+        vital = [any(c.isdigit() for c in w) for w in template]
+        known, lack = set(words), 0
+        for word, needed in zip(template, vital, strict=True):
+            lack += 0 if word in known else most_missing + 1 if needed else 1
+        if lack > most_missing:
+            return
+        states: dict[tuple[int, int], tuple] = {}
+        for j, word in enumerate(words):
+            after: dict[tuple[int, int], tuple] = {}
+            for (i, m), (foreign, start, pairs) in [*states.items(), ((0, 0), (0, j, None))]:
+                if pairs and foreign < most_foreign:
+                    _keep(after, (i, m), (foreign + 1, start, pairs))
+                while m <= most_missing and i < n:
+                    if template[i] == word:
+                        _keep(after, (i + 1, m), (foreign, start, (pairs, i, j)))
+                    if vital[i]:
+                        break
+                    i, m = i + 1, m + 1
+            states = after
+            for (i, m), (_, start, pairs) in states.items():
+                if pairs[2] == j and m + n - i <= most_missing and not any(vital[i:]):
+                    yield Alignment(number, start, j + 1, _path(pairs))
+
+    def confirmed(self, words: list[str]) -> Iterator[tuple[tuple, Alignment, Match]]:
+        """(cost, alignment, match) of all that is aligned and saves bytes."""
+        for number, template in enumerate(self.templates):
+            for a in self.alignments(number, words):
+                saved = self.saved(" ".join(words[a.start:a.end]), number)
+                if saved < LEAST_SAVED:
+                    continue
+                there, here = {i for i, _ in a.pairs}, {j for _, j in a.pairs}
+                missing = [w for i, w in enumerate(template) if i not in there]
+                foreign = [words[j] for j in range(a.start, a.end) if j not in here]
+                yield ((len(missing) + len(foreign), -saved, number, a.start, a.end), a,
+                       Match(self.names[number], saved, " ".join(missing), " ".join(foreign)))
+
+    def match(self, block: str) -> Match | None:
+        """The confirmed template with the fewest differences."""
+        return min(self.confirmed(words_of(block)), key=lambda x: x[0], default=(None, None, None))[2]
+
+    def windows(self, text: str) -> tuple[int, list[list[str]]]:
+        """The number of lines in which a cue begins, and the words around the cues; windows that meet become one."""
+        cues = list(self.cues.finditer(text))
+        spans = [m.span() for m in WORD.finditer(text)] if cues else []
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
+        runs: list[list[int]] = []
+        for cue in cues:
+            lo = max(0, bisect_right(ends, cue.start()) - self.reach)
+            hi = min(len(spans), bisect_left(starts, cue.end()) + self.reach)
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(hi, runs[-1][1])
+            else:
+                runs.append([lo, hi])
+        at, line, lines = 0, 0, set()
+        for cue in cues:
+            line += text.count("\n", at, cue.start())
+            at = cue.start()
+            lines.add(line)
+        return len(lines), [[text[a:b] for a, b in spans[lo:hi]] for lo, hi in runs]
+
+    def scan(self, text: str) -> tuple[int, list[Match]]:
+        """The number of candidate lines and the confirmed notices, which don't overlap."""
+        candidates, found = 0, []
+        for line in text.lower().split("\n"):
+            n, windows = self.windows(line)
+            candidates += n
+            best = min((x for words in windows for x in self.confirmed(words)), key=lambda x: x[0], default=None)
+            if best:
+                found.append(best[2])
+        return candidates, found
+
+
+def _keep(states: dict[tuple[int, int], tuple], key: tuple[int, int], new: tuple) -> None:
+    if key not in states or new[0] < states[key][0]:
+        states[key] = new
+
+
+def _path(pairs: tuple | None) -> tuple[tuple[int, int], ...]:
+    out = []
+    while pairs:
+        pairs, i, j = pairs
+        out.append((i, j))
+    return tuple(reversed(out))
+
+
+def _scans(templates: tuple[tuple[str, str], ...]):
     import pyarrow as pa
 
     scanner = Scanner(templates)
+    kind = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.int32()), ("missing", pa.string()),
+                               ("foreign", pa.string())]))
 
-    def work(blocks: list[str | None]) -> list[pa.Array]:
-        found = [scanner.match(b) for b in blocks]
-        return [
-            pa.array([m and m.license for m in found], pa.string()), pa.array([m and m.saved for m in found], pa.int32()),
-            pa.array([m and m.missing for m in found], pa.string()), pa.array([m and m.foreign for m in found], pa.string())]
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        out = [scanner.scan(t) if t else (0, []) for t in texts]
+        return [pa.array([n for n, _ in out], pa.int64()), pa.array([[vars(m) for m in found] for _, found in out], kind)]
 
     return work
 
 
-def candidate_blocks(docs: DataFrame) -> DataFrame:
-    """_k, _h (the row), line (its number), block: every line that speaks of a license. Found inside the JVM."""
-    text = whole_text(F.col("text"))
-    lines = docs.select(*row_keys(F.col("doc_id"), F.col("text")), F.when(text.rlike(CUES), text).alias("t"))
-    return lines.where(F.col("t").isNotNull()).select(
-        "_k", "_h", F.posexplode_outer(F.split("t", "\n")).alias("line", "block")).where(F.col("block").rlike(CUES))
-
+def license_notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc_id, n_candidates and notices (license, saved, missing, foreign of each) of every row.
 
-def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """_k, _h, line, license (null where none is confirmed), saved, missing, foreign of every candidate block."""
-    return map_texts(candidate_blocks(docs), ("_k", "_h", "line"), "block", lambda: _matches(templates),
-                     "license string, saved int, missing string, foreign string")
+    Texts without a cue are told inside the JVM and not handed out.
+    """
+    text = whole_text(F.col("text"))
+    rows = docs.select("doc_id", F.when(text.rlike(CUES), text).alias("text"))
+    return map_texts(rows, ("doc_id",), "text", lambda: _scans(templates), "n_candidates long, "
+                     "notices array<struct<license:string,saved:int,missing:string,foreign:string>>")
 
 
 def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_candidates, n_confirmed, licenses (sorted, comma-joined), differences of every row."""
-    per_row = license_blocks(docs, templates).distinct().groupBy("_k", "_h").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.count("license").alias("n_confirmed"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.array_join(F.array_sort(F.collect_set(F.when(
-            F.col("license").isNotNull() & ((F.length("missing") > 0) | (F.length("foreign") > 0)),
-            F.concat("license", F.lit(" -"), "missing", F.lit(" +"), "foreign")))), ";").alias("differences"))
-    rows = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")))
-    return rows.join(per_row, ["_k", "_h"], "left").select(
-        "doc_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
-        F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("licenses", F.lit("")).alias("licenses"),
-        F.coalesce("differences", F.lit("")).alias("differences"))
+    def joined(column, separator):
+        return F.array_join(F.array_sort(F.array_distinct(column)), separator)
+
+    differ = F.filter("notices", lambda x: (F.length(x["missing"]) > 0) | (F.length(x["foreign"]) > 0))
+    return license_notices(docs, templates).select(
+        "doc_id", "n_candidates", F.size("notices").cast("long").alias("n_confirmed"),
+        joined(F.col("notices.license"), ",").alias("licenses"),
+        joined(F.transform(differ, lambda x: F.concat(x["license"], F.lit(" -"), x["missing"], F.lit(" +"), x["foreign"])),
+               ";").alias("differences"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from caretrail.llm import licenses as m
@@ -50,3 +52,19 @@ def test_edges(spark):
         [(1, "", 0, 0), (2, "", 0, 0), (3, "", 0, 0), (4, "", 1, 0), (5, "MIT", 1, 1), (None, "CC-BY-4.0", 1, 1),
          (6, "CC-BY-4.0,MIT", 2, 2), (7, "MIT", 1, 1), (7, "MIT", 1, 1)], key=repr)
     assert m.licenses(df.limit(0)).count() == 0
+
+
+def _licenses(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for _, r in sorted((r.doc_id, (r.licenses, r.n_confirmed, r.differences)) for r in m.licenses(df).collect())]
+
+
+@pytest.mark.parametrize("size", [1_000, 8_000, 40_000, 200_000])
+def test_notice_within_a_long_line_of_real_words(spark, texts, size):
+    words = " ".join(t for t in texts.values() if not re.search(m.CUES, t)).split()
+    while sum(map(len, words)) + len(words) < size:
+        words += words
+    line = " ".join(words)[:size].split()
+    half, templates = len(line) // 2, [x for x in m.TEMPLATES if re.search(m.CUES, x[1])]
+    got = _licenses(spark, [" ".join([*line[:half], notice, *line[half:]]) for _, notice in templates])
+    assert [(names, differ) for names, _, differ in got] == [(name, "") for name, _ in templates]
