@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from caretrail.llm.common import map_texts, whole_text
 
 CUES = (r"(?i)licen[sc]e|copyright|(?<![a-z0-9_])spdx(?![a-z0-9_])|public domain|permission is hereby"
-        r"|(?<![a-z0-9_])cc[ -](by|0)|redistribution and use")
+        r"|hereby granted|permission to use,? copy|(?<![a-z0-9_])cc[ -](by|0)|redistribution and use")
 MAX_MISSING = 0.1  # of the template's words
 MAX_FOREIGN = 0.25  # words between, as a part of the template's
 LEAST_SAVED = 4  # bytes
@@ -179,9 +179,15 @@ class Scanner:
         for line in text.lower().split("\n"):
             n, windows = self.windows(line)
             candidates += n
-            best = min((x for words in windows for x in self.confirmed(words)), key=lambda x: x[0], default=None)
-            if best:
-                found.append(best[2])
+            for words in windows:
+                starts, ends = [], []  # of what is taken, in order
+                for _, a, match in sorted(self.confirmed(words), key=lambda x: x[0]):
+                    at = bisect_left(starts, a.end)
+                    if at and ends[at - 1] > a.start:
+                        continue
+                    starts.insert(at, a.start)
+                    ends.insert(at, a.end)
+                    found.append(match)
         return candidates, found
 
 

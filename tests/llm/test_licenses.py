@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -65,6 +66,53 @@ def test_notice_within_a_long_line_of_real_words(spark, texts, size):
     while sum(map(len, words)) + len(words) < size:
         words += words
     line = " ".join(words)[:size].split()
-    half, templates = len(line) // 2, [x for x in m.TEMPLATES if re.search(m.CUES, x[1])]
-    got = _licenses(spark, [" ".join([*line[:half], notice, *line[half:]]) for _, notice in templates])
-    assert [(names, differ) for names, _, differ in got] == [(name, "") for name, _ in templates]
+    half = len(line) // 2
+    got = _licenses(spark, [" ".join([*line[:half], notice, *line[half:]]) for _, notice in m.TEMPLATES])
+    assert [(names, differ) for names, _, differ in got] == [(name, "") for name, _ in m.TEMPLATES]
+
+
+def test_several_notices(spark):
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = [f"{mit} {apache}", f"{mit} {mit}", " ".join(x for _, x in m.TEMPLATES), f"{mit}\n{apache}",
+             f"This work is hereby licensed under the GNU General Public License, version 3. {mit}"]
+    everything = ",".join(sorted({x for x, _ in m.TEMPLATES}))
+    assert _licenses(spark, texts) == [
+        ("Apache-2.0,MIT", 2, ""), ("MIT", 2, ""), (everything, len(m.TEMPLATES), ""), ("Apache-2.0,MIT", 2, ""),
+        ("GPL-3.0,MIT", 2, "GPL-3.0 - +hereby")]
+
+
+def test_the_query_finds_every_template(spark):
+    assert _licenses(spark, [x for _, x in m.TEMPLATES]) == [(name, 1, "") for name, _ in m.TEMPLATES]
+
+
+def test_alignments_against_brute_force():
+    """Which templates are found at all, against all ways to leave words out of the template and of the text."""
+    rng = random.Random(5)
+    template = "permission to use copy and change this for any end is free 2".split()
+    scanner = m.Scanner((("x", " ".join(template)),))
+    most_missing, most_foreign = int(m.MAX_MISSING * len(template)), int(m.MAX_FOREIGN * len(template))
+
+    def shared(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(max(row[j + 1], row[j] + 1) if x == y else row[j + 1] for j, y in enumerate(b))]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    found = 0
+    for _ in range(300):
+        words = [w for w in template if rng.random() > 0.06]
+        for _ in range(rng.randint(0, 4)):
+            words.insert(rng.randint(0, len(words)), rng.choice(["foreign", "to", "2", "use"]))
+        words = ["a", "to", *words, "b", "2"]
+        spans = [words[i:j] for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        want = any("2" in x and x[-1] == "2" and len(template) - shared(template, x) <= most_missing
+                   and len(x) - shared(template, x) <= most_foreign for x in spans)
+        got = list(scanner.alignments(0, words))
+        assert bool(got) == want
+        found += want
+        for a in got:
+            assert [template[i] for i, _ in a.pairs] == [words[j] for _, j in a.pairs]
+            assert a.pairs == tuple(sorted(a.pairs)) and (a.pairs[0][1], a.pairs[-1][1] + 1) == (a.start, a.end)
+    assert 30 < found < 270
