@@ -4,7 +4,7 @@ Around each cue, a wording that speaks of a license, a window of words is cut on
 with its allowed foreign words, so no block grows with the text. Every template is aligned with the window: its words must
 appear in order, with few missing and few foreign ones between. What is aligned is compressed alone and with the template
 as a zstandard raw-content dictionary, and counts if that saves bytes; of alignments that overlap, the one with the fewest
-differences is taken, then the one that saves most. A line of any length may so carry notices within other text,
+differences is taken, then the one that saves most. A text may so carry notices within other text, in lines of any length,
 and two notices are told apart by the words in which they differ.
 
 Defined results: null and empty texts and texts without cues have no license; alignments equal in differences and saving
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from caretrail.llm.common import map_texts, whole_text
 
-CUES = (r"(?i)licen[sc]e|copyright|(?<![a-z0-9_])spdx(?![a-z0-9_])|public domain|permission is hereby"
-        r"|hereby granted|permission to use,? copy|(?<![a-z0-9_])cc[ -](by|0)|redistribution and use")
+GAP = r"[\s!-/:-@\[-`{-~]+"  # between two words, over line ends and comment marks
+CUES = (rf"(?i)licen[sc]e|copyright|(?<![a-z0-9_])spdx(?![a-z0-9_])|public{GAP}domain|permission{GAP}is{GAP}hereby"
+        rf"|hereby{GAP}granted|permission{GAP}to{GAP}use{GAP}copy|(?<![a-z0-9_])cc{GAP}(by|0)|redistribution{GAP}and{GAP}use")
 MAX_MISSING = 0.1  # of the template's words
 MAX_FOREIGN = 0.25  # words between, as a part of the template's
 LEAST_SAVED = 4  # bytes
@@ -175,19 +176,17 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[Match]]:
         """The number of candidate lines and the confirmed notices, which don't overlap."""
-        candidates, found = 0, []
-        for line in text.lower().split("\n"):
-            n, windows = self.windows(line)
-            candidates += n
-            for words in windows:
-                starts, ends = [], []  # of what is taken, in order
-                for _, a, match in sorted(self.confirmed(words), key=lambda x: x[0]):
-                    at = bisect_left(starts, a.end)
-                    if at and ends[at - 1] > a.start:
-                        continue
-                    starts.insert(at, a.start)
-                    ends.insert(at, a.end)
-                    found.append(match)
+        candidates, windows = self.windows(text.lower())
+        found = []
+        for words in windows:
+            starts, ends = [], []  # of what is taken, in order
+            for _, a, match in sorted(self.confirmed(words), key=lambda x: x[0]):
+                at = bisect_left(starts, a.end)
+                if at and ends[at - 1] > a.start:
+                    continue
+                starts.insert(at, a.start)
+                ends.insert(at, a.end)
+                found.append(match)
         return candidates, found
 
 

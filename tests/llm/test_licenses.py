@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -116,3 +117,18 @@ def test_alignments_against_brute_force():
             assert [template[i] for i, _ in a.pairs] == [words[j] for _, j in a.pairs]
             assert a.pairs == tuple(sorted(a.pairs)) and (a.pairs[0][1], a.pairs[-1][1] + 1) == (a.start, a.end)
     assert 30 < found < 270
+
+
+@pytest.mark.parametrize("width, mark", [(20, ""), (40, "# "), (72, " * "), (80, "// ")])
+def test_notice_wrapped_over_lines(spark, width, mark):
+    wrapped = ["\n".join(mark + x for x in textwrap.wrap(f"Some words before that. {notice} And some after.", width))
+               for _, notice in m.TEMPLATES]
+    assert sum("\n" in x for x in wrapped) > 3
+    assert _licenses(spark, wrapped) == [(name, 1, "") for name, _ in m.TEMPLATES]
+
+
+def test_every_break_between_two_words(spark):
+    name, notice = m.TEMPLATES[5]
+    words = notice.split()
+    broken = [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in range(1, len(words))]
+    assert _licenses(spark, broken) == [(name, 1, "")] * len(broken)
