@@ -1,10 +1,11 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact weighted TF-IDF cosine over an inverted index.
 
 The model is a set of at most ``EXAMPLES`` labelled documents of each class (those with the smallest hashes of the id; a
-documented bound, so it can be broadcast), as sparse vectors over at most ``TERMS`` terms: words and the first four or
-five letters of words that go along with the label. Document frequencies count all documents. Postings are kept in
-blocks of examples with the largest weight of each term; a query opens blocks in the order of their bounds until no bound
-beats its k-th neighbour. Votes are weighted by closeness and by what an example stands for in the whole label table, and
+documented bound, so it can be broadcast), as sparse vectors over all their terms: words and the first four or five
+letters of words. A term weighs its inverse document frequency, counted over all documents, times its association with
+the label (the phi coefficient among the examples) plus ``FLOOR``, so that no term is without weight. Texts are compared
+in batches: terms of many examples by a matrix product, the others by their postings; both take part in every cosine.
+Votes are weighted by closeness and by what an example stands for in the whole label table, and
 shrunk to the base rate, so a score is a calibrated probability; the neighbours are the evidence.
 
 Defined results: a text without any term (a null or empty one too) has the rate of such examples; without labels all
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from caretrail.llm.common import map_texts, ship
 
 EXAMPLES = 3000
-TERMS = 512
-LEAST_CHI2 = 30.0
+FLOOR = 0.01  # weight of a term that tells nothing about the label; the largest phi is 1
 NEIGHBOURS = 15
-BLOCK = 128
+BLOCK = 128  # texts compared at once
+DENSE = 1024  # terms, at most, that are compared by a matrix product
 SHRINK = 0.5
 KNOWN_WORDS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,8 +56,55 @@ class _Terms(dict):
         return found
 
     def counts(self, text: str | None) -> Counter:
-        words = _WORD.findall(text.lower()) if isinstance(text, str) else ()
-        return Counter(t for found in map(self.__getitem__, words) if found for t in found)
+        out = Counter()
+        for word, n in Counter(_WORD.findall(text.lower()) if isinstance(text, str) else ()).items():
+            for t in self[word] or ():
+                out[t] += n
+        return out
+
+
+class Index:
+    """Postings of the examples in arrays, and those of the most common terms as rows of a matrix."""
+
+    def __init__(self, postings: dict[int, tuple[np.ndarray, np.ndarray]], terms: int, examples: int):
+        lengths = np.zeros(terms, np.int64)
+        for t, (at, _) in postings.items():
+            lengths[t] = len(at)
+        self.examples, self.start, self.length = examples, np.cumsum(lengths) - lengths, lengths
+        order = sorted(postings)
+        self.at = np.concatenate([np.zeros(0, np.int64), *(postings[t][0] for t in order)])
+        self.weight = np.concatenate([np.zeros(0), *(postings[t][1] for t in order)])
+        common = np.argsort(-lengths, kind="stable")[:DENSE]
+        common = common[lengths[common] > examples / 16]
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.common = common
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.common), self.examples))
+        for i, t in enumerate(self.common):
+            entries = slice(self.start[t], self.start[t] + self.length[t])
+            out[i, self.at[entries]] = self.weight[entries]
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "dense"}
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of each query (terms, weights) with each example."""
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms, x = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        rows = self.row[terms]
+        common = rows >= 0
+        left = np.zeros((len(queries), len(self.common)))
+        left[of[common], rows[common]] = x[common]
+        of, terms, x = of[~common], terms[~common], x[~common]
+        n = self.length[terms]
+        entry = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rare = np.bincount(np.repeat(of, n) * self.examples + self.at[entry], np.repeat(x, n) * self.weight[entry],
+                           len(queries) * self.examples)
+        return left @ self.dense + rare.reshape(len(queries), self.examples)
 
 
 @dataclass
@@ -66,65 +115,76 @@ class Model:
     toxic: np.ndarray
     weight: np.ndarray
     postings: dict[int, tuple[np.ndarray, np.ndarray]]  # term: example numbers in order, weights
-    block_max: np.ndarray  # term x block
+    block_max: np.ndarray  # term x block; not read any more, for callers that make a model by hand
     base: float  # rate among all labelled documents
     bare: float  # rate among examples without terms
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()} if norm else {}
+        terms, x = self.arrays(np.fromiter(counts.keys(), np.int64, len(counts)),
+                               np.fromiter(counts.values(), float, len(counts)))
+        return dict(zip(terms.tolist(), x.tolist(), strict=True))
 
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights in a vector of length 1."""
+        x = (1 + np.log(counts)) * self.idf[terms]
+        return terms, x / math.sqrt(x @ x) if len(x) else x
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.postings, len(self.idf), len(self.ids))
+
+    def __getstate__(self):
+        return {**vars(self), "index": self.index, "postings": {}}  # executors need the index alone
+
+    def best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (ties: the earlier example) and the cosines; those of 0 are left out."""
-        terms = np.fromiter(query, int, len(query))
-        bound = np.fromiter(query.values(), float, len(query)) @ self.block_max[terms]
-        at, cos = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(at) == k and bound[b] < cos[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in query.items():
-                examples, weights = self.postings[t]
-                lo, hi = np.searchsorted(examples, (b * BLOCK, (b + 1) * BLOCK))
-                scores[examples[lo:hi] - b * BLOCK] += q * weights[lo:hi]
-            new = np.flatnonzero(scores > 0)
-            at, cos = np.r_[at, new + b * BLOCK], np.r_[cos, scores[new]]
-            best = np.lexsort((at, -np.round(cos, 12)))[:k]
-            at, cos = at[best], cos[best]
-        return at, cos
-
-    def score(self, counts: Counter) -> tuple[float, list[tuple[int, float]]]:
-        query = self.vector(counts)
-        if not query:
-            return self.bare, []
-        at, cos = self.nearest(query)
-        votes = cos * self.weight[at]
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
+        at = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
+        x = np.round(cos[at], 12)
+        best = np.lexsort((at, -x))[:k]
+        return at[best], x[best]
+
+    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.best(self.index.cosines([(np.fromiter(query, np.int64, len(query)),
+                                              np.fromiter(query.values(), float, len(query)))])[0], k)
+
+    def scores(self, texts: list[Counter]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and evidence of the texts whose terms are given."""
+        out: list[tuple[float, list[tuple[int, float]]]] = [(self.bare, [])] * len(texts)
+        used = [i for i, c in enumerate(texts) if c]
         scale = SHRINK * self.weight.mean() if len(self.weight) else 1.0
-        score = (votes @ self.toxic[at] + scale * self.base) / (votes.sum() + scale)
-        return float(score), [(int(self.ids[i]), round(float(c), 6)) for i, c in zip(at[:3], cos[:3], strict=True)]
+        for lo in range(0, len(used), BLOCK):
+            part = used[lo:lo + BLOCK]
+            cosines = self.index.cosines([self.arrays(
+                np.fromiter(texts[i].keys(), np.int64, len(texts[i])),
+                np.fromiter(texts[i].values(), float, len(texts[i]))) for i in part])
+            for i, row in zip(part, cosines, strict=True):
+                at, cos = self.best(row)
+                votes = cos * self.weight[at]
+                score = (votes @ self.toxic[at] + scale * self.base) / (votes.sum() + scale)
+                out[i] = float(score), [
+                    (int(self.ids[j]), round(float(c), 6)) for j, c in zip(at[:3], cos[:3], strict=True)]
+        return out
 
 
 def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 5 == 0
 
 
-def _class_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        seen = (Counter(), Counter())
-        for text, y in zip(batch["text"], batch["toxic"], strict=True):
-            words = set(_WORD.findall(text.lower())) if isinstance(text, str) else ()
-            seen[int(y)].update({t for w in words for t in word_terms(w)})
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": terms, "n0": [seen[0][t] for t in terms], "n1": [seen[1][t] for t in terms]})
+        words = {w for text in batch["text"] if isinstance(text, str) for w in _WORD.findall(text.lower())}
+        yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype="str")
 
 
 def _term_counts(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int]) -> Iterator[pd.DataFrame]:
-    known, total = _Terms(vocabulary), Counter()
+    known, total = _Terms(vocabulary), np.zeros(len(vocabulary), np.int64)
     for batch in batches:
         for text in batch["text"]:
-            total.update(known.counts(text).keys())
-    yield pd.DataFrame({"term": list(total.keys()), "n": list(total.values())}, dtype="int64")
+            found = {t for w in set(_WORD.findall(text.lower())) for t in known[w] or ()} if isinstance(text, str) else ()
+            total[np.fromiter(found, np.int64, len(found))] += 1
+    terms = np.flatnonzero(total)
+    yield pd.DataFrame({"term": terms, "n": total[terms]})
 
 
 def _vectors(vocabulary: dict[str, int]):
@@ -140,69 +200,70 @@ def _vectors(vocabulary: dict[str, int]):
     return work
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """Learns from labels of documents outside the held-out fifth; what reaches the driver is bounded by the parameters."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Learns from labels of documents outside the held-out fifth; the driver gets the examples' terms and their counts."""
     ship(docs.sparkSession)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     chosen = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    counts = sample.mapInPandas(_class_terms, "term string, n0 long, n1 long").groupBy("term").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    m = [max(1, min(examples, totals.get(y, 0))) for y in (0, 1)]
-    n, r0, r1 = m[0] + m[1], F.col("n0"), F.col("n1")
-    cross = r1 * (m[0] - r0) - r0 * (m[1] - r1)
-    chi2 = cross.cast("double") * cross * n / ((r0 + r1) * (n - r0 - r1 + 1e-9) * m[0] * m[1])
-    picked = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(
-        F.desc("chi2"), "term").limit(terms).collect()
-    vocabulary = {r.term: i for i, r in enumerate(picked)}
+    terms = sample.select("text").mapInPandas(_terms_of, "term string").distinct().toArrow()["term"].to_pylist()
+    vocabulary = {t: i for i, t in enumerate(sorted(terms))}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     everywhere = docs.select("text").mapInPandas(
-        lambda it: _term_counts(it, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in everywhere.collect()}
+        lambda it: _term_counts(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = np.zeros(len(vocabulary))
+    if vocabulary:
+        counted = everywhere.toArrow()
+        df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     rows = docs.count() if vocabulary else 0
-    idf = np.array([math.log((rows + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
-    found = sorted(map_texts(sample, ("doc_id", "toxic"), "text", lambda: _vectors(vocabulary),
-                             "terms array<int>, n array<int>").collect())
-    per = [totals.get(y, 0) / max(1, sum(r.toxic == y for r in found)) for y in (0, 1)]
-    bare = [r.toxic for r in found if not r.terms]
+    found = map_texts(sample, ("doc_id", "toxic"), "text", lambda: _vectors(shared.value),
+                      "terms array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids, toxic = (found[c].to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    vectors = [(np.array(t.values, np.int64), np.array(n.values, float))
+               for t, n in zip(found["terms"], found["n"], strict=True)]
+    size = np.array([len(t) for t, _ in vectors], np.int64)
+    per = np.array([totals.get(y, 0) / max(1, (toxic == y).sum()) for y in (0, 1)])
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    mass = sum(per[y] for y in bare)
-    model = Model(vocabulary, idf, *(np.zeros(0) for _ in range(3)), {}, np.zeros((len(vocabulary), 0)), base,
-                  sum(per[1] for y in bare if y) / mass if mass else base)
-    used = [r for r in found if r.terms]
-    model.ids = np.array([r.doc_id for r in used], np.int64)
-    model.toxic = np.array([r.toxic for r in used], float)
-    model.weight = np.array([per[r.toxic] for r in used], float)
-    lists: dict[int, list[tuple[int, float]]] = {t: [] for t in range(len(vocabulary))}
-    for i, r in enumerate(used):
-        for t, x in model.vector(Counter(dict(zip(r.terms, r.n, strict=True)))).items():
-            lists[t].append((i, x))
-    blocks = -(-len(used) // BLOCK)
-    model.block_max = np.zeros((len(vocabulary), blocks))
-    for t, entries in lists.items():
-        at, x = np.array([e[0] for e in entries], int), np.array([e[1] for e in entries], float)
-        model.postings[t] = (at, x)
-        np.maximum.at(model.block_max[t], at // BLOCK, x)
+    bare = toxic[size == 0]
+    used = np.flatnonzero(size)
+    at, term = np.repeat(np.arange(len(used)), size[used]), np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+    weights = (np.log((rows + 1) / (df + 1)) + 1) * (association(term, toxic[used][at], len(vocabulary), toxic) + FLOOR)
+    model = Model(vocabulary, weights, ids[used], toxic[used].astype(float), per[toxic[used]], {},
+                  np.zeros((len(vocabulary), 0)), base,
+                  float(per[1] * bare.sum() / per[bare].sum()) if len(bare) else base)
+    x = np.concatenate([np.zeros(0), *(model.arrays(*vectors[i])[1] for i in used)])
+    order = np.argsort(term, kind="stable")
+    cuts = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    at, x = at[order].astype(np.int64), x[order]
+    model.postings = {t: (at[cuts[t]:cuts[t + 1]], x[cuts[t]:cuts[t + 1]]) for t in range(len(vocabulary))}
     return model
 
 
+def association(term: np.ndarray, toxic: np.ndarray, terms: int, labels: np.ndarray) -> np.ndarray:
+    """Phi coefficient, without its sign, of each term and the label: from 0 (none) to 1, at any number of examples."""
+    r = [np.bincount(term[toxic == y], minlength=terms).astype(float) for y in (0, 1)]
+    m = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    n = m[0] + m[1]
+    with_term = r[0] + r[1]
+    return np.abs(r[1] * (m[0] - r[0]) - r[0] * (m[1] - r[1])) / np.sqrt(
+        np.maximum(1e-9, with_term * (n - with_term) * m[0] * m[1]))
+
+
 def _scores(model: Model):
     import pyarrow as pa
 
-    known, done = _Terms(model.vocabulary), {}
+    known = _Terms(model.vocabulary)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def work(texts: list[str | None]) -> list[pa.Array]:
-        out = []
-        for text in texts:
-            counts = known.counts(text)
-            key = tuple(sorted(counts.items()))
-            if key not in done:
-                if len(done) > KNOWN_WORDS // 10:
-                    done.clear()
-                done[key] = model.score(counts)
-            out.append(done[key])
+        different = list(dict.fromkeys(texts))
+        done = {}
+        for lo in range(0, len(different), 4 * BLOCK):
+            part = different[lo:lo + 4 * BLOCK]
+            done.update(zip(part, model.scores([known.counts(t) for t in part]), strict=True))
+        out = [done[t] for t in texts]
         evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in out]
         return [pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)]
 

@@ -62,3 +62,28 @@ def test_edges(spark):
     assert all(not held_out(e.doc_id) for r in rows for e in r.evidence)
     assert {r.score for r in t.toxicity(df, labels.limit(0)).collect()} == {0.0}
     assert t.toxicity(df.limit(0), labels).count() == 0
+
+
+def test_every_term_of_the_examples_counts(spark):
+    """Neighbours and cosines of all terms by brute force, with few labelled examples and words that tell nothing."""
+    docs = [(i, f"word{'abcdefgh'[i % 8]}x {'grim' if i % 4 == 0 else 'calm'} rare{chr(97 + i)}z") for i in range(24)]
+    docs += [(100, "rarebz"), (101, "rareez unheard"), (102, "unheard")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(24)], "doc_id long, toxic int")
+    model = t.fit(df, labels)
+    train = [(i, x) for i, x in docs if i < 24 and not held_out(i)]
+    assert len(train) < 30
+    assert set(model.vocabulary) == {y for _, x in train for w in t._WORD.findall(x) for y in t.word_terms(w)}
+    assert (model.idf > 0).all()
+
+    def vector(text):
+        return model.vector(t._Terms(model.vocabulary).counts(text))
+
+    rows = {r.doc_id: r for r in t.scored(df, model).collect()}
+    for i, text in docs:
+        q = vector(text)
+        cos = sorted((-round(sum(x * vector(y).get(k, 0) for k, x in q.items()), 12), j) for j, y in train)
+        got = [(e.doc_id, e.cosine) for e in rows[i].evidence]
+        assert got == [(j, round(-c, 6)) for c, j in cos if c < 0][:3]
+    assert rows[102].evidence == [] and rows[101].evidence
+    assert rows[100].evidence[0].doc_id == 1 or held_out(1)
