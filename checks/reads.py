@@ -166,12 +166,17 @@ def _(camp, link, src):
               FILTER (l.referralSourceId IS NOT NULL), '') AS names
           FROM campaign c LEFT JOIN campaign_link l ON l.campaignId = c.id
           LEFT JOIN referral_source s ON s.id = l.referralSourceId GROUP BY c.id""")
-def _(camp, link, src):
+def campaign_recipient_lists(camp, link, src):
+    """One row a campaign at any number of recipients: the pages, made by many tasks, are put together in id order."""
     pages = joins.campaign_recipients(camp, link, src, nested=True)
-    names = F.transform("recipients", lambda r: F.concat(r["referralSourceId"], F.lit(":"), F.coalesce(r["source"]["name"], F.lit("?"))))
-    return pages.select(
-        F.col("campaignId").alias("campaign_id"), F.size("recipients").cast("long").alias("recipients"),
-        F.array_join(names, ",").alias("names"),
+    named = F.transform("recipients", lambda r: F.struct(
+        r["referralSourceId"].alias("id"),
+        F.concat(r["referralSourceId"], F.lit(":"), F.coalesce(r["source"]["name"], F.lit("?"))).alias("name")))
+    lists = pages.select("campaignId", named.alias("named")).groupBy("campaignId").agg(
+        F.array_sort(F.flatten(F.collect_list("named"))).alias("named"))
+    return lists.select(
+        F.col("campaignId").alias("campaign_id"), F.size("named").cast("long").alias("recipients"),
+        F.array_join("named.name", ",").alias("names"),
     )
 
 

@@ -11,6 +11,7 @@ from caretrail.plans import deletes, dispatch, patches
 from caretrail.schemas import LINK_KEY, conform
 from caretrail.sources.tables import lookup
 from caretrail.streaming import delivery
+from checks.reads import campaign_recipient_lists
 from checks.views import view
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -160,6 +161,18 @@ def test_a_hot_campaign_is_paged(spark, no_broadcast):
     assert "hashpartitioning(campaignId, page" in re.sub(r"#\d+", "", plan(pages))
 
 
+def test_recipient_lists_have_one_row_at_every_size(spark):
+    sizes = {"a": 1_000, "b": 1_001, "c": 2_500, "d": 0, "e": 1}
+    camp = spark.createDataFrame([(c,) for c in sizes], "id string")
+    link = spark.createDataFrame([(c, f"s{i}") for c, n in sizes.items() for i in range(n)],
+                                 "campaignId string, referralSourceId string")
+    src = spark.range(2_499).select(F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("name"))
+    rows = [tuple(r) for r in campaign_recipient_lists(camp, link, src).collect()]
+    assert sorted(rows) == [
+        (c, n, ",".join(f"{i}:{'n' + i[1:] if i != 's2499' else '?'}" for i in sorted(f"s{i}" for i in range(n))))
+        for c, n in sizes.items()]
+
+
 def test_many_patches_of_one_row_are_folded_first(spark, no_broadcast):
     src = spark.range(10).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("n").alias("name"))
     req = spark.range(2_000).select(
