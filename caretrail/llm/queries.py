@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import bpe, decontaminate, fingerprints, licenses, lines, near, secrets, sharding, suffixes, toxicity
+from caretrail.llm import (
+    bpe,
+    copies,
+    decontaminate,
+    fingerprints,
+    licenses,
+    lines,
+    manifest,
+    near,
+    prefixes,
+    secrets,
+    sharding,
+    suffixes,
+    toxicity,
+)
 from caretrail.llm.common import documents, row_keys
 
 
@@ -62,6 +76,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.digests(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digests(documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op1_line_dedup": op1_line_dedup,
@@ -73,10 +99,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _SPLIT = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
 
+# crc32 of a text of ASCII digits, from the table of the reflected polynomial
+_CRC = """
+crcs as (
+  select list(list_reduce(list_prepend(n, range(8)),
+    lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) crc
+  from range(256) t(n)
+)"""
+
+
+def _crc32(number: str) -> str:
+    codes = f"list_transform(string_split({number}::varchar, ''), lambda x: ascii(x)::bigint)"
+    return (f"xor(list_reduce(list_prepend(4294967295, {codes}), "
+            "lambda c, b: xor(c >> 8, crc[((xor(c, b) & 255) + 1)::int])), 4294967295)")
+
+
+_MARKED = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in (
+    "doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": """
 with rows as (
@@ -137,4 +185,89 @@ n as (
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
        sha256(coalesce(ids, '')) items_sha256, n_hit is not null contaminated
 from words left join n using (doc_id) left join i using (doc_id)""",
+    "op11_exact_dedup": r"""
+with n as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') t, length(coalesce(text, '')) c from documents
+)
+select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by t) group_size,
+       row_number() over w = 1 kept, sha256(t) text_sha256
+from n window w as (partition by t order by c desc, doc_id nulls last)""",
+    "op12_merkle_manifest": f"""
+with recursive {_CRC}, leaves as (
+  select doc_id, lang, sha256({_MARKED} || coalesce(strlen(text) || ':' || text, '-')) h,
+         case when coalesce({_crc32("doc_id")} % 3 = 0, false)
+              then sha256({_MARKED} || coalesce(strlen({_LOWERED}) || ':' || {_LOWERED}, '-')) end bad
+  from documents, crcs
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 pos from leaves
+), runs as (
+  select 0 lvl, lang, pos // 8 run, list(h order by pos) hs, count(*) over (partition by lang) n from placed group by lang, pos // 8
+  union all
+  select lvl + 1, lang, run // 8, list(sha256(array_to_string(hs, '')) order by run), count(*) over (partition by lang)
+  from runs where n > 1 group by lvl, lang, run // 8
+), tops as (
+  select lang, h from (select lang, case when len(hs) = 1 and lvl = 0 then hs[1] else sha256(array_to_string(hs, '')) end h,
+    row_number() over (partition by lang order by lvl desc) r, n from runs where n = 1) where r = 1
+), ordered as (select *, row_number() over (order by lang nulls first) - 1 pos from tops),
+up_runs as (
+  select 0 lvl, pos // 8 run, list(h order by pos) hs, count(*) over () n from ordered group by pos // 8
+  union all
+  select lvl + 1, run // 8, list(sha256(array_to_string(hs, '')) order by run), count(*) over ()
+  from up_runs where n > 1 group by lvl, run // 8
+), top as (
+  select case when len(hs) = 1 and lvl = 0 then hs[1] else sha256(array_to_string(hs, '')) end root
+  from up_runs where n = 1 order by lvl desc limit 1
+), single as (select lang, count(*) = 1 one from placed group by lang),
+climb as (
+  select doc_id, h, placed.lang, pos, pos place, 0 lvl, coalesce(bad, h) d, '' p from placed
+  union all
+  select doc_id, h, c.lang, pos, place // 8, c.lvl + 1,
+         sha256(array_to_string(hs[1 : place % 8] || [d] || hs[place % 8 + 2 : 8], '')),
+         p || array_to_string(hs[1 : place % 8] || hs[place % 8 + 2 : 8], '')
+  from climb c join runs r on r.lang is not distinct from c.lang and r.lvl = c.lvl and r.run = c.place // 8
+  join single s on s.lang is not distinct from c.lang where not s.one
+), below as (
+  select * from (select *, row_number() over (partition by lang, pos order by lvl desc) r from climb) where r = 1
+), upper as (
+  select doc_id, b.h, b.lang, b.pos, o.pos place, 0 lvl, d, p, o.h subroot
+  from below b join ordered o on o.lang is not distinct from b.lang
+  union all
+  select doc_id, h, lang, pos, place // 8, u.lvl + 1, sha256(array_to_string(hs[1 : place % 8] || [d] || hs[place % 8 + 2 : 8], '')),
+         p || array_to_string(hs[1 : place % 8] || hs[place % 8 + 2 : 8], ''), subroot
+  from upper u join up_runs r on r.lvl = u.lvl and r.run = u.place // 8
+  where (select count(*) from tops) > 1
+)
+select doc_id, h leaf, subroot, root, sha256(p) proof_sha256, d folded_root, d = root verified
+from (select *, row_number() over (partition by lang, pos order by lvl desc) r from upper), top where r = 1""",
+    "op13_conversation_trie": rf"""
+with {_CRC}, turns as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id
+    order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 pos
+  from conversations where conv_id is not null
+), heads as (
+  select conv_id, count(*) n, conv_id - conv_id % 20 base, {_crc32("conv_id")} % 4 h from turns, crcs group by conv_id, crc
+), built as (
+  select c.conv_id, 0 own, pos, role, text from heads c join turns t on t.conv_id = c.base and t.pos < h
+  union all
+  select c.conv_id, 1, pos, role, text from heads c join turns t on t.conv_id = c.conv_id and t.pos >= h
+), convs as (
+  select h.conv_id, coalesce(list({{'role': role, 'text': text}} order by own, pos) filter (where role is not null), []) l
+  from heads h left join built using (conv_id) group by h.conv_id
+), ways as (select conv_id, l, d, l[1:d] way from (select *, unnest(range(len(l) + 1)) d from convs)),
+nodes as (
+  select way, d, min(conv_id) conv_id, count(*) n,
+         string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(l) = d) ends
+  from ways group by way, d
+), families as (select way[1 : d - 1] way, count(*) n_children from nodes where d > 0 group by 1),
+known as (
+  select nodes.*, coalesce(n_children, 0) n_children, case when d > 0 then
+    (n - 1) * len(regexp_extract_all(way[d].text, '[^\x20\x09-\x0D]+')) else 0 end saved
+  from nodes left join families using (way)
+), sums as (
+  select way[1:e] way, sum((n_children = 0)::int)::bigint n_leaves, sum(saved)::bigint saved_tokens
+  from (select *, unnest(range(d + 1)) e from known) group by 1
+)
+select k.conv_id, k.d::bigint depth, p.conv_id parent_conv_id, k.n n_convs, k.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(k.ends, '')) ends_sha256
+from known k join sums on sums.way = k.way left join nodes p on k.d > 0 and p.d = k.d - 1 and p.way = k.way[1 : k.d - 1]""",
 }
