@@ -6,25 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caretrail.functions.defaults import is_missing
-from caretrail.functions.labels import map_event_status
-from caretrail.functions.payloads import event_response
-from caretrail.operators.joins import key_set, rekeyed
+from caretrail.operators.joins import rekeyed
 from caretrail.schemas import LINK_KEY
-from caretrail.session import shared_folder
-from caretrail.sources.tables import read_entity
-from caretrail.streaming.links import upsert_links
+from caretrail.streaming.checkpoints import checkpoint_folder, stream_id
+from caretrail.streaming.links import (
+    DEAD_SCHEMA, MALFORMED, MISSING, UNKNOWN, dead_letters, fold_events, store_events, well_formed, with_link_mark,
+)
+
+__all__ = [
+    "DEAD_SCHEMA", "MALFORMED", "MISSING", "UNKNOWN", "apply_events", "dead_letters", "fold_events",
+    "read_delivery_stream", "run_delivery_stream", "split_invalid", "well_formed",
+]
 
 EVENT_SCHEMA = (
     "faxId STRING, status STRING, metadata STRUCT<campaignId: STRING, referralSourceId: STRING>, error STRING, "
     "receivedAt TIMESTAMP_NTZ, _corrupt_record STRING"
 )
-DEAD_SCHEMA = "faxId STRING, status STRING, campaignId STRING, referralSourceId STRING, receivedAt TIMESTAMP_NTZ, reason STRING"
-
-# Reasons given to the sender.
-MALFORMED = "Failed to process webhook"
-MISSING = "Missing required fields"
-UNKNOWN = "Unknown campaign link"
 
 
 def read_delivery_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -42,106 +39,57 @@ def read_delivery_stream(spark: SparkSession, path: str, files_per_trigger: int
     return reader.json(path).select(
         "faxId", "status", "metadata.campaignId", "metadata.referralSourceId", "error",
         F.coalesce("receivedAt", landed).alias("receivedAt"), F.col("_corrupt_record").isNotNull().alias("malformed"),
+        F.col("_metadata.file_path").alias("file"),
     )
 
 
-def well_formed(batch: DataFrame) -> DataFrame:
-    """Events with ``reason``, null where nothing is missing."""
-    malformed = F.col("malformed") if "malformed" in batch.columns else F.lit(False)
-    lacking = is_missing("faxId") | is_missing("status") | is_missing("campaignId") | is_missing("referralSourceId")
-    return batch.withColumn("reason", F.when(malformed, F.lit(MALFORMED)).when(lacking, F.lit(MISSING)))
-
-
-def known_links(batch: DataFrame, link: DataFrame) -> DataFrame:
-    """Keys of the links a batch names.
-
-    The batch's distinct pairs go to the table, not the reverse. Whether they are broadcast, so that the table's two key
-    columns need no exchange, is left to their measured size.
-    """
-    return link.select(*LINK_KEY).join(key_set(batch, *LINK_KEY), LINK_KEY, "left_semi")
+def _marked(batch: DataFrame, link: DataFrame) -> DataFrame:
+    """Events with their ``reason``, null for those to apply: one join, which reads either side once."""
+    marked = with_link_mark(well_formed(batch), link, "_known")
+    return marked.withColumn("reason", F.coalesce("reason", F.when(~F.col("_known"), F.lit(UNKNOWN)))).drop("_known")
 
 
 def split_invalid(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events to apply, dead letters with their reason)."""
-    checked = well_formed(batch)
-    known = known_links(checked.where(F.col("reason").isNull()), link)
-    return _sound(checked).join(rekeyed(known, *LINK_KEY), LINK_KEY, "left_semi"), _dead(batch, checked, known)
-
-
-def _sound(checked: DataFrame) -> DataFrame:
-    return checked.where(F.col("reason").isNull()).drop("reason")
-
+    marked = _marked(batch, link)
+    return (marked.where(F.col("reason").isNull()).select(*batch.columns),
+            marked.where(F.col("reason").isNotNull()).select(*batch.columns, "reason"))
 
-def _dead(batch: DataFrame, checked: DataFrame, known: DataFrame) -> DataFrame:
-    lost = _sound(checked).join(rekeyed(known, *LINK_KEY), LINK_KEY, "left_anti").withColumn("reason", F.lit(UNKNOWN))
-    return checked.where(F.col("reason").isNotNull()).unionByName(lost).select(*batch.columns, "reason")
 
-
-def apply_events(batch: DataFrame, link: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one change per known link, dead letters); ``known`` are the links of the batch, if looked up already.
+def apply_events(batch: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one change per known link, dead letters).
 
     Events are folded before they meet the links: a link with very many events then brings one row to the join.
     """
-    checked = well_formed(batch)
-    changes = fold_events(_sound(checked))
-    if known is None:
-        # the pair is the key of both sides: an inner join adds no row, and either side may be the small one
-        known = known_links(_sound(checked), link)
-        return changes.join(link.select(*LINK_KEY), LINK_KEY), _dead(batch, checked, known)
-    return changes.join(known, LINK_KEY), _dead(batch, checked, known)
-
-
-def fold_events(batch: DataFrame) -> DataFrame:
-    """One change per link: the last event to arrive wins, even a less final one; equal times go by fax id and status.
-
-    ``responseAt`` is the arrival of the latest event that meant sent or failed. Many events of one link are combined
-    per task before they are exchanged.
-    """
-    error = F.col("error") if "error" in batch.columns else F.lit(None).cast("string")
-    mapped = map_event_status("status")
-    order = F.struct("receivedAt", "faxId", "status")
-    last = F.max_by(F.struct(mapped.alias("status"), "faxId", F.col("status").alias("eventStatus"),
-                             error.alias("error"), "receivedAt"), order)
-    folded = batch.groupBy(*LINK_KEY).agg(
-        last.alias("_l"), F.max(F.when(mapped.isin("SENT", "FAILED"), F.col("receivedAt"))).alias("responseAt")
-    )
-    return folded.select(
-        *LINK_KEY, "_l.status", event_response("_l.faxId", "_l.eventStatus", "_l.receivedAt", "_l.error").alias("response"),
-        "responseAt", "_l.receivedAt", "_l.faxId", "_l.eventStatus",
-    )
+    sound = well_formed(batch).where(F.col("reason").isNull())
+    # the pair is the key of both sides: an inner join adds no row, and either side may be the small one
+    changes = rekeyed(fold_events(sound), *LINK_KEY).join(link.select(*LINK_KEY), LINK_KEY)
+    return changes, split_invalid(batch, link)[1]
 
 
 def run_delivery_stream(
     spark: SparkSession, src: str, root: str, ckpt: str | None = None, name: str = "delivery",
     files_per_trigger: int | None = None, available_now: bool = True,
 ) -> StreamingQuery:
-    """Apply landed events to the link table under ``root``; what cannot be applied goes to its ``dead_letter`` table.
+    """Store landed events under ``root``, where the link table is read with them; see :mod:`caretrail.streaming.links`.
 
-    The commit carries the batch number, so a batch replayed after a crash is stored once.
+    The commit is named by the checkpoint and the batch, so a batch replayed after a crash is stored once, and one of a
+    new checkpoint is not taken for it.
     """
+    folder = checkpoint_folder(spark, root, name, ckpt)
+    stream = f"{name}-{stream_id(spark, folder)}"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         events = batch.persist()
-        link = read_entity(session, root, "campaign_link")
-        # both outputs need the known links; the table is read for them once
-        known = known_links(_sound(well_formed(events)), link).persist()
         try:
-            changes, dead = apply_events(events, link, known)
-            dead = dead.select("faxId", "status", *LINK_KEY, "receivedAt", "reason")
-            upsert_links(session, root, changes, f"{name}-{batch_id}", dead)
+            store_events(batch.sparkSession, root, events, f"{stream}-{batch_id}", stream)
         finally:
-            known.unpersist()
             events.unpersist()
 
     writer = (
         read_delivery_stream(spark, src, files_per_trigger)
         .writeStream.queryName(name)
-        .option("checkpointLocation", ckpt or shared_folder(spark, f"{name}-checkpoint"))
+        .option("checkpointLocation", folder)
         .foreachBatch(store)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    return read_entity(spark, root, "dead_letter", schema=DEAD_SCHEMA)

@@ -235,3 +235,50 @@ def test_snapshots_of_two_tables_may_have_one_number(spark, tmp_path):
     write_snapshot(categories(spark, "a"), root, "referral_category", 1)
     write_snapshot(spark.createDataFrame([], TABLES["clinic_location"]), root, "clinic_location", 1)
     assert table_paths(spark, root, "clinic_location") and table_paths(spark, root, "referral_category")
+
+
+def test_an_empty_commit_file_stops_nobody(spark, tmp_path):
+    """A writer that died over its commit file: its number counts as taken, the state before it holds."""
+    root = str(tmp_path / "db")
+    write_snapshot(categories(spark, "a"), root, "referral_category", 1)
+    (tmp_path / "db" / "commits" / f"{2:012d}.json").write_text("")
+    assert names(read_entity(spark, root, "referral_category")) == ["a"]
+    version = commit(spark, root, {"referral_category": categories(spark, "b")}, "next", append=["referral_category"])
+    assert version == 3 and names(read_entity(spark, root, "referral_category")) == ["a", "b"]
+    assert names(read_entity(spark, root, "referral_category", version=2)) == ["a"]
+    assert not [p for p in (tmp_path / "db" / "commits").iterdir() if p.name.startswith("_")]
+
+
+def test_a_commit_whose_writer_died_before_its_marker_is_done(spark, tmp_path):
+    root = str(tmp_path / "db")
+    add = lambda name, txn: commit(spark, root, {"referral_category": categories(spark, name)}, txn, append=["referral_category"])
+    add("a", "t1")
+    (tmp_path / "db" / "txns" / "t1").unlink()
+    add("a", "t1")
+    add("b", "t2")
+    add("a", "t1")
+    assert names(read_entity(spark, root, "referral_category")) == ["a", "b"]
+
+
+def test_only_one_writer_gets_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "db")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: commit(
+            spark, root, {"referral_category": categories(spark, f"n{i}")}, f"t{i}", append=["referral_category"]), range(8)))
+    assert names(read_entity(spark, root, "referral_category")) == [f"n{i}" for i in range(8)]
+
+
+def test_a_table_made_from_an_older_version_is_refused(spark, tmp_path):
+    from caretrail.sources.tables import Conflict, latest_version
+
+    root = str(tmp_path / "db")
+    write_snapshot(categories(spark, "a"), root, "referral_category", 1)
+    base = latest_version(spark, root)
+    more = read_entity(spark, root, "referral_category", base).unionByName(categories(spark, "b"))
+    commit(spark, root, {"referral_category": categories(spark, "c")}, "other", append=["referral_category"])
+    with pytest.raises(Conflict):
+        commit(spark, root, {"referral_category": more}, "mine", base=base)
+    commit(spark, root, {"referral_category": more}, "rebased", base=base, rebase=["referral_category"])
+    assert names(read_entity(spark, root, "referral_category")) == ["a", "b", "c"]

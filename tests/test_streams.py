@@ -11,6 +11,8 @@ from hypothesis import strategies as st
 from caretrail.schemas import TABLES, conform
 from caretrail.session import shared_folder
 from caretrail.sources import commit, read_entity, table_paths, write_snapshot
+from caretrail.sources.tables import latest_version
+from caretrail.streaming.checkpoints import checkpoint_folder
 from caretrail.streaming import delivery, links, recent
 
 START = datetime(2024, 9, 1)
@@ -87,13 +89,66 @@ def test_restart_goes_on_and_replay_changes_nothing(spark, tmp_path):
     assert before == {"a": ("SENT", minute(1)), "b": ("FAILED", minute(2))}
     paths = table_paths(spark, root, links.CHANGES)
     assert len(paths) == 2
-    # the same batches once more, as after a crash between the commit and the checkpoint
-    (tmp_path / "ckpt").rename(tmp_path / "ckpt-old")
-    query = delivery.run_delivery_stream(spark, str(tmp_path / "in"), root, str(tmp_path / "ckpt"), files_per_trigger=1)
-    query.awaitTermination()
+    # the last batch once more, as after a crash between the commit and the checkpoint
+    for name in ("1", ".1.crc"):
+        (tmp_path / "ckpt" / "commits" / name).unlink(missing_ok=True)
+    run(spark, tmp_path)
     assert state(spark, root) == before and table_paths(spark, root, links.CHANGES) == paths
 
 
+def count(spark, root):
+    events = read_entity(spark, root, links.CHANGES, schema=links.CHANGE_SCHEMA).count()
+    return events, delivery.dead_letters(spark, root).count()
+
+
+def test_a_new_checkpoint_loses_and_doubles_nothing(spark, tmp_path):
+    root = str(tmp_path / "db")
+    setup(spark, root, "a", "b")
+    land(tmp_path / "in", "1.json", event("a", "Delivered", 1), "{broken", event("zz", "queued", 1))
+    run(spark, tmp_path)
+    assert count(spark, root) == (2, 2)
+    land(tmp_path / "in", "2.json", event("b", "FAILED", 2))
+    again = delivery.run_delivery_stream(spark, str(tmp_path / "in"), root, str(tmp_path / "other"), files_per_trigger=1)
+    again.awaitTermination()
+    assert count(spark, root) == (3, 2)
+    assert state(spark, root) == {"a": ("SENT", minute(1)), "b": ("FAILED", minute(2))}
+    links.compact_links(spark, root, "compact")
+    delivery.run_delivery_stream(spark, str(tmp_path / "in"), root, str(tmp_path / "third")).awaitTermination()
+    assert count(spark, root) == (0, 2) and state(spark, root)["b"] == ("FAILED", minute(2))
+
+
+def test_two_roots_with_default_checkpoints(spark, tmp_path):
+    land(tmp_path / "in", "1.json", event("a", "Delivered", 1))
+    for name in ("db1", "db2"):
+        setup(spark, str(tmp_path / name), "a")
+        delivery.run_delivery_stream(spark, str(tmp_path / "in"), str(tmp_path / name), name="twice").awaitTermination()
+        assert state(spark, str(tmp_path / name)) == {"a": ("SENT", minute(1))}
+
+
+def test_storing_reads_no_links(spark, tmp_path):
+    """The link table isn't even there, and an event that came before its link counts once it is."""
+    root = str(tmp_path / "db")
+    land(tmp_path / "in", "1.json", event("a", "Delivered", 1))
+    run(spark, tmp_path)
+    assert [r.reason for r in delivery.dead_letters(spark, root).collect()] == ["Unknown campaign link"]
+    setup(spark, root, "a")
+    assert state(spark, root) == {"a": ("SENT", minute(1))} and delivery.dead_letters(spark, root).count() == 0
+
+
+def test_events_that_come_while_links_are_compacted_stay(spark, tmp_path):
+    root = str(tmp_path / "db")
+    setup(spark, root, "a", "b")
+    land(tmp_path / "in", "1.json", event("a", "Delivered", 1), event("zz", "queued", 1))
+    run(spark, tmp_path)
+    version = latest_version(spark, root)
+    frames = {"campaign_link": links.current_links(spark, root, version), **links.settled(spark, root, version)}
+    land(tmp_path / "in", "2.json", event("b", "FAILED", 2))
+    run(spark, tmp_path)
+    commit(spark, root, frames, "late", append=[links.DEAD], base=version)
+    assert state(spark, root) == {"a": ("SENT", minute(1)), "b": ("FAILED", minute(2))}
+    assert count(spark, root) == (1, 1)
+
+
 EVENTS = st.lists(
     st.tuples(st.sampled_from("ab"), st.sampled_from(["f1", "f2"]), st.sampled_from(["queued", "Delivered", "ERROR"]),
               st.integers(0, 3)), min_size=1, max_size=10)
@@ -139,6 +194,50 @@ def test_recent_stream(spark, tmp_path):
     assert refresh() == ["o6", "o5", "o4"]
 
 
+def test_recent_list_follows_every_commit(spark, tmp_path):
+    root = str(tmp_path / "db")
+
+    def rows(*days):
+        df = spark.createDataFrame([(f"o{d}", "s", "CALL", datetime(2024, 1, d)) for d in days],
+                                   "id string, referralSourceId string, type string, date timestamp_ntz")
+        return conform(df, "interaction")
+
+    src = conform(spark.createDataFrame([("s", "Source")], "id string, name string"), "referral_source")
+    commit(spark, root, {"interaction": rows(1, 2, 3), "referral_source": src}, "v0")
+
+    def refresh():
+        recent.run_recent_list(spark, root, str(tmp_path / "ckpt"), k=2, available_now=True).awaitTermination()
+        return [r.id for r in recent.recent_list(spark, root).orderBy("date", ascending=False).collect()]
+
+    assert refresh() == ["o3", "o2"]
+    commit(spark, root, {"interaction": rows(9)}, "v1", append=["interaction"])
+    assert refresh() == ["o9", "o3"]
+    version = latest_version(spark, root)
+    assert refresh() == ["o9", "o3"] and latest_version(spark, root) == version, "lists don't set each other off"
+    commit(spark, root, {"interaction": read_entity(spark, root, "interaction").where("id <> 'o9'")}, "v2")
+    assert refresh() == ["o3", "o2"]
+
+
+def test_broken_lines_and_unknown_sources_are_kept_apart(spark, tmp_path):
+    root, good = str(tmp_path / "db"), {"referralSourceId": "s", "type": "CALL", "date": "2024-01-05T00:00:00"}
+    src = conform(spark.createDataFrame([("s", "Source")], "id string, name string"), "referral_source")
+    commit(spark, root, {"referral_source": src}, "v0")
+    land(tmp_path / "new", "1.json", {"id": "a", **good}, "{broken", {"id": "b", **good, "referralSourceId": "gone"},
+         {"id": "c", **good, "type": ""}, {"id": "d", "referralSourceId": "s", "type": "CALL"}, {"id": "e", "type": "CALL"})
+
+    def run_recent(folder):
+        recent.run_recent_stream(spark, str(tmp_path / "new"), root, str(tmp_path / folder), available_now=True).awaitTermination()
+        assert [r.id for r in read_entity(spark, root, "interaction").collect()] == ["a"]
+        return sorted((r.id or "", r.line or "", r.reason) for r in recent.dead_interactions(spark, root).collect())
+
+    found = run_recent("ckpt")
+    assert found == [
+        ("", "{broken", "Failed to create interaction"), ("b", "", "Failed to create interaction"),
+        ("c", "", "Interaction type is required"), ("d", "", "Interaction date is required"),
+        ("e", "", "Referral source ID is required")]
+    assert run_recent("other") == found
+
+
 def test_work_goes_to_the_shared_folder(spark):
     class Bare:
         """A session without the setting."""
@@ -157,4 +256,4 @@ def test_checkpoint_defaults_to_the_shared_folder(spark, tmp_path):
     land(tmp_path / "in", "1.json", event("a", "Delivered", 1))
     delivery.run_delivery_stream(spark, str(tmp_path / "in"), root, name="defaulted").awaitTermination()
     assert state(spark, root) == {"a": ("SENT", minute(1))}
-    assert Path(shared_folder(spark, "defaulted-checkpoint"), "offsets").is_dir()
+    assert Path(checkpoint_folder(spark, root, "defaulted"), "offsets").is_dir()
