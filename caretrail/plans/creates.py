@@ -14,7 +14,8 @@ from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
 from caretrail.plans.change import (
     Change, blank, first_reason, has, mark_known, once, split_rejects, value, whole_number, with_body,
 )
-from caretrail.schemas import conform
+from caretrail.operators.keys import claim_keys
+from caretrail.schemas import PRIMARY_KEYS, TABLES, conform
 
 # Reasons given to the caller.
 NAME_REQUIRED = "Name is required"
@@ -39,9 +40,27 @@ def _filled(*keys: str) -> dict[str, Column]:
     return {k: null_if_empty(value(k)) for k in keys}
 
 
-def _finish(table: DataFrame, rows: DataFrame, name: str, rejects: DataFrame, as_of: datetime | str) -> Change:
-    made = conform(with_defaults(rows, name, as_of, "requestId"), name)
-    return Change(table.unionByName(made, allowMissingColumns=True), made, rejects)
+def _insert(
+    table: DataFrame, ok: DataFrame, name: str, rejects: DataFrame, as_of: datetime | str, failed: str,
+    carried: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(new rows with ``carried`` columns, all rejects). Ids are unique: the first request of an id that isn't stored
+    makes the row, by seq and then by what it holds; the others fail."""
+    full = with_defaults(ok, name, as_of, "requestId")
+    seq = F.col("seq") if "seq" in ok.columns else F.lit(None).cast("long")
+    columns = [f.name for f in TABLES[name].fields if f.name in full.columns]
+    rows = full.select(*columns, *carried, "requestId", seq.alias("_seq"), F.xxhash64(*columns, *carried).alias("_tie"))
+    claim = claim_keys(rows, PRIMARY_KEYS[name], ["_seq", "_tie"], table)
+    refused = claim.refused.select("requestId", F.lit(failed).alias("reason"))
+    return claim.fresh, rejects.unionByName(refused)
+
+
+def _finish(
+    table: DataFrame, ok: DataFrame, name: str, rejects: DataFrame, as_of: datetime | str, failed: str
+) -> Change:
+    rows, refused = _insert(table, ok, name, rejects, as_of, failed)
+    made = conform(rows, name)
+    return Change(table.unionByName(made, allowMissingColumns=True), made, refused)
 
 
 def _unreadable() -> Column:
@@ -86,7 +105,7 @@ def insert_sources(
         (unreadable, SOURCE_FAILED), (is_missing("name"), NAME_REQUIRED), (F.col("_wrong") | dangling, SOURCE_FAILED)
     )
     ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return _finish(src, ok, "referral_source", rejects, as_of)
+    return _finish(src, ok, "referral_source", rejects, as_of, SOURCE_FAILED)
 
 
 def create_interactions(
@@ -110,7 +129,7 @@ def create_interactions(
         (F.col("date").isNull() | ~F.col("_source"), INTERACTION_FAILED),
     )
     ok, rejects = split_rejects(rows.withColumn("reason", reason))
-    return _finish(inter, ok, "interaction", rejects, as_of)
+    return _finish(inter, ok, "interaction", rejects, as_of, INTERACTION_FAILED)
 
 
 class CampaignChange(NamedTuple):
@@ -158,11 +177,14 @@ def create_campaigns(
         ),
     )
     ok, rejects = split_rejects(rows.join(bad, "requestId", "left").withColumn("reason", reason))
-    campaigns = _finish(camp, ok, "campaign", rejects, as_of)
-    pairs = with_defaults(ok, "campaign", as_of, "requestId").select(
-        F.col("id").alias("campaignId"), F.explode("_ids").alias("referralSourceId")
-    )
-    return CampaignChange(campaigns, _finish(link, pairs, "campaign_link", rejects, as_of), rejects)
+    fresh, rejects = _insert(camp, ok, "campaign", rejects, as_of, CAMPAIGN_FAILED, ("_ids",))
+    made = conform(fresh, "campaign")
+    # new campaigns with different recipients: the pairs are new
+    pairs = fresh.select(F.col("id").alias("campaignId"), F.explode("_ids").alias("referralSourceId"))
+    links = conform(with_defaults(pairs, "campaign_link", as_of), "campaign_link")
+    return CampaignChange(
+        Change(camp.unionByName(made, allowMissingColumns=True), made, rejects),
+        Change(link.unionByName(links, allowMissingColumns=True), links, rejects), rejects)
 
 
 def create_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str) -> Change:
@@ -183,7 +205,7 @@ def create_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str) ->
     takers = flag_duplicate_name(sound.where(F.col("_late").isNull()).select("requestId", "seq", "name"), clinic)
     taken = clinic.select("name", F.lit(True).alias("_exists"))
     flagged = (
-        rows.join(takers.select("requestId", "duplicate"), "requestId", "left")
+        rows.join(takers.select("requestId", "name", "duplicate").distinct(), ["requestId", "name"], "left")
         .join(taken, "name", "left")
         .withColumn(
             "reason",
@@ -195,4 +217,4 @@ def create_clinics(req: DataFrame, clinic: DataFrame, as_of: datetime | str) ->
         )
     )
     ok, rejects = split_rejects(flagged)
-    return _finish(clinic, ok, "clinic_location", rejects, as_of)
+    return _finish(clinic, ok, "clinic_location", rejects, as_of, CLINIC_FAILED)

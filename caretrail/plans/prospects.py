@@ -44,5 +44,5 @@ def import_prospects(
     places: DataFrame, details: DataFrame, clinics: DataFrame, src: DataFrame, as_of: datetime | str,
     rating: float = 0,
 ) -> Change:
-    """Search results added to the sources. Importing a listing twice in one table is allowed, as the data is."""
+    """Search results added to the sources. A listing makes one source: on a second page it counts once, stored it is refused."""
     return insert_sources(import_rows(search_results(places, details, rating), clinics), src, as_of)

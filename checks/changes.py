@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from caretrail.functions.defaults import new_id
 from caretrail.functions.dispatch import DispatchConfig
 from caretrail.operators.aggregates import activate_campaigns, send_summary
+from caretrail.operators.keys import all_key_audits
 from caretrail.plans import creates, deletes, dispatch, migration, patches, prospects
-from caretrail.schemas import conform
+from caretrail.schemas import PRIMARY_KEYS, conform
 from checks.catalog import AS_OF, check
 from checks.reads import details_frame
 
@@ -153,6 +157,118 @@ def _(req, clinic):
     return creates.create_clinics(req, clinic, AS_OF).rejects
 
 
+# ---- unique keys: requests sent again, some as they were and some later, some of ids that are stored already ---------
+
+
+def _again(req):
+    """The requests, a fifth of them once more later, a seventh of them once more as they are."""
+    late = req.where(F.col("seq") % 5 == 0).withColumn("seq", F.col("seq") + 10**9)
+    return req.unionByName(late).unionByName(req.where(F.col("seq") % 7 == 0))
+
+
+def _stored_too(table, req):
+    """The table with the rows that an eleventh of the requests would make."""
+    ids = req.where(F.col("seq") % 11 == 0).select(new_id("requestId").alias("id"))
+    return table.unionByName(ids, allowMissingColumns=True)
+
+
+def _outcomes(change):
+    """(id, reason) of what was made, (requestId, reason) of what was refused."""
+    return change.delta.select("id", F.lit(None).cast("string").alias("reason")).unionByName(
+        change.rejects.select(F.col("requestId").alias("id"), "reason"))
+
+
+def _claims(requests: str, view: str, failed: str) -> str:
+    """Twin over the twin of a creation: ``r`` has all requests with their reasons."""
+    again = f"""again AS (SELECT * FROM {view} UNION ALL SELECT requestId, seq + 1000000000, body FROM {view} WHERE seq % 5 = 0
+      UNION ALL SELECT * FROM {view} WHERE seq % 7 = 0),
+  """
+    requests = re.sub(rf"\b{view}\b", "again", requests)
+    assert requests.startswith("WITH ")
+    return "WITH " + again + requests[5:] + f""",
+  claims AS (SELECT requestId, seq, row_number() OVER (PARTITION BY requestId ORDER BY seq) AS n
+    FROM (SELECT DISTINCT requestId, seq FROM r WHERE reason IS NULL)),
+  taken AS (SELECT requestId FROM {view} WHERE seq % 11 = 0)
+  SELECT "requestId" AS id, reason FROM r WHERE reason IS NOT NULL
+  UNION ALL SELECT CASE WHEN n = 1 AND requestId NOT IN (FROM taken) THEN {NEW_ID} ELSE requestId END,
+    CASE WHEN n = 1 AND requestId NOT IN (FROM taken) THEN NULL ELSE '{failed}' END FROM claims"""
+
+
+@check("claimed_sources", "M1 A13", "source_request referral_source clinic_location",
+       _claims(SOURCE_REQUESTS, "source_request", creates.SOURCE_FAILED))
+def _(req, src, clinic):
+    return _outcomes(creates.create_sources(_again(req), _stored_too(src, req), AS_OF, clinics=clinic))
+
+
+@check("claimed_interactions", "M2 A13", "interaction_request interaction referral_source",
+       _claims(INTERACTION_REQUESTS, "interaction_request", creates.INTERACTION_FAILED))
+def _(req, inter, src):
+    return _outcomes(creates.create_interactions(_again(req), _stored_too(inter, req), src, AS_OF))
+
+
+@check("claimed_campaigns", "M3 A13", "campaign_request campaign campaign_link referral_source",
+       _claims(CAMPAIGN_REQUESTS.replace("SELECT requestId FROM w GROUP BY requestId, source HAVING count(*) > 1",
+                                         "SELECT requestId FROM v WHERE len(list_distinct(ids)) < len(ids)"), "campaign_request", creates.CAMPAIGN_FAILED))
+def _(req, camp, link, src):
+    made = creates.create_campaigns(_again(req), _stored_too(camp, req), link, src, AS_OF)
+    return _outcomes(made.campaigns)
+
+
+@check("claimed_clinics", "M4 J6 A13", "clinic_request clinic_location",
+       _claims(CLINIC_REQUESTS.replace("SELECT requestId, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM v",
+                                       "SELECT DISTINCT requestId, 1 + (first_value(requestId) OVER (PARTITION BY name ORDER BY "
+                                       "seq) <> requestId)::int AS n FROM v"),
+               "clinic_request", creates.CLINIC_FAILED))
+def _(req, clinic):
+    return _outcomes(creates.create_clinics(_again(req), _stored_too(clinic, req), AS_OF))
+
+
+@check("claimed_prospects", "M16 A13", "place_listing place_detail clinic_location referral_source",
+       f"""SELECT {NEW_ID} AS id, NULL AS reason FROM (SELECT DISTINCT concat('place/', d.place_id) AS "requestId"
+             FROM place_listing l JOIN place_detail d USING (place_id)
+             WHERE l.rating >= 2 AND d.status = 'OK' AND l.user_ratings_total % 3 <> 0)
+           UNION ALL SELECT concat('place/', d.place_id), '{creates.SOURCE_FAILED}' FROM place_listing l
+             JOIN place_detail d USING (place_id) WHERE l.rating >= 2 AND d.status = 'OK' AND l.user_ratings_total % 3 = 0""")
+def _(listing, detail, clinic, src):
+    """Half of the listings are on a second page, a third of them are stored."""
+    pages = listing.unionByName(listing.where(F.col("user_ratings_total") % 2 == 0))
+    known = listing.where(F.col("user_ratings_total") % 3 == 0).select(
+        new_id(F.concat(F.lit("place/"), "place_id")).alias("id"))
+    table = src.unionByName(known, allowMissingColumns=True)
+    return _outcomes(prospects.import_prospects(pages, details_frame(detail), clinic, table, AS_OF, 2))
+
+
+KEYED = "clinic_location referral_source referral_category interaction campaign campaign_link"
+
+
+def _key_twin(table: str, key: str, value: str) -> str:
+    columns = key.split(",")
+    odd = f"hash({columns[0]}) % 3 = 0" if table == "referral_category" else f"length({columns[0]}) % 2 = 0"
+    twice = f"(SELECT {key} FROM {table} UNION ALL SELECT {key} FROM {table} WHERE {odd.replace('hash', 'length')})"
+    return (f"""SELECT '{table}' AS "table", '{key}' AS key, {value} AS value, count(*) AS count FROM {twice}
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)} GROUP BY {key} HAVING count(*) > 1""")
+
+
+def _json(*columns: str) -> str:
+    return "concat('[\"', " + ", '\",\"', ".join(columns) + ", '\"]')"
+
+
+@check("duplicate_table_keys", "A13", KEYED, " UNION ALL ".join([
+    _key_twin("clinic_location", "id", _json("id")), _key_twin("referral_source", "id", _json("id")),
+    _key_twin("referral_category", "id", _json("id")), _key_twin("interaction", "id", _json("id")),
+    _key_twin("campaign", "id", _json("id")),
+    _key_twin("campaign_link", "campaignId,referralSourceId", _json("campaignId", "referralSourceId")),
+    _key_twin("clinic_location", "name", _json("name")).replace("length(name) % 2 = 0", "length(id) % 2 = 0"),
+    _key_twin("referral_category", "name", _json("name")).replace("length(name) % 3 = 0", "length(id) % 3 = 0")]))
+def _(*frames):
+    """All declared keys of the six tables, whose rows are partly there twice."""
+    tables = {}
+    for name, df in zip(KEYED.split(), frames, strict=True):
+        key, step = PRIMARY_KEYS[name][0], 3 if name == "referral_category" else 2
+        tables[name] = df.unionByName(df.where(F.length(key) % step == 0))
+    return all_key_audits(tables)
+
+
 # ---- patches -------------------------------------------------------------------------------------------------------
 
 
