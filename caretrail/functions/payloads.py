@@ -31,9 +31,10 @@ def sent_fax_id(fax_id: Column | str, data: Column | str, as_of: Column) -> Colu
 
 def send_response(
     success: Column | str, fax_id: Column | str, data: Column | str, error: Column | str, status: Column | str,
-    as_of: Column,
+    as_of: Column, thrown: Column | str | None = None,
 ) -> Column:
-    """What is stored after a send. A failure without status has no ``status`` key."""
+    """What is stored after a send. A failure without status has no ``status`` key; a send that threw an error, instead of
+    getting an answer, has the error alone."""
     details = _json_or_empty(data)
     sent = F.struct(
         sent_fax_id(fax_id, data, as_of).alias("faxId"),
@@ -45,7 +46,11 @@ def send_response(
         col(status).alias("status"),
         details.alias("data"),
     )
-    return F.when(col(success), F.to_json(sent)).otherwise(F.to_json(failed))
+    text = F.when(col(success), F.to_json(sent)).otherwise(F.to_json(failed))
+    if thrown is None:
+        return text
+    alone = F.struct(F.coalesce(null_if_empty(error), F.lit("Unknown error")).alias("error"))
+    return F.when(col(thrown), F.to_json(alone)).otherwise(text)
 
 
 def event_response(fax_id: Column | str, status: Column | str, updated_at: Column | str, error: Column | str) -> Column:

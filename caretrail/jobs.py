@@ -1,7 +1,7 @@
 """Whole jobs over a table root: read the tables and the requests, change, commit.
 
 A job is named by its ``txn``; running it again after it was committed does nothing. Creations append their new rows
-and leave the rest of the table unread; patches and deletes write a new version. What is refused joins the ``reject``
+and leave the rest of the table unread; patches append what they change; deletes write a new version. What is refused joins the ``reject``
 table in the same commit.
 """
 
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from caretrail.functions.dispatch import DispatchConfig
 from caretrail.plans import creates, deletes, dispatch, patches, prospects
-from caretrail.schemas import struct
+from caretrail.plans.change import Change
+from caretrail.schemas import TABLES, struct
+from caretrail.sources.patched import compact, conform_patch, patch_table, read_patched
 from caretrail.sources.requests import read_requests
-from caretrail.sources.tables import commit, latest_version, lookup, read_entity
-from caretrail.streaming.links import DEAD, current_links, settled
+from caretrail.sources.tables import commit, latest_version, lookup, read_entity, table_paths
+from caretrail.streaming.links import DEAD, compact_links, current_links, settled
 
 REJECT_SCHEMA = struct("txn STRING, requestId STRING, reason STRING")
 OUTBOX, SKIPPED = "outbox", "outbox_skipped"
@@ -43,7 +45,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         if name == "campaign_link":
             return current_links(self.spark, self.root, self.version)
-        return read_entity(self.spark, self.root, name, self.version)
+        return read_patched(self.spark, self.root, name, self.version)
+
+    def compact(self, name: str, txn: str) -> int:
+        """A new snapshot of a table with its patches (or, of the links, their events) folded in."""
+        if name == "campaign_link":
+            return compact_links(self.spark, self.root, txn)
+        return compact(self.spark, self.root, name, txn)
 
     def rejects(self) -> DataFrame:
         return read_entity(self.spark, self.root, "reject", schema=REJECT_SCHEMA)
@@ -54,8 +62,15 @@ class Tables:
         if "campaign_link" in changes and "campaign_link" not in append:
             # the new version was made from the links with their events laid over
             frames |= settled(self.spark, self.root, self.version)
+        for name in changes:
+            if name in TABLES and name not in append and table_paths(self.spark, self.root, patch_table(name), self.version):
+                frames[patch_table(name)] = None  # the new version was made from the table with its patches
         return commit(self.spark, self.root, frames, txn, append=(*append, "reject", DEAD), base=self.version)
 
+    def _patch(self, txn: str, name: str, done: Change) -> int:
+        patch = patch_table(name)
+        return self._commit(txn, {patch: conform_patch(done.patch, name)}, done.rejects, (patch,))
+
     # ---- creation, from request files
 
     @job
@@ -97,30 +112,32 @@ class Tables:
         done = patches.patch_sources(
             read_requests(self.spark, path), self.read("referral_source"), as_of, self.read("clinic_location"),
             self.read("referral_category"), self.tz)
-        return self._commit(txn, {"referral_source": done.table}, done.rejects)
+        return self._patch(txn, "referral_source", done)
 
     @job
     def patch_interactions(self, path: str, txn: str, as_of: datetime | str) -> int:
         done = patches.patch_interactions(
             read_requests(self.spark, path), self.read("interaction"), as_of, self.read("referral_source"), self.tz)
-        return self._commit(txn, {"interaction": done.table}, done.rejects)
+        return self._patch(txn, "interaction", done)
 
     @job
     def patch_clinics(self, path: str, txn: str, as_of: datetime | str) -> int:
         done = patches.patch_clinics(read_requests(self.spark, path), self.read("clinic_location"), as_of, self.tz)
-        return self._commit(txn, {"clinic_location": done.table}, done.rejects)
+        return self._patch(txn, "clinic_location", done)
 
     @job
     def update_campaigns(self, path: str, txn: str, as_of: datetime | str) -> int:
         done = patches.update_campaigns(
             read_requests(self.spark, path), self.read("campaign"), self.read("campaign_link"),
             self.read("referral_source"), as_of, self.tz)
-        return self._commit(txn, {"campaign": done.campaigns.table, "campaign_link": done.links.table}, done.rejects)
+        patch = patch_table("campaign")
+        frames = {patch: conform_patch(done.campaigns.patch, "campaign"), "campaign_link": done.links.table}
+        return self._commit(txn, frames, done.rejects, (patch,))
 
     @job
     def patch_cover_sheets(self, path: str, txn: str, as_of: datetime | str) -> int:
         done = patches.patch_cover_sheet(read_requests(self.spark, path), self.read("campaign"), as_of, self.tz)
-        return self._commit(txn, {"campaign": done.table}, done.rejects)
+        return self._patch(txn, "campaign", done)
 
     # ---- deletion, from request files
 

@@ -16,11 +16,13 @@ from caretrail.functions.defaults import is_missing, null_if_empty, ntz
 
 class Change(NamedTuple):
     """Result of a change job. ``table`` is the whole new version, ``delta`` only its new or changed rows (for a delete
-    the ids that go): what an append needs. ``rejects`` is (requestId, reason)."""
+    the ids that go): what an append needs. ``rejects`` is (requestId, reason). ``patch`` of an update holds, for each row
+    that changes, only the columns sent, boxed."""
 
     table: DataFrame
     delta: DataFrame
     rejects: DataFrame
+    patch: DataFrame | None = None
 
 
 def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -151,4 +153,10 @@ def apply_patches(
             new["updatedAt"] = F.when(F.col("_patched"), ntz(as_of)).otherwise(F.col("updatedAt"))
         return joined.withColumns(new).select(*table.columns)
 
-    return Change(merged(table.join(folded, "id", "left")), merged(table.join(folded, "id")), rejects)
+    def box(key: str) -> Column:
+        sent = F.col(f"_{key}")
+        return F.when(sent.isNotNull(), F.struct(sent["v"].cast(table.schema[key].dataType).alias("v"))).alias(key)
+
+    patch = folded.join(table.select("id"), "id", "left_semi").select(
+        "id", *[box(k) for k in spec], ntz(as_of).alias("updatedAt"))
+    return Change(merged(table.join(folded, "id", "left")), merged(table.join(folded, "id")), rejects, patch)

@@ -90,19 +90,22 @@ class Sent(NamedTuple):
 def apply_send_results(
     link: DataFrame, camp: DataFrame, results: DataFrame, as_of: datetime | str
 ) -> Sent:
-    """Store what the sender reports: (campaignId, referralSourceId, success, faxId, data, error, status).
+    """Store what the sender reports: (campaignId, referralSourceId, success, faxId, data, error, status), and thrown
+    where an error came instead of an answer.
 
     One answer per link is kept should the sender repeat itself; campaigns with a success become ACTIVE.
     """
     moment = ntz(as_of)
+    failed = F.col("thrown") if "thrown" in results.columns else F.lit(False)
+    thrown = F.coalesce(failed & ~F.col("success"), F.lit(False)).alias("thrown")
     answers = results.groupBy(*LINK_KEY).agg(
-        F.max(F.struct("success", "faxId", "data", "error", F.col("status").alias("sendStatus"))).alias("_r")
+        F.max(F.struct("success", "faxId", "data", "error", F.col("status").alias("sendStatus"), thrown)).alias("_r")
     )
 
     def store(joined: DataFrame) -> DataFrame:
         r = F.col("_r")
         answered = r.isNotNull()
-        text = send_response(r["success"], r["faxId"], r["data"], r["error"], r["sendStatus"], moment)
+        text = send_response(r["success"], r["faxId"], r["data"], r["error"], r["sendStatus"], moment, r["thrown"])
         return joined.withColumns(
             {
                 "status": F.when(answered, F.when(r["success"], "SENT").otherwise("FAILED")).otherwise(F.col("status")),

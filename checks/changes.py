@@ -492,13 +492,15 @@ def _(camp, link, src):
              CASE WHEN r.success THEN 'SENT' WHEN NOT r.success THEN 'FAILED' ELSE l.status END AS status,
              CASE WHEN r.success THEN {NOON} ELSE l.sentAt END AS "sentAt",
              CASE WHEN r.success THEN coalesce(r.faxId, json_extract_string(r.data, '$.id'),
-               concat('unknown-', epoch_ms({NOON}))) WHEN NOT r.success THEN coalesce(r.error, 'Unknown error') END AS answer
+               concat('unknown-', epoch_ms({NOON}))) WHEN NOT r.success THEN coalesce(r.error, 'Unknown error') END AS answer,
+             coalesce(r.thrown, false) AS alone
            FROM campaign_link l LEFT JOIN send_result r
            ON r.campaignId = l.campaignId AND r.referralSourceId = l.referralSourceId""")
 def _(link, camp, results):
     links = dispatch.apply_send_results(link, camp, results, AS_OF).links
     answer = F.coalesce(F.get_json_object("response", "$.faxId"), F.get_json_object("response", "$.error"))
-    return links.select("campaignId", "referralSourceId", "status", "sentAt", answer.alias("answer"))
+    return links.select("campaignId", "referralSourceId", "status", "sentAt", answer.alias("answer"),
+                        F.coalesce(F.json_object_keys("response") == F.array(F.lit("error")), F.lit(False)).alias("alone"))
 
 
 @check("activated_campaigns", "A11 M12", "campaign send_result",

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caretrail.jobs import Tables
 from caretrail.schemas import LINK_KEY, conform
 from caretrail.sources.output import write_json
 from caretrail.sources.places import read_places
 from caretrail.sources.requests import read_requests
 from caretrail.sources.tables import commit, read_entity, write_snapshot
 from caretrail.streaming import delivery, links, recent
-from checks.catalog import check, scratch
+from checks.catalog import AS_OF, check, scratch
+from checks.changes import SOURCE_PATCHES, _merge
 
 # ---- files ---------------------------------------------------------------------------------------------------------
 
@@ -22,6 +24,23 @@ def _(src):
     return read_entity(spark, root, "referral_source").select("id", "name", "city", "numberOfProviders")
 
 
+@check("stored_source_patches", "M5 S3 S4", "source_patch referral_source",
+       SOURCE_PATCHES.replace(", seq) FILTER", ", seq + 1000000000 * (seq % 2)) FILTER") + f"""SELECT s.id, {_merge('n', 's.name', 'name')}, {_merge('a', 's.address', 'address')},
+         {_merge('t', 'NULL', 'notes')}, {_merge('v', '"numberOfProviders"', 'numberOfProviders')}, s.city
+         FROM referral_source s LEFT JOIN p ON p.id = s.id""")
+def _(req, src):
+    """Patches in two batches, stored as deltas and read with the table."""
+    spark, base = req.sparkSession, scratch(req.sparkSession, "patches")
+    write_snapshot(conform(src, "referral_source"), f"{base}/tables", "referral_source", 1, cluster=True)
+    tables = Tables(spark, f"{base}/tables")
+    late = F.col("seq") % 2 == 1
+    for n, part in enumerate((req.where(~late), req.where(late))):
+        body = F.from_json("body", "map<string,string>")
+        part.withColumn("body", body).write.option("ignoreNullFields", "false").json(f"{base}/in{n}")
+        tables.patch_sources(f"{base}/in{n}", f"patch-{n}", AS_OF)
+    return tables.read("referral_source").select("id", "name", "address", "notes", "numberOfProviders", "city")
+
+
 @check("requests_read_back", "S4 S7", "source_request",
        """SELECT "requestId", seq, json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.address') AS address,
             NOT json_valid(body) AS broken FROM source_request""")

@@ -156,11 +156,12 @@ def _(src):
             concat('{{"faxId":"', coalesce(faxId, json_extract_string(data, '$.id'),
               concat('unknown-', epoch_ms(TIMESTAMP '{AS_OF}'))), '","status":"', coalesce(status, 'sent'),
               '","details":', coalesce(data, '{{}}'), '}}')
+            WHEN thrown THEN concat('{{"error":"', coalesce(error, 'Unknown error'), '"}}')
             ELSE concat('{{"error":"', coalesce(error, 'Unknown error'), '"',
               CASE WHEN status IS NULL THEN '' ELSE concat(',"status":"', status, '"') END,
               ',"data":', coalesce(data, '{{}}'), '}}') END AS response FROM send_result""")
 def _(results):
-    text = X.send_response("success", "faxId", "data", "error", "status", ntz(AS_OF))
+    text = X.send_response("success", "faxId", "data", "error", "status", ntz(AS_OF), "thrown")
     return results.select("campaignId", "referralSourceId", text.alias("response"))
 
 

@@ -231,7 +231,8 @@ SELECT concat(CASE WHEN l_orderkey % 3 = 0 THEN 'k' ELSE 'c' END, l_orderkey) AS
   CASE WHEN min(l_linenumber) < 3 THEN concat('f', min(l_suppkey)) ELSE NULL END AS faxId,
   CASE WHEN max(l_linenumber) > 4 THEN concat('{{"id":"d', max(l_suppkey), '"}}') ELSE NULL END AS data,
   CASE WHEN min(l_quantity) > 3 THEN NULL ELSE 'busy' END AS error,
-  CASE WHEN min(l_quantity) > 2 THEN NULL ELSE '500' END AS status
+  CASE WHEN min(l_quantity) > 2 THEN NULL ELSE '500' END AS status,
+  min(l_quantity) BETWEEN 2 AND 4 AS thrown
 FROM {lineitem} GROUP BY l_orderkey, l_partkey % 150""",
     # links as they stand after a send, with the stored answer
     "sent_link": """

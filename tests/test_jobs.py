@@ -1,12 +1,16 @@
 """The jobs end to end on one table root: request files in, committed tables out."""
 
 import json
+from itertools import pairwise
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from caretrail.functions.dispatch import DispatchConfig
 from caretrail.jobs import OUTBOX, SKIPPED, Tables
 from caretrail.plans.migration import seed_clinics
+from caretrail.schemas import conform
 from caretrail.sources import commit, read_entity, table_paths
 from caretrail.streaming import delivery
 from caretrail.streaming.links import CHANGES
@@ -120,3 +124,57 @@ def test_a_failed_job_changes_nothing(spark, tables, ask, tmp_path):
     with pytest.raises(Exception):
         tables.create_sources(str(tmp_path / "absent"), "t1", AS_OF)
     assert read_entity(spark, tables.root, "referral_source").count() == 0 and tables.rejects().count() == 0
+
+
+def size(root, *paths):
+    return sum(f.stat().st_size for p in paths for f in (Path(root) / p).glob("*.parquet"))
+
+
+def test_patches_are_stored_as_deltas(spark, tables, tmp_path):
+    """A batch over a hundredth of the rows writes about a hundredth, and leaves the table's files as they are."""
+    n = F.col("id").cast("string")
+    src = spark.range(20_000).select(
+        F.concat(F.lit("s"), F.lpad(n, 6, "0")).alias("id"), F.sha2(n, 256).alias("name"), F.sha2(F.concat(n, n), 256).alias("notes"))
+    commit(spark, tables.root, {"referral_source": conform(src, "referral_source")}, "v1", cluster=True)
+    before = table_paths(spark, tables.root, "referral_source")
+
+    def patch(txn, path, bodies):
+        bodies.withColumn("requestId", F.concat(F.lit(txn), "id")).write.json(str(tmp_path / path))
+        tables.patch_sources(str(tmp_path / path), txn, LATER)
+
+    body = F.struct(F.sha2("name", 256).alias("notes"))
+    patch("p1", "in1", src.where("hash(id) % 100 = 0").select("id", F.lit(1).alias("seq"), body.alias("body")))
+    patch("p2", "in2", src.where("id in ('s000001', 's000002')").select(
+        "id", F.lit(0).alias("seq"), F.struct(F.lit("new").alias("name")).alias("body")))
+    assert table_paths(spark, tables.root, "referral_source") == before
+    folders = table_paths(spark, tables.root, "referral_source_patch")
+    assert folders == ["referral_source_patch/p1", "referral_source_patch/p2"]
+    assert size(tables.root, *folders) < size(tables.root, *before) / 40
+    files = spark.read.parquet(f"{tables.root}/{before[0]}").select("id", F.spark_partition_id().alias("p"))
+    ranges = files.groupBy("p").agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
+    assert all(a.high < b.low for a, b in pairwise(ranges)), "order by key survives"
+
+    def rows():
+        return {r.id: (r["name"], r.notes, str(r.updatedAt)) for r in tables.read("referral_source").collect()}
+
+    got, old = rows(), {r.id: (r["name"], r.notes) for r in src.collect()}
+    changed = {i for i, r in got.items() if r[:2] != old[i]}
+    assert {"s000001", "s000002"} <= changed and got["s000001"][0] == "new" and got["s000001"][2] == LATER
+    assert changed - {"s000001", "s000002"} == {
+        r.id for r in src.where("hash(id) % 100 = 0 and id not in ('s000001', 's000002')").collect()}
+    tables.compact("referral_source", "c1")
+    assert rows() == got and table_paths(spark, tables.root, "referral_source_patch") == []
+
+
+def test_patches_in_the_order_of_their_commits(spark, tables, ask):
+    tables.create_sources(ask("s", (None, {"name": "A", "notes": "n", "city": "c"})), "t1", AS_OF)
+    key = tables.read("referral_source").first().id
+    tables.patch_sources(ask("p", (key, {"city": "d", "notes": None})), "z", LATER)
+    tables.patch_sources(ask("q", (key, {"city": "e"}), ("gone", {"city": "x"})), "a b", LATER)
+    row = tables.read("referral_source").first()
+    assert (row["name"], row.notes, row.city) == ("A", None, "e")
+    assert tables.rejects().count() == 1
+    tables.create_sources(ask("t", (None, {"name": "B"})), "t2", AS_OF)
+    tables.delete_sources(ask("d", (key, None)), "t3")
+    assert set(names(tables.read("referral_source"))) == {"B"}
+    assert table_paths(spark, tables.root, "referral_source_patch") == []
