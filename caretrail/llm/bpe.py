@@ -2,7 +2,9 @@
 
 The distinct words of a batch are laid out as one array of symbols with links to neighbours. An index maps each ranked
 pair to all its positions; ranks are taken in ascending order, a rank is applied at all its positions at once, and the
-pairs that this makes go into the lists of their ranks. Words known from earlier batches of the partition are looked up.
+pairs that this makes go into the lists of their ranks. Words known from earlier batches of the partition are looked up
+in a cache of bounded size: one array of ids for all words, and what a word contributes to the texts of ids and tokens.
+Encoding and decoding are one map over the rows, so a task holds one vocabulary.
 
 Defined results: null and empty texts have no tokens and decode to ''; rows that repeat are encoded each; the special
 tokens' own texts become those tokens, as the tokenizers library does by default. The vocabulary file must be readable
@@ -12,6 +14,7 @@ under its path on every executor, as an installed package is.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from caretrail.llm.common import map_texts
 
 WORD_END = "</w>"
-KNOWN_WORDS = 1_000_000  # words a partition remembers before it starts afresh
+CACHE_BYTES = 48 << 20  # what a partition remembers of words before it starts afresh, about
+CHUNK = 1 << 20  # characters of text worked on at once, if no single text is longer
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
@@ -155,49 +159,103 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        return code
-
-
-def encoder(path: str):
-    """A function from texts to an Arrow array of their ids; it remembers the words it has met."""
+class WordCache:
+    """Codes of words, and for each code its ids, and their texts as decimal numbers and as tokens."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.flat, self.ends, self.n_ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64), 0
+        self.numbers: list[str] = []
+        self.tokens: list[str] = []
+        self.size = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Add words that have no code yet, each once."""
+        made = iter(self.vocab.encode_words([w for w in words if w not in self.vocab.specials]))
+        for w in words:
+            ids = np.array([self.vocab.specials[w]], np.int32) if w in self.vocab.specials else next(made)
+            code, end = len(self.codes), self.n_ids + len(ids)
+            if end > len(self.flat):
+                self.flat = np.r_[self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)]
+            if code + 2 > len(self.ends):
+                self.ends = np.r_[self.ends, np.zeros(len(self.ends), np.int64)]
+            self.flat[self.n_ids:end] = ids
+            self.ends[code + 1] = self.n_ids = end
+            self.codes[w] = code
+            self.numbers.append(" ".join(map(str, ids.tolist())))
+            self.tokens.append(" ".join([self.vocab.tokens[i] for i in ids.tolist()]))
+            self.size += 300 + 4 * len(ids) + len(w) + len(self.numbers[-1]) + len(self.tokens[-1])
+
+    def coded(self, texts: list[str | None]) -> list[list[int]]:
+        """The codes of the words of each text."""
+        split = [self.vocab.words(t) if t else [] for t in texts]
+        self.learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in self.codes])
+        return [list(map(self.codes.__getitem__, words)) for words in split]
+
+    def ids(self, codes: list[int]) -> np.ndarray:
+        c = np.array(codes, np.int64)
+        starts, n = self.ends[c], self.ends[c + 1] - self.ends[c]
+        to = np.cumsum(n)
+        return self.flat[np.repeat(starts - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+
+
+def _chunks(texts: list[str | None]):
+    chunk, size = [], 0
+    for t in texts:
+        if chunk and size + len(t or "") > CHUNK:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(t)
+        size += len(t or "")
+    if chunk:
+        yield chunk
+
+
+FIELDS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encoder(path: str, fields: tuple[str, ...] = ("ids",)):
+    """A function from texts to Arrow arrays of the ``fields``; it remembers the words it has met."""
     import pyarrow as pa
 
-    vocab = vocabulary(path)
-    state = [_Codes(), []]
+    cache = WordCache(vocabulary(path))
+    types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
+
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
 
     def work(texts: list[str | None]) -> list[pa.Array]:
-        if len(state[0]) > KNOWN_WORDS:
-            state[:] = [_Codes(), []]
-        codes, known = state
-        coded = []
-        for t in texts:
-            words = vocab.words(t) if t else []
-            coded.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-        new = list(codes)[len(known):]
-        made = iter(vocab.encode_words([w for w in new if w not in vocab.specials]))
-        known += [np.array([vocab.specials[w]], np.int32) if w in vocab.specials else next(made) for w in new]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat, starts = np.concatenate([np.zeros(0, np.int32), *known]), np.cumsum(sizes) - sizes
-        ids, lengths = [np.zeros(0, np.int32)], []
-        for c in coded:
-            n = sizes[c]
-            to = np.cumsum(n)
-            lengths.append(int(to[-1]) if len(to) else 0)
-            ids.append(flat[np.repeat(starts[c] - (to - n), n) + np.arange(lengths[-1])])
-        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+        out: dict[str, list] = {f: [] for f in fields}
+        for chunk in _chunks(texts):
+            if cache.size > CACHE_BYTES:
+                cache.clear()
+            for codes in cache.coded(chunk):
+                tokens = " ".join(map(cache.tokens.__getitem__, codes)) if fields != ("ids",) else ""
+                if "ids" in out:
+                    out["ids"].append(cache.ids(codes))
+                if "n_tokens" in out:
+                    c = np.array(codes, np.int64)
+                    out["n_tokens"].append(int((cache.ends[c + 1] - cache.ends[c]).sum()))
+                if "decoded" in out:
+                    out["decoded"].append(tokens)
+                if "decoded_sha256" in out:
+                    out["decoded_sha256"].append(sha(tokens))
+                if "ids_sha256" in out:
+                    out["ids_sha256"].append(sha(" ".join(map(cache.numbers.__getitem__, codes))))
+        return [pa.array(out[f], types.get(f, pa.string())) for f in fields]
 
     return work
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           ) -> DataFrame:
-    """``keep`` columns and ids (array of int) of every row's whole text."""
+           fields: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """``keep`` columns and ``fields`` (ids: array of int; decoded: the text they stand for) of every row's whole text."""
     path = path or default_vocabulary()
-    return map_texts(docs, keep, text, lambda: encoder(path), "ids array<int>")
+    return map_texts(docs, keep, text, lambda: encoder(path, fields), ", ".join(f"{f} {FIELDS[f]}" for f in fields))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
@@ -214,7 +272,4 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return encode(docs, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return encode(docs, path, fields=("n_tokens", "ids_sha256", "decoded_sha256"))
