@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, decoded of every document."""
-    encoded = bpe.encode(docs, keep=("doc_id", "lang", "source"))
-    return encoded.select("*", F.size("ids").cast("long").alias("n_tokens"), bpe.decode(F.col("ids")).alias("decoded"))
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"), fields=("ids", "n_tokens", "decoded"))
 
 
 STAGES = [
