@@ -11,6 +11,7 @@ from caretrail.plans import deletes, dispatch, patches
 from caretrail.schemas import LINK_KEY, conform
 from caretrail.sources.tables import lookup
 from caretrail.streaming import delivery
+from checks import CHECKS
 from checks.reads import campaign_recipient_lists
 from checks.views import view
 
@@ -45,9 +46,9 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("streamed")])
+@pytest.mark.parametrize("name", [n for n in CHECKS if not n.startswith("streamed")])
 def test_no_cross_join_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    text = plan(CHECKS[name].run(spark, SF_DIR))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert node not in text
 
