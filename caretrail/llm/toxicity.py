@@ -1,24 +1,31 @@
-"""Toxicity by the nearest labelled examples: exact weighted TF-IDF cosine over an inverted index.
-
-The model is a set of at most ``EXAMPLES`` labelled documents of each class (those with the smallest hashes of the id; a
-documented bound, so it can be broadcast), as sparse vectors over all their terms: words and the first four or five
-letters of words. A term weighs its inverse document frequency, counted over all documents, times its association with
-the label (the phi coefficient among the examples) plus ``FLOOR``, so that no term is without weight. Texts are compared
-in batches: terms of many examples by a matrix product, the others by their postings; both take part in every cosine.
-Votes are weighted by closeness and by what an example stands for in the whole label table, and
-shrunk to the base rate, so a score is a calibrated probability; the neighbours are the evidence.
-
-Defined results: a text without any term (a null or empty one too) has the rate of such examples; without labels all
-scores are 0. Labels of one document that differ count as the highest. Rows that repeat are scored each.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+The model is a set of at most ``EXAMPLES`` labelled documents of each class (those with the smallest hashes of the id, of
+at most ``EXAMPLE_BYTES`` each; a documented bound on labelled rows, so the driver may gather it and it can be broadcast),
+as TF-IDF vectors over all their words; inverse document frequencies are counted over all documents. Examples are put in
+an order in which alike ones are neighbours and cut into blocks of ``BLOCK``. For every word the index has the largest
+weight in each block. So the largest cosine a block can hold is known before its postings are read: a few blocks of the
+highest bounds are read first, and then only those whose bound reaches the cosine of the last neighbour so far. The
+neighbours are those of the full cosine over all examples.
+
+A neighbour's vote is the square of the part of its cosine that comes from words which tell labels apart (each word
+weighted by its association, the phi coefficient among the examples), times what an example stands for in the whole
+label table. Votes are shrunk to the base rate, so a score is a calibrated probability; the neighbours are the evidence.
+A score depends on the text alone. Examples of the very same text don't vote: a labelled row would else be its own
+neighbour, and its score its label.
+
+Defined results: a text without any known word (a null or empty one too) has the rate of such examples; without labels all
+scores are 0; a row without id isn't held out. Labels of one document that differ count as the highest. Rows that repeat
+are scored each.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -28,219 +35,205 @@ from pyspark.sql import functions as F
 
 from caretrail.llm.common import map_texts, ship
 
-EXAMPLES = 3000
-FLOOR = 0.01  # weight of a term that tells nothing about the label; the largest phi is 1
+EXAMPLES = 1500
+EXAMPLE_BYTES = 1 << 16
 NEIGHBOURS = 15
-BLOCK = 128  # texts compared at once
-DENSE = 1024  # terms, at most, that are compared by a matrix product
+BLOCK = 64  # examples
+FIRST = 3  # blocks read before any is skipped
+SEEDS = 24  # examples that the others are arranged around
 SHRINK = 0.5
-KNOWN_WORDS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    """A word as a term and its beginnings (with a mark before, to tell them from words)."""
-    return (word, *(f"^{word[:n]}" for n in (4, 5) if len(word) >= n))
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if isinstance(text, str) else []
 
 
-class _Terms(dict):
-    """Word to the numbers of its terms that are in the vocabulary; None for most words."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...] | None:
-        found = tuple(self.vocabulary[t] for t in word_terms(word) if t in self.vocabulary) or None
-        if len(self) < KNOWN_WORDS:
-            self[word] = found
-        return found
-
-    def counts(self, text: str | None) -> Counter:
-        out = Counter()
-        for word, n in Counter(_WORD.findall(text.lower()) if isinstance(text, str) else ()).items():
-            for t in self[word] or ():
-                out[t] += n
-        return out
-
-
-class Index:
-    """Postings of the examples in arrays, and those of the most common terms as rows of a matrix."""
-
-    def __init__(self, postings: dict[int, tuple[np.ndarray, np.ndarray]], terms: int, examples: int):
-        lengths = np.zeros(terms, np.int64)
-        for t, (at, _) in postings.items():
-            lengths[t] = len(at)
-        self.examples, self.start, self.length = examples, np.cumsum(lengths) - lengths, lengths
-        order = sorted(postings)
-        self.at = np.concatenate([np.zeros(0, np.int64), *(postings[t][0] for t in order)])
-        self.weight = np.concatenate([np.zeros(0), *(postings[t][1] for t in order)])
-        common = np.argsort(-lengths, kind="stable")[:DENSE]
-        common = common[lengths[common] > examples / 16]
-        self.row = np.full(terms, -1)
-        self.row[common] = np.arange(len(common))
-        self.common = common
-
-    @cached_property
-    def dense(self) -> np.ndarray:
-        out = np.zeros((len(self.common), self.examples))
-        for i, t in enumerate(self.common):
-            entries = slice(self.start[t], self.start[t] + self.length[t])
-            out[i, self.at[entries]] = self.weight[entries]
-        return out
-
-    def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k != "dense"}
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of each query (terms, weights) with each example."""
-        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        terms, x = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
-        rows = self.row[terms]
-        common = rows >= 0
-        left = np.zeros((len(queries), len(self.common)))
-        left[of[common], rows[common]] = x[common]
-        of, terms, x = of[~common], terms[~common], x[~common]
-        n = self.length[terms]
-        entry = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rare = np.bincount(np.repeat(of, n) * self.examples + self.at[entry], np.repeat(x, n) * self.weight[entry],
-                           len(queries) * self.examples)
-        return left @ self.dense + rare.reshape(len(queries), self.examples)
+def same(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).digest()
 
 
 @dataclass
 class Model:
+    """Examples in the order of the index. ``term``, ``example``, ``weight`` are the postings, by term and example."""
+
     vocabulary: dict[str, int]
     idf: np.ndarray
-    ids: np.ndarray  # of the examples that have terms
+    phi: np.ndarray
+    ids: np.ndarray
     toxic: np.ndarray
+    stands_for: np.ndarray
+    texts: dict[bytes, list[int]]  # of which examples a text is
+    term: np.ndarray
+    example: np.ndarray
     weight: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]  # term: example numbers in order, weights
-    block_max: np.ndarray  # term x block; not read any more, for callers that make a model by hand
     base: float  # rate among all labelled documents
-    bare: float  # rate among examples without terms
+    bare: float  # rate among examples without words
+    scale: float = 0.0  # weight of the base rate among the votes
+    read: list[int] = field(default_factory=lambda: [0, 0])  # postings read, postings there, of all queries
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        terms, x = self.arrays(np.fromiter(counts.keys(), np.int64, len(counts)),
-                               np.fromiter(counts.values(), float, len(counts)))
-        return dict(zip(terms.tolist(), x.tolist(), strict=True))
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("starts", "block_max")}
 
-    def arrays(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their weights in a vector of length 1."""
-        x = (1 + np.log(counts)) * self.idf[terms]
-        return terms, x / math.sqrt(x @ x) if len(x) else x
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
 
     @cached_property
-    def index(self) -> Index:
-        return Index(self.postings, len(self.idf), len(self.ids))
+    def starts(self) -> np.ndarray:
+        """Where the postings of each term in each block start; one more column for the ends."""
+        key = self.term * np.int64(self.blocks) + self.example // BLOCK
+        grid = np.arange(len(self.idf), dtype=np.int64)[:, None] * self.blocks + np.arange(self.blocks + 1)
+        return np.searchsorted(key, grid).astype(np.int32)
 
-    def __getstate__(self):
-        return {**vars(self), "index": self.index, "postings": {}}  # executors need the index alone
+    @cached_property
+    def block_max(self) -> np.ndarray:
+        """The largest weight of each term in each block, rounded up."""
+        out = np.zeros((len(self.idf), max(1, self.blocks)), np.float32)
+        np.maximum.at(out, (self.term, self.example // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        return out
 
-    def best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (ties: the earlier example) and the cosines; those of 0 are left out."""
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights in a vector of length 1."""
+        counts = Counter(words_of(text))
+        known = [(self.vocabulary[w], n) for w, n in counts.items() if w in self.vocabulary]
+        terms, n = np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], float)
+        x = (1 + np.log(n)) * self.idf[terms]
+        return terms, x / np.sqrt(x @ x) if len(x) else x
+
+    def _cosines(self, terms: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with all examples, those of other blocks being 0, and the part of each from telling words."""
+        low, high = self.starts[terms][:, blocks].ravel(), self.starts[terms][:, blocks + 1].ravel()
+        n = (high - low).astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        self.read[0] += total
+        at = np.repeat(low - (ends - n), n) + np.arange(total)
+        product = np.repeat(np.repeat(x, len(blocks)), n) * self.weight[at]
+        of, size = self.example[at], len(self.ids)
+        return np.bincount(of, product, size), np.bincount(of, product * self.phi[self.term[at]], size)
+
+    def nearest(self, text: str | None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples of highest cosine (ties: the smaller id), their cosines and the telling parts of these."""
+        terms, x = self.vector(text)
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        bounds = x @ self.block_max[terms]
+        order = np.argsort(-bounds, kind="stable")
+        self.read[1] += int((self.starts[terms, -1] - self.starts[terms, 0]).sum())
+        own = self.texts.get(same(text), [])
+        cos, part = self._cosines(terms, x, order[:FIRST])
+        cos[own] = 0
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else 0.0
+        rest = order[FIRST:]
+        rest = rest[(bounds[rest] >= least - 1e-9) & (bounds[rest] > 0)]
+        if len(rest):
+            more, further = self._cosines(terms, x, rest)
+            cos, part = cos + more, part + further
+            cos[own] = 0
+        cos = np.round(cos, 12)
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
-        at = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
-        x = np.round(cos[at], 12)
-        best = np.lexsort((at, -x))[:k]
-        return at[best], x[best]
-
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return self.best(self.index.cosines([(np.fromiter(query, np.int64, len(query)),
-                                              np.fromiter(query.values(), float, len(query)))])[0], k)
-
-    def scores(self, texts: list[Counter]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """Score and evidence of the texts whose terms are given."""
-        out: list[tuple[float, list[tuple[int, float]]]] = [(self.bare, [])] * len(texts)
-        used = [i for i, c in enumerate(texts) if c]
-        scale = SHRINK * self.weight.mean() if len(self.weight) else 1.0
-        for lo in range(0, len(used), BLOCK):
-            part = used[lo:lo + BLOCK]
-            cosines = self.index.cosines([self.arrays(
-                np.fromiter(texts[i].keys(), np.int64, len(texts[i])),
-                np.fromiter(texts[i].values(), float, len(texts[i]))) for i in part])
-            for i, row in zip(part, cosines, strict=True):
-                at, cos = self.best(row)
-                votes = cos * self.weight[at]
-                score = (votes @ self.toxic[at] + scale * self.base) / (votes.sum() + scale)
-                out[i] = float(score), [
-                    (int(self.ids[j]), round(float(c), 6)) for j, c in zip(at[:3], cos[:3], strict=True)]
-        return out
+        at = np.flatnonzero((cos > 0) & (cos >= least))
+        at = at[np.lexsort((self.ids[at], -cos[at]))[:k]]
+        return at, cos[at], part[at]
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        """Score and evidence of a text."""
+        at, cos, part = self.nearest(text)
+        if not len(at):
+            return self.bare, []
+        votes = part ** 2 * self.stands_for[at]
+        total = votes.sum() + self.scale
+        score = (votes @ self.toxic[at] + self.scale * self.base) / total if total > 0 else self.base
+        return float(score), [(int(i), round(float(c), 6)) for i, c in zip(self.ids[at[:3]], cos[:3], strict=True)]
 
 
 def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 5 == 0
 
 
-def _terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        words = {w for text in batch["text"] if isinstance(text, str) for w in _WORD.findall(text.lower())}
-        yield pd.DataFrame({"term": list({t for w in words for t in word_terms(w)})}, dtype="str")
-
-
 def _term_counts(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int]) -> Iterator[pd.DataFrame]:
-    known, total = _Terms(vocabulary), np.zeros(len(vocabulary), np.int64)
+    total = np.zeros(len(vocabulary), np.int64)
     for batch in batches:
         for text in batch["text"]:
-            found = {t for w in set(_WORD.findall(text.lower())) for t in known[w] or ()} if isinstance(text, str) else ()
-            total[np.fromiter(found, np.int64, len(found))] += 1
+            found = [vocabulary[w] for w in set(words_of(text)) if w in vocabulary]
+            total[found] += 1
     terms = np.flatnonzero(total)
     yield pd.DataFrame({"term": terms, "n": total[terms]})
 
 
-def _vectors(vocabulary: dict[str, int]):
-    import pyarrow as pa
-
-    known = _Terms(vocabulary)
-
-    def work(texts: list[str | None]) -> list[pa.Array]:
-        counts = [known.counts(t) for t in texts]
-        kind = pa.list_(pa.int32())
-        return [pa.array([list(c.keys()) for c in counts], kind), pa.array([list(c.values()) for c in counts], kind)]
-
-    return work
-
-
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
-    """Learns from labels of documents outside the held-out fifth; the driver gets the examples' terms and their counts."""
+    """Learns from labels of documents outside the held-out fifth; the driver gets the examples, and a count a word."""
     ship(docs.sparkSession)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    fit_docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES).select("doc_id")
+    usable = usable.join(fit_docs, "doc_id", "left_semi")
     chosen = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    terms = sample.select("text").mapInPandas(_terms_of, "term string").distinct().toArrow()["term"].to_pylist()
-    vocabulary = {t: i for i, t in enumerate(sorted(terms))}
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    everywhere = docs.select("text").mapInPandas(
-        lambda it: _term_counts(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(vocabulary))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(
+        F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES).join(
+        F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sample.toArrow().sort_by("doc_id")
+    ids, toxic, texts = (rows[c].to_pylist() for c in ("doc_id", "toxic", "text"))
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in words_of(t)}))}
+    df, n_docs = np.zeros(len(vocabulary)), 0
     if vocabulary:
-        counted = everywhere.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+        counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(
+            lambda it: _term_counts(it, shared.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         df[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    rows = docs.count() if vocabulary else 0
-    found = map_texts(sample, ("doc_id", "toxic"), "text", lambda: _vectors(shared.value),
-                      "terms array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    ids, toxic = (found[c].to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
-    vectors = [(np.array(t.values, np.int64), np.array(n.values, float))
-               for t, n in zip(found["terms"], found["n"], strict=True)]
-    size = np.array([len(t) for t, _ in vectors], np.int64)
-    per = np.array([totals.get(y, 0) / max(1, (toxic == y).sum()) for y in (0, 1)])
+        n_docs = docs.count()
+        shared.destroy()
+    return model_of(ids, toxic, texts, vocabulary, np.log((n_docs + 1) / (df + 1)) + 1, totals)
+
+
+def model_of(ids: list[int], toxic: list[int], texts: list[str | None], vocabulary: dict[str, int], idf: np.ndarray,
+             totals: dict[int, int]) -> Model:
+    """The model of the examples; ``totals`` are the labelled documents of each class that they stand for."""
+    y = np.array(toxic, np.int64)
+    per = np.array([totals.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)])
     base = totals.get(1, 0) / max(1, sum(totals.values()))
-    bare = toxic[size == 0]
-    used = np.flatnonzero(size)
-    at, term = np.repeat(np.arange(len(used)), size[used]), np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-    weights = (np.log((rows + 1) / (df + 1)) + 1) * (association(term, toxic[used][at], len(vocabulary), toxic) + FLOOR)
-    model = Model(vocabulary, weights, ids[used], toxic[used].astype(float), per[toxic[used]], {},
-                  np.zeros((len(vocabulary), 0)), base,
-                  float(per[1] * bare.sum() / per[bare].sum()) if len(bare) else base)
-    x = np.concatenate([np.zeros(0), *(model.arrays(*vectors[i])[1] for i in used)])
-    order = np.argsort(term, kind="stable")
-    cuts = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-    at, x = at[order].astype(np.int64), x[order]
-    model.postings = {t: (at[cuts[t]:cuts[t + 1]], x[cuts[t]:cuts[t + 1]]) for t in range(len(vocabulary))}
+    none = np.zeros(0)
+    model = Model(vocabulary, idf, np.zeros(len(idf)), none, none, none, {}, none, none, none, base, base)
+    vectors = [model.vector(t) for t in texts]
+    used = np.array([i for i, (t, _) in enumerate(vectors) if len(t)], np.int64)
+    bare = y[[i for i, (t, _) in enumerate(vectors) if not len(t)]]
+    if len(bare):
+        model.bare = float(per[1] * bare.sum() / max(per[bare].sum(), 1e-12))
+    order = used[arranged([vectors[i] for i in used], len(idf))]
+    model.ids = np.array(ids, np.int64)[order] if len(order) else np.zeros(0, np.int64)
+    model.toxic, model.stands_for = y[order].astype(float), per[y[order]]
+    for place, i in enumerate(order.tolist()):
+        model.texts.setdefault(same(texts[i]), []).append(place)
+    at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+    term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+    x = np.concatenate([none, *(vectors[i][1] for i in order)])
+    by_term = np.lexsort((at, term))
+    model.term, model.example, model.weight = term[by_term], at[by_term].astype(np.int64), x[by_term]
+    model.phi = association(term, y[order][at] if len(order) else y[:0], len(idf), y)
+    if len(order):
+        every = np.arange(model.blocks)
+        parts = [model._cosines(*vectors[i], every)[1] for i in order[::max(1, len(order) // 200)]]
+        parts = np.concatenate(parts)
+        usual = np.median(parts[parts > 0]) if (parts > 0).any() else 0.0
+        model.scale = float(SHRINK * model.stands_for.mean() * usual ** 2)
+        model.read = [0, 0]
     return model
 
 
+def arranged(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> np.ndarray:
+    """An order of the vectors in which alike ones are neighbours: by the seed they are nearest to, and by how near."""
+    if not vectors:
+        return np.zeros(0, np.int64)
+    seeds = np.zeros((terms, min(SEEDS, len(vectors))), np.float32)
+    for j in range(seeds.shape[1]):
+        t, x = vectors[j * len(vectors) // seeds.shape[1]]
+        seeds[t, j] = x
+    near = np.stack([x @ seeds[t] for t, x in vectors])
+    return np.lexsort((-near.max(1), near.argmax(1)))
+
+
 def association(term: np.ndarray, toxic: np.ndarray, terms: int, labels: np.ndarray) -> np.ndarray:
     """Phi coefficient, without its sign, of each term and the label: from 0 (none) to 1, at any number of examples."""
     r = [np.bincount(term[toxic == y], minlength=terms).astype(float) for y in (0, 1)]
@@ -254,15 +247,10 @@ def association(term: np.ndarray, toxic: np.ndarray, terms: int, labels: np.ndar
 def _scores(model: Model):
     import pyarrow as pa
 
-    known = _Terms(model.vocabulary)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def work(texts: list[str | None]) -> list[pa.Array]:
-        different = list(dict.fromkeys(texts))
-        done = {}
-        for lo in range(0, len(different), 4 * BLOCK):
-            part = different[lo:lo + 4 * BLOCK]
-            done.update(zip(part, model.scores([known.counts(t) for t in part]), strict=True))
+        done = {t: model.score(t) for t in dict.fromkeys(texts)}
         out = [done[t] for t in texts]
         evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in out]
         return [pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)]
@@ -280,5 +268,5 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of every row."""
     return scored(docs, fit(docs, labels)).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "evidence")
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
