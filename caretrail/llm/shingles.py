@@ -1,11 +1,18 @@
-"""Hashes of word shingles, computed for whole Arrow batches with numpy."""
+"""Hashes of word shingles, computed for whole Arrow batches with numpy.
+
+A word's hash takes in its length and eight bytes at a time, each step through a 64-bit finaliser, so words differ in hash
+but by chance (no algebra makes some collide, as with polynomials); words of more than ``LONG`` bytes go through blake2b.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SHINGLE = 5
 CHUNK = 2_000_000  # bytes of text hashed at once, if no single text is longer
+LONG = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -27,10 +34,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class Shingler:
-    def __init__(self):
-        self.up, self.down = _powers(_BASE, 1), _powers(_INVERSE, 1)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word ``data[start:end]`` of an array of bytes."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    length = (ends - starts).astype(np.uint64)
+    out = mixed(length + _BASE)
+    for n in range(0, min(LONG, int(length.max(initial=0))), 8):
+        live = np.flatnonzero(length > n)
+        part = eight[starts[live] + n]
+        bytes_left = np.minimum(length[live] - np.uint64(n), np.uint64(8))
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * bytes_left)
+        out[live] = mixed((out[live] ^ (part & mask)) + _BASE)
+    for i in np.flatnonzero(length > LONG):
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
 
+
+class Shingler:
     def sets(self, texts: list[str | None]):
         """The sorted distinct shingle hashes of each text."""
         chunk, size = [], 0
@@ -46,12 +67,9 @@ class Shingler:
 
     def _chunk(self, chunk: list[bytes]):
         data = _LOWER[np.frombuffer(b" ".join(chunk) + b" ", np.uint8)]
-        if len(data) > len(self.up):
-            self.up, self.down = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
-        sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:len(data)], dtype=np.uint64)]
         edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data]].astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
-        words = mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        words = word_hashes(data, starts, ends)
         limits = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in chunk]))
         many = max(0, len(words) - SHINGLE + 1)
         shingles = np.zeros(many, np.uint64)

@@ -89,6 +89,18 @@ def test_hashes_tell_shingles_apart(texts):
         assert len(s) == len(shingles(t))
 
 
+def test_words_that_collide_as_polynomials(spark):
+    """Two words of 1,024 letters whose sums over powers of any odd base are equal modulo 2^64 (Thue-Morse)."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    pairs = [(one, two), (one[:64], two[:64]), ("a" * 8, "a" * 9), ("\x00", "\x00\x00"), (one[:128], two[:128])]
+    for a, b in pairs:
+        x, y = Shingler().sets([a, b])
+        assert x[0] != y[0]
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_union_estimate(spark):
     rng = random.Random(1)
     rows, true = [], []
