@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caretrail.operators.ranks import numbered
 from caretrail.schemas import LINK_KEY
 
 PAGE = 1000
@@ -63,19 +64,22 @@ def with_childless(parent: DataFrame, child: DataFrame, key: str, joined: DataFr
     return joined.unionByName(lonely, allowMissingColumns=True)
 
 
-def nest(flat: DataFrame, child: DataFrame, key: str, order: str, items: str, page_size: int = PAGE) -> DataFrame:
-    """Rows of a key as arrays of about ``page_size``: (key, page, pages, <items>); ``child`` holds the rows to count.
+def nest(flat: DataFrame, key: str, order: str, items: str, page_size: int = PAGE) -> DataFrame:
+    """Rows of a key as arrays in the order of ``order``: (key, page, pages, total, <items>).
 
-    A key with few rows gives one page. A hot one gives many, spread by hash, so no task holds all its rows. The
-    exchange on key and page is asked for: grouping would otherwise stay on the join's exchange, which has the key alone.
+    Every page but a key's last holds ``page_size`` items, whatever the key's number of them; a key without any (null
+    items) has one empty page. A row's place within its key is its place in the whole table less that of the key's first
+    row, so a key with very many rows is ranked by as many tasks as it has ranges, and no array is longer than a page.
     """
-    sizes = child.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("pages"))
-    sizes = rekeyed(sizes.where(F.col("pages") > 1), key)
-    pages = F.coalesce("pages", F.lit(1))
-    paged = flat.join(sizes, key, "left").select(
-        key, items, pages.alias("pages"), F.coalesce(F.pmod(F.xxhash64(order), pages), F.lit(0)).cast("int").alias("page")
-    )
-    return paged.repartition(key, "page").groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(items)).alias(items))
+    rows = numbered(flat.select(key, F.col(order).alias("_order"), items), [key, "_order"])
+    keys = rows.groupBy(key).agg(F.min("_pos").alias("_first"), F.count(items).alias("total"))
+    page = F.expr(f"int((_pos - _first) div {page_size})").alias("page")
+    placed = rows.join(rekeyed(keys, key), key).select(
+        key, page, F.greatest(F.ceil(F.col("total") / page_size), F.lit(1)).cast("int").alias("pages"), "total",
+        F.when(F.col(items).isNotNull(), F.struct("_pos", items)).alias("_item"))
+    pages = placed.repartition(key, "page").groupBy(key, "page", "pages", "total").agg(
+        F.sort_array(F.collect_list("_item")).alias("_items"))
+    return pages.select(key, "page", "pages", "total", F.col("_items")[items].alias(items))
 
 
 def campaign_recipients(
@@ -83,8 +87,8 @@ def campaign_recipients(
 ) -> DataFrame:
     """Campaigns with their links and the linked sources; campaigns without recipients stay.
 
-    Flat: one row per recipient (campaignId, campaign, link, source). Nested: one row per campaign and page, see
-    :func:`nest`; the campaign's own columns are joined on by the caller who wants them.
+    Flat: one row per recipient (campaignId, campaign, link, source). Nested: one row per campaign and page, recipients in
+    the order of their source's id, see :func:`nest`; the campaign's own columns are joined on by the caller who wants them.
     """
     parents = as_relation(camp, "campaignId", "campaign")
     children = link.select(*LINK_KEY, F.struct(*link.columns).alias("link"))
@@ -96,7 +100,7 @@ def campaign_recipients(
         return flat
     item = F.when(F.col("link").isNotNull(), F.struct("link.referralSourceId", "link", "source"))
     rows = flat.select("campaignId", item.alias("recipients"))
-    return nest(rows, link, "campaignId", "recipients.referralSourceId", "recipients", page_size)
+    return nest(rows, "campaignId", "recipients.referralSourceId", "recipients", page_size)
 
 
 def clinic_roster(clinic: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE) -> DataFrame:
@@ -111,7 +115,7 @@ def clinic_roster(clinic: DataFrame, src: DataFrame, nested: bool = False, page_
     if not nested:
         return flat
     rows = flat.withColumnRenamed("source", "sources")
-    return nest(rows, src, "clinicLocationId", "sources.id", "sources", page_size)
+    return nest(rows, "clinicLocationId", "sources.id", "sources", page_size)
 
 
 def events_to_links(ev: DataFrame, link: DataFrame) -> DataFrame:

@@ -160,24 +160,42 @@ def _(camp, link, src):
     )
 
 
+def _pages(keys: str, rows: str, size: int) -> str:
+    """Twin of nesting: ``rows`` (key, item id, item text) of all ``keys`` in pages of ``size`` in id order."""
+    return f"""WITH r AS (SELECT k.key, t.id, t.item, row_number() OVER (PARTITION BY k.key ORDER BY t.id) - 1 AS n,
+        count(t.id) OVER (PARTITION BY k.key) AS total FROM ({keys}) k LEFT JOIN ({rows}) t ON t.key = k.key)
+      SELECT key, CAST(n // {size} AS INT) AS page, CAST(greatest(ceil(total / {size}), 1) AS INT) AS pages, total,
+        count(id) AS items, coalesce(string_agg(item, ',' ORDER BY id) FILTER (id IS NOT NULL), '') AS names
+      FROM r GROUP BY key, n // {size}, total"""
+
+
+RECIPIENT_PAGE, ROSTER_PAGE = 3, 100
+
+
 @check("campaign_recipient_lists", "J3", "campaign campaign_link referral_source",
-       """SELECT c.id AS campaign_id, count(l.referralSourceId) AS recipients,
-            coalesce(string_agg(concat(l.referralSourceId, ':', coalesce(s.name, '?')), ',' ORDER BY l.referralSourceId)
-              FILTER (l.referralSourceId IS NOT NULL), '') AS names
-          FROM campaign c LEFT JOIN campaign_link l ON l.campaignId = c.id
-          LEFT JOIN referral_source s ON s.id = l.referralSourceId GROUP BY c.id""")
-def campaign_recipient_lists(camp, link, src):
-    """One row a campaign at any number of recipients: the pages, made by many tasks, are put together in id order."""
-    pages = joins.campaign_recipients(camp, link, src, nested=True)
-    named = F.transform("recipients", lambda r: F.struct(
-        r["referralSourceId"].alias("id"),
-        F.concat(r["referralSourceId"], F.lit(":"), F.coalesce(r["source"]["name"], F.lit("?"))).alias("name")))
-    lists = pages.select("campaignId", named.alias("named")).groupBy("campaignId").agg(
-        F.array_sort(F.flatten(F.collect_list("named"))).alias("named"))
-    return lists.select(
-        F.col("campaignId").alias("campaign_id"), F.size("named").cast("long").alias("recipients"),
-        F.array_join("named.name", ",").alias("names"),
-    )
+       _pages("SELECT id AS key FROM campaign",
+              "SELECT l.campaignId AS key, l.referralSourceId AS id, concat(l.referralSourceId, ':', coalesce(s.name, '?')) AS item "
+              "FROM campaign_link l LEFT JOIN referral_source s ON s.id = l.referralSourceId", RECIPIENT_PAGE))
+def campaign_recipient_lists(camp, link, src, page_size=RECIPIENT_PAGE):
+    """Pages of one size at any number of recipients, in id order, with the campaign's whole number of them."""
+    pages = joins.campaign_recipients(camp, link, src, nested=True, page_size=page_size)
+    names = F.transform("recipients", lambda r: F.concat(
+        r["referralSourceId"], F.lit(":"), F.coalesce(r["source"]["name"], F.lit("?"))))
+    return pages.select(F.col("campaignId").alias("key"), "page", "pages", "total", F.size("recipients").cast("long").alias("items"),
+                        F.array_join(names, ",").alias("names"))
+
+
+@check("clinic_roster_pages", "J4", "clinic_location referral_source",
+       _pages("SELECT id AS key FROM clinic_location",
+              "SELECT clinicLocationId AS key, id, concat(id, ':', name, ':', coalesce(contactPerson, '')) AS item "
+              "FROM referral_source", ROSTER_PAGE))
+def _(clinic, src):
+    full = src.withColumn("contactPhone", F.lit(None).cast("string"))
+    pages = joins.clinic_roster(clinic, full, nested=True, page_size=ROSTER_PAGE)
+    names = F.transform("sources", lambda r: F.concat(
+        r["id"], F.lit(":"), r["name"], F.lit(":"), F.coalesce(r["contactPerson"], F.lit(""))))
+    return pages.select(F.col("clinicLocationId").alias("key"), "page", "pages", "total",
+                        F.size("sources").cast("long").alias("items"), F.array_join(names, ",").alias("names"))
 
 
 @check("clinic_roster", "J4", "clinic_location referral_source",
