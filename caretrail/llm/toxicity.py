@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -73,7 +73,7 @@ class Model:
     read: list[int] = field(default_factory=lambda: [0, 0])  # postings read, postings there, of all queries
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("starts", "block_max")}
+        return {k: v for k, v in vars(self).items() if k not in ("starts", "block_max", "by_example", "_dense")}
 
     @property
     def blocks(self) -> int:
@@ -95,47 +95,76 @@ class Model:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights in a vector of length 1."""
-        counts = Counter(words_of(text))
-        known = [(self.vocabulary[w], n) for w, n in counts.items() if w in self.vocabulary]
-        terms, n = np.array([t for t, _ in known], np.int64), np.array([n for _, n in known], float)
+        words = words_of(text)
+        codes = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        terms, n = np.unique(codes[codes >= 0], return_counts=True)
         x = (1 + np.log(n)) * self.idf[terms]
         return terms, x / np.sqrt(x @ x) if len(x) else x
 
-    def _cosines(self, terms: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines with all examples, those of other blocks being 0, and the part of each from telling words."""
-        low, high = self.starts[terms][:, blocks].ravel(), self.starts[terms][:, blocks + 1].ravel()
-        n = (high - low).astype(np.int64)
+    def _cosines(self, starts: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with all examples, those of other blocks being 0; ``starts`` are those of the query's terms.
+
+        Blocks next to each other are read in one go.
+        """
+        if not len(blocks):
+            return np.zeros(len(self.ids))
+        blocks = np.sort(blocks)
+        gaps = np.flatnonzero(np.diff(blocks) > 1)
+        low = starts[:, blocks[np.concatenate([[0], gaps + 1])]].ravel()
+        n = starts[:, blocks[np.concatenate([gaps, [-1]])] + 1].ravel() - low
+        ends = np.cumsum(n, dtype=np.int64)
+        self.read[0] += int(ends[-1])
+        at = np.repeat(low - (ends - n), n)
+        at += np.arange(len(at))
+        product = np.repeat(np.repeat(x, len(gaps) + 1), n)
+        product *= self.weight[at]
+        return np.bincount(self.example[at], product, len(self.ids))
+
+    @cached_property
+    def by_example(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and telling weights of the examples, one after the other, and where each starts."""
+        order = np.argsort(self.example, kind="stable")
+        term = self.term[order]
+        return term, self.weight[order] * self.phi[term], np.searchsorted(self.example[order], np.arange(len(self.ids) + 1))
+
+    def telling(self, terms: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The part of the cosines with the examples ``at`` that comes from telling words."""
+        term, weight, starts = self.by_example
+        n = starts[at + 1] - starts[at]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        self.read[0] += total
-        at = np.repeat(low - (ends - n), n) + np.arange(total)
-        product = np.repeat(np.repeat(x, len(blocks)), n) * self.weight[at]
-        of, size = self.example[at], len(self.ids)
-        return np.bincount(of, product, size), np.bincount(of, product * self.phi[self.term[at]], size)
+        entry = np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])
+        query = self._dense
+        query[terms] = x
+        out = np.add.reduceat(query[term[entry]] * weight[entry], ends - n)
+        query[terms] = 0
+        return out
+
+    @cached_property
+    def _dense(self) -> np.ndarray:
+        return np.zeros(len(self.idf))
 
     def nearest(self, text: str | None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k examples of highest cosine (ties: the smaller id), their cosines and the telling parts of these."""
         terms, x = self.vector(text)
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        bounds = x @ self.block_max[terms]
+        bounds, starts = x @ self.block_max[terms], self.starts[terms]
         order = np.argsort(-bounds, kind="stable")
-        self.read[1] += int((self.starts[terms, -1] - self.starts[terms, 0]).sum())
+        self.read[1] += int((starts[:, -1] - starts[:, 0]).sum())
         own = self.texts.get(same(text), [])
-        cos, part = self._cosines(terms, x, order[:FIRST])
+        cos = self._cosines(starts, x, order[:FIRST])
         cos[own] = 0
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else 0.0
         rest = order[FIRST:]
         rest = rest[(bounds[rest] >= least - 1e-9) & (bounds[rest] > 0)]
         if len(rest):
-            more, further = self._cosines(terms, x, rest)
-            cos, part = cos + more, part + further
+            cos += self._cosines(starts, x, rest)
             cos[own] = 0
         cos = np.round(cos, 12)
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
         at = np.flatnonzero((cos > 0) & (cos >= least))
         at = at[np.lexsort((self.ids[at], -cos[at]))[:k]]
-        return at, cos[at], part[at]
+        return at, cos[at], self.telling(terms, x, at) if len(at) else cos[at]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Score and evidence of a text."""
@@ -156,8 +185,9 @@ def _term_counts(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int]) ->
     total = np.zeros(len(vocabulary), np.int64)
     for batch in batches:
         for text in batch["text"]:
-            found = [vocabulary[w] for w in set(words_of(text)) if w in vocabulary]
-            total[found] += 1
+            words = set(words_of(text))
+            codes = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
+            total[codes[codes >= 0]] += 1
     terms = np.flatnonzero(total)
     yield pd.DataFrame({"term": terms, "n": total[terms]})
 
@@ -213,8 +243,8 @@ def model_of(ids: list[int], toxic: list[int], texts: list[str | None], vocabula
     model.term, model.example, model.weight = term[by_term], at[by_term].astype(np.int64), x[by_term]
     model.phi = association(term, y[order][at] if len(order) else y[:0], len(idf), y)
     if len(order):
-        every = np.arange(model.blocks)
-        parts = [model._cosines(*vectors[i], every)[1] for i in order[::max(1, len(order) // 200)]]
+        every = np.arange(len(order))
+        parts = [model.telling(*vectors[i], every) for i in order[::max(1, len(order) // 200)]]
         parts = np.concatenate(parts)
         usual = np.median(parts[parts > 0]) if (parts > 0).any() else 0.0
         model.scale = float(SHRINK * model.stands_for.mean() * usual ** 2)
