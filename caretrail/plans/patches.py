@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.functions.defaults import with_defaults
+from caretrail.functions.defaults import ntz, with_defaults
 from caretrail.operators.guards import DUPLICATE_CLINIC, flag_duplicate_name
 from caretrail.plans.change import (
     Change, Field, apply_patches, blank, first_reason, mark_known, once, split_rejects, value, with_body,
@@ -16,7 +16,7 @@ from caretrail.plans.change import (
 )
 from caretrail.plans.creates import recipient_ids
 from caretrail.operators.joins import rekeyed
-from caretrail.schemas import LINK_KEY, conform
+from caretrail.schemas import COLUMN_DEFAULTS, LINK_KEY, TABLES, conform
 
 # Reasons given to the caller.
 SOURCE_MISSING = "Referral source not found"
@@ -171,29 +171,51 @@ def sync_recipients(
     or listed twice rejects the campaign, and so does (given ``camp``) one that does not exist. The key pair is unique, so the joins on it spread evenly even if one campaign
     holds much of the table.
     """
+    pairs, verdicts = _compared(req, link, src, camp)
+    rejects = verdicts.where(F.col("_reason").isNotNull()).select("campaignId", F.col("_reason").alias("reason"))
+    judged = pairs.join(rekeyed(verdicts, "campaignId"), "campaignId", "left")
+    applies = F.coalesce(F.col("_asked") & F.col("_reason").isNull(), F.lit(False))
+    held = F.col("_link").isNotNull()
+    new = conform(with_defaults(judged.where(applies & ~held).select(*LINK_KEY), "campaign_link", as_of), "campaign_link")
+    # one pass for the table: links that stay and links that come
+    values = {**{f.name: F.lit(None) for f in TABLES["campaign_link"].fields}, **{k: F.col(k) for k in LINK_KEY},
+              **{k: F.lit(v) for k, v in COLUMN_DEFAULTS["campaign_link"].items()}, "createdAt": ntz(as_of), "updatedAt": ntz(as_of)}
+    types = dict(link.dtypes)
+    fresh = F.struct(*[values[c].cast(types[c]).alias(c) if c in values else F.lit(None).cast(types[c]).alias(c) for c in link.columns])
+    table = judged.where(F.when(held, ~applies | F.col("_wanted")).otherwise(applies)).select(
+        F.when(held, F.col("_link")).otherwise(fresh).alias("row")).select("row.*")
+    removed = judged.where(held & applies & ~F.col("_wanted")).select("_link.*").select(*link.columns)
+    return Sync(table, new, removed, rejects)
+
+
+def _compared(
+    req: DataFrame, link: DataFrame, src: DataFrame | None, camp: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """(all pairs that are linked or wanted, with ``_link`` and ``_wanted``; a verdict for each campaign asked for).
+
+    One full outer join on the pair, which is unique on both sides, tells new, kept and removed recipients apart. What
+    speaks against a campaign is combined in every task before it is exchanged.
+    """
     asked = req.where(F.col("referralSourceIds").isNotNull())
-    missing = None
-    if camp is not None:
-        there = camp.select(F.col("id").alias("campaignId"))
-        missing = asked.select("campaignId").distinct().join(there, "campaignId", "left_anti")
-        asked = asked.join(there, "campaignId", "left_semi")
-    listed = asked.select("campaignId", F.explode("referralSourceIds").alias("referralSourceId"))
+    # a row for each recipient, and one without for the campaign itself, which stands for an empty list
+    listed = asked.select("campaignId", F.explode(F.concat(
+        F.array(F.lit(None).cast("string")), "referralSourceIds")).alias("referralSourceId"), F.lit(True).alias("_listed"))
     wanted = listed.groupBy(*LINK_KEY).agg((F.count(F.lit(1)) > 1).alias("_twice"))
-    fresh = wanted.join(link.select(*LINK_KEY), LINK_KEY, "left_anti")
-    fresh = mark_known(fresh, src.select("id") if src is not None else None, "referralSourceId", "_source")
-    failed = fresh.where(F.col("_twice") | ~F.col("_source")).select("campaignId").distinct()
-    rejects = failed.select("campaignId", F.lit(CAMPAIGN_FAILED).alias("reason"))
-    if missing is not None:
-        rejects = rejects.unionByName(missing.select("campaignId", F.lit(CAMPAIGN_MISSING).alias("reason")))
-    failed = rekeyed(failed, "campaignId")
-    touched = rekeyed(asked.select("campaignId").distinct().join(failed, "campaignId", "left_anti"), "campaignId")
-    made = fresh.join(failed, "campaignId", "left_anti").select(*LINK_KEY)
-    added = conform(with_defaults(made, "campaign_link", as_of), "campaign_link")
-    marked = link.join(touched.withColumn("_touched", F.lit(True)), "campaignId", "left").join(
-        wanted.select(*LINK_KEY, F.lit(True).alias("_wanted")), LINK_KEY, "left")
-    goes = F.col("_touched").isNotNull() & F.col("_wanted").isNull()
-    removed, kept = marked.where(goes).select(*link.columns), marked.where(~goes).select(*link.columns)
-    return Sync(kept.unionByName(added, allowMissingColumns=True), added, removed, rejects)
+    wanted = mark_known(wanted, src.select("id") if src is not None else None, "referralSourceId", "_source")
+    if camp is not None:
+        wanted = mark_known(wanted.withColumnRenamed("campaignId", "id"), camp, "id", "_campaign").withColumnRenamed(
+            "id", "campaignId")
+    else:
+        wanted = wanted.withColumn("_campaign", F.lit(True))
+    held = link.select(*LINK_KEY, F.struct(*link.columns).alias("_link"))
+    pairs = held.join(wanted.withColumn("_wanted", F.lit(True)), LINK_KEY, "full").withColumn(
+        "_wanted", F.coalesce("_wanted", F.lit(False)))
+    fresh = F.col("_link").isNull() & F.col("referralSourceId").isNotNull()
+    verdicts = pairs.where("_wanted").groupBy("campaignId").agg(
+        F.lit(True).alias("_asked"),
+        F.when(~F.bool_and("_campaign"), F.lit(CAMPAIGN_MISSING)).when(
+            F.bool_or(fresh & (F.col("_twice") | ~F.col("_source"))), F.lit(CAMPAIGN_FAILED)).alias("_reason"))
+    return pairs.where(F.col("referralSourceId").isNotNull()), verdicts
 
 
 class CampaignUpdate(NamedTuple):
