@@ -3,8 +3,11 @@
 Exact repeats are found on hashes of 128 bits. For near repeats every distinct line is cut into ``EDITS + 1`` segments; a
 line within ``EDITS`` edits of it holds one of them as a substring, at a place that the lengths bound. Segments are
 indexed by (length, segment, content), each line probes the indexes of its own and slightly smaller lengths at those
-places, and pairs that meet are verified by banded bit-parallel edit distance. Letter parities travel with the keys and
-settle most pairs of a crowded key inside the join, before a row is made of them.
+places, and pairs that meet are verified by banded bit-parallel edit distance. Before keys are exchanged, a bitmap of the
+index (``SLOTS`` bits over hashed keys, so of fixed size at any size of the table) drops probes that meet nothing but their
+own line; full slots let probes through in vain and change nothing else. The parities of character counts travel with
+the keys: an edit changes two of them at most, which settles most pairs inside the join, before a row is made of them. A
+key that more than ``CROWD`` lines have is divided by the parities' pieces, one of which two near lines share.
 
 The rule: rows are ordered by (doc_id, hash of the row), null ids as -1. A line of ``LEAST`` bytes or more is kept where
 it comes first, and only if no other line with an earlier first row (in one row: the smaller bytes first) is within
@@ -21,11 +24,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import row_keys
+from caretrail.llm.common import row_keys, stored
 
 EDITS = 2
 LEAST = 24  # bytes
-COUNTED = "etaoinsrhldcumpg"  # of whose counts the parities are compared: an edit changes two of them at most
+COUNTED = "etaoinsrhldcumpgfwybvkxjqz 0123456789.,-'ETAOIN"  # characters of whose counts the parities are compared
+SLOTS = 1 << 25
+CROWD = 64
 
 
 def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
@@ -81,40 +86,78 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
     return F.aggregate(masks, start, step, lambda a: a["d"])
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of segment i (from 0) of a line: near-equal parts, the longer ones last."""
-    parts = edits + 1
-    base, spare = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    size = base + F.when(i >= parts - spare, 1).otherwise(0)
-    return base * i + F.greatest(F.lit(i - parts) + spare, F.lit(0)) + 1, size
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(bytes less, segment, shift) of the substrings that a segment of a line of the same or a smaller length can match
+    (multi-match-aware). The first ones, of no bytes less and no shift, are the line's own segments: its index keys."""
+    own = [(0, i, 0) for i in range(edits + 1)]
+    all_ = [(less, i, shift) for less, i in product(range(edits + 1), range(edits + 1))
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return own + [p for p in all_ if p not in own]
 
 
-def _key(line: Column, at: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, at, size), length, F.lit(i))
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """h1, odd, key, own (whether it is an index key too) of lines (h1, b, odd): a row for each probe.
 
-
-def _index_keys(line: Column, edits: int) -> list[Column]:
-    n = F.octet_length(line)
-    return [_key(line, *_segment(n, i, edits), n, i) for i in range(edits + 1)]
-
-
-def _probe_keys(line: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that a segment of a line of the same or a smaller length can match (multi-match-aware)."""
-    n, out = F.octet_length(line), []
-    for less, i in product(range(edits + 1), range(edits + 1)):
-        at, size = _segment(n - less, i, edits)
-        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-            out.append(_key(line, at + shift, size, n - less, i))
-    return out
-
-
-def letter_parities(line: Column) -> Column:
-    """Bit i: is the count of letter i of ``COUNTED`` odd?"""
-    n, packed = F.octet_length(line), F.lit(0)
-    for i, c in enumerate(COUNTED):
-        odd = (n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1))
-        packed = packed.bitwiseOR(F.shiftleft(odd, i))
-    return packed
+    The probes are exploded first and one key is computed from each: written out, the keys would make a method too large
+    to be compiled.
+    """
+    places = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "shift"), p, strict=True)])
+                       for p in _probes(edits)])
+    rows = lines.select("h1", "odd", "b", F.explode(places).alias("p")).select(
+        "h1", "odd", "b", (F.octet_length("b") - F.col("p.less")).alias("n"), F.col("p.i").alias("i"), F.col(
+            "p.shift").alias("shift"), ((F.col("p.less") == 0) & (F.col("p.shift") == 0)).alias("own"))
+    parts, n, i = edits + 1, F.col("n"), F.col("i")
+    base, spare = F.floor(n / parts).cast("int"), F.pmod(n, F.lit(parts))
+    rows = rows.select("h1", "odd", "own", "b", "n", "i", (
+        base * i + F.greatest(i - parts + spare, F.lit(0)) + 1 + F.col("shift")).alias("at"), (
+        base + (i >= F.lit(parts) - spare).cast("int")).alias("size"))
+    return rows.select("h1", "odd", "own", F.xxhash64(F.substring("b", F.col("at"), F.col("size")), "n", "i").alias("key"))
+
+
+def character_parities(line: Column) -> Column:
+    """Bit i: is the count of character i of ``COUNTED`` odd?"""
+    n, chars = F.octet_length(line), F.array(*[F.lit(c) for c in COUNTED])
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda bits, c: F.shiftleft(bits, 1).bitwiseOR(
+        (n - F.octet_length(F.replace(line, c, F.lit("")))).bitwiseAND(F.lit(1)).cast("long")))
+
+
+def index_bitmap(index: DataFrame, slots: int) -> DataFrame:
+    """_bucket, _one, _two: 512 words of bits each, of slots that any index key has, and that several have."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots))
+    counts = index.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    words = counts.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(bit).alias("one"), F.bit_or(F.when(F.col("n") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("two"))
+    buckets = words.groupBy(F.shiftright("word", 9).alias("_bucket")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("word").bitwiseAND(F.lit(511)).cast("int"), F.struct("one", "two")))).alias("m"))
+    def dense(field: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(511)), lambda w: F.coalesce(
+            F.col("m")[w][field], F.lit(0).cast("long"))).alias(f"_{field}")
+
+    return stored(buckets.select("_bucket", dense("one"), dense("two")), "line-index")
+
+
+def that_may_meet(probes: DataFrame, bitmap: DataFrame, slots: int) -> DataFrame:
+    """Probes whose slot an index key has; own keys count only if another line's key is there too."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots))
+    placed = probes.withColumn("_slot", slot).withColumn("_bucket", F.shiftright("_slot", 15))
+    at = F.shiftright("_slot", 6).bitwiseAND(F.lit(511)).cast("int")
+    word = F.when(F.col("own"), F.get("_two", at)).otherwise(F.get("_one", at))
+    return placed.join(F.broadcast(bitmap), "_bucket").where(
+        F.getbit(word, F.col("_slot").bitwiseAND(F.lit(63)).cast("int")) == 1).select(*probes.columns)
+
+
+def divided(rows: DataFrame, crowded: DataFrame, edits: int) -> DataFrame:
+    """``rows`` with keys of crowded ones divided: a row for each piece of the parities.
+
+    Two lines within ``edits`` differ in 2 * edits parities at most, so of one piece more they share one.
+    """
+    pieces, width = 2 * edits + 1, -(-len(COUNTED) // (2 * edits + 1))
+    piece = [F.xxhash64("key", F.lit(j), F.shiftright("odd", j * width).bitwiseAND(F.lit((1 << width) - 1)))
+             for j in range(pieces)]
+    marked = rows.join(crowded, "key", "left")
+    keys = F.when(F.col("crowd"), F.array(*piece)).otherwise(F.array("key"))
+    return marked.select("h1", "odd", F.explode(keys).alias("key"))
 
 
 def _row_lines(docs: DataFrame) -> DataFrame:
@@ -141,20 +184,23 @@ def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of distinct lines within ``edits`` of each other, as the (h1, _k, _h, pos, line) structs a and b."""
-    lines = lines_at(docs, firsts).select("line", F.xxhash64("line").alias("h1"))
-    data = lines.select("h1", F.col("line").cast("binary").alias("b"), letter_parities(F.col("line")).alias("odd"))
-    index = data.select("h1", "odd", F.explode_outer(F.array(*_index_keys(F.col("b"), edits))).alias("key"))
-    probe = data.select(
-        F.col("h1").alias("p1"), F.col("odd").alias("podd"),
-        F.explode_outer(F.array(*_probe_keys(F.col("b"), edits))).alias("key"))
+    lines = stored(lines_at(docs, firsts).select(
+        F.xxhash64("line").alias("h1"), "_k", "_h", "pos", "line", character_parities(F.col("line")).alias("odd")),
+        "lines")
+    keys = with_keys(lines.select("h1", "odd", F.col("line").cast("binary").alias("b")), edits)
+    index = keys.where("own").select("h1", "odd", "key")
+    bitmap = index_bitmap(index, SLOTS)
+    crowded = stored(index.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd")),
+                     "line-crowds")
+    index = divided(index, crowded, edits)
+    probe = divided(that_may_meet(keys, bitmap, SLOTS), crowded, edits).select(
+        F.col("h1").alias("p1"), F.col("odd").alias("podd"), "key")
     # Equal lengths meet twice; a pair of such lines is taken both ways and once after ``distinct``.
     pairs = index.join(
         probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("p1"))
         & (F.bit_count(F.col("odd").bitwiseXOR(F.col("podd"))) <= 2 * edits)
     ).select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = lines_at(docs, firsts.join(ends, "h1", "left_semi")).select(
-        F.xxhash64("line").alias("h1"), F.struct("_k", "_h", "line", "pos").alias("x"))
+    texts = lines.select("h1", F.struct("_k", "_h", "line", "pos").alias("x"))
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("x").alias("x")), "a").join(
         texts.select(F.col("h1").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
     n, m = F.octet_length("x.line"), F.octet_length("y.line")
