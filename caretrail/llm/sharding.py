@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import checkpointed, whole_text
+from caretrail.llm.common import checkpointed, stored, whole_text
+from caretrail.llm.ranks import numbered
 
 BITS = 4
 MAX_CELLS = 1 << 16
@@ -52,26 +53,39 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A dimension as a number in the column's order: numbers themselves, texts by their first six bytes."""
-    if dict(df.dtypes)[column] in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(column).cast("double")
+def is_text(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] in ("string", "binary")
 
 
-def with_steps(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """``df`` with _step<i> of each dimension: between which of 2^bits - 1 quantiles the row lies."""
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    bounds = df.select(*[as_number(df, c).alias(f"_{i}") for i, c in enumerate(dimensions)]).agg(
-        *[F.percentile_approx(f"_{i}", cuts, 10_000) for i in range(len(dimensions))]).first()
-    steps = []
+def text_starts(df: DataFrame, column: str, key: str) -> DataFrame:
+    """_value, _start: how many rows of ``df`` have a smaller value, for each distinct whole value of a text column."""
+    placed = numbered(df.select(F.col(column).alias("_value"), F.xxhash64(key).alias("_mix")), ["_value", "_mix"])
+    return stored(placed.groupBy("_value").agg(F.min("_pos").alias("_start")), "text-starts")
+
+
+def with_steps(df: DataFrame, dimensions: list[str], key: str, bits: int = BITS) -> DataFrame:
+    """``df`` with _step<i> of each dimension: in which of 2^bits equally full parts of the table the row's value starts.
+
+    Numbers are cut at approximate quantiles. Texts are ranked by their whole values, so that a prefix that all share
+    makes no difference; a value's rank is joined to its rows, which adaptive execution can split.
+    """
+    parts, columns = 1 << bits, df.columns
+    cuts = [i / parts for i in range(1, parts)]
+    numbers = [c for c in dimensions if not is_text(df, c)]
+    bounds = df.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.percentile_approx(F.col(c).cast("double"), cuts, 10_000).alias(f"_{i}") for i, c in enumerate(numbers)]).first()
+    out = df
     for i, c in enumerate(dimensions):
-        value, step = as_number(df, c), F.lit(0)
-        for bound in sorted(set(bounds[i] or ())):
-            step = step + F.coalesce(value >= bound, F.lit(False)).cast("int")
-        steps.append(step.alias(f"_step{i}"))
-    return df.select("*", *steps)
+        if c in numbers:
+            value, step = F.col(c).cast("double"), F.lit(0)
+            for bound in sorted(set(bounds[f"_{numbers.index(c)}"] or ())):
+                step = step + F.coalesce(value >= bound, F.lit(False)).cast("int")
+            out = out.withColumn(f"_step{i}", step)
+        else:
+            starts = text_starts(df, c, key)
+            out = out.join(starts, out[c].eqNullSafe(starts["_value"]), "left").withColumn(
+                f"_step{i}", F.expr(f"int(_start * {parts} div {max(1, bounds['_n'])})")).drop("_value", "_start")
+    return out.select(*columns, *[f"_step{i}" for i in range(len(dimensions))])
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int, key: str, bits: int = BITS) -> DataFrame:
@@ -87,7 +101,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int, key: str,
     curve = spark.createDataFrame(
         [(i, int(h)) for i, h in enumerate(hilbert_index(points, bits))], "_cell int, place int")
     columns = df.columns
-    stepped = with_steps(df, dimensions, bits)
+    stepped = with_steps(df, dimensions, key, bits)
     cell = sum((F.col(f"_step{i}") * (1 << (bits * (n - 1 - i))) for i in range(n)), F.lit(0)).cast("int")
     placed = stepped.select(*columns, cell.alias("_cell")).join(F.broadcast(curve), "_cell").drop("_cell")
     ordered = placed.withColumn("_mix", F.xxhash64(key)).repartitionByRange("place", "_mix", key).sortWithinPartitions(

@@ -34,6 +34,36 @@ def test_curve_visits_every_cell_by_single_steps():
         assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_sources_with_one_prefix_are_told_apart(spark):
+    """Sixteen sources that start alike: a shard holds few of them, so files prune on source."""
+    rows = [(i, "x", "en", f"https://site{i % 16:02d}.example") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.document_shards(df).collect()
+    check(got, [r[:2] for r in rows])
+    source, by_shard = {r[0]: r[3] for r in rows}, {}
+    for r in got:
+        by_shard.setdefault(r.shard, set()).add(source[r.doc_id])
+    assert max(map(len, by_shard.values())) <= 2
+
+
+def test_places_by_the_definition(spark):
+    """A row's place is the curve's at the steps of its values: rank of the whole text, quantile of the size."""
+    rows = [(i, "t" * (i % 7), f"l{i % 3}", f"s{i % 5}" if i % 11 else None) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.place, r.size) for r in sharding.document_shards(df).collect()}
+    sizes = sorted(r[1].count("t") + 1 for r in rows)
+    bounds = {sizes[max(0, int(np.ceil(len(sizes) * i / 16)) - 1)] for i in range(1, 16)}
+
+    def rank(values, v):
+        order = lambda x: (x is not None, x or "")
+        return sum(order(x) < order(v) for x in values) * 16 // len(values)
+
+    points = [(rank([r[2] for r in rows], lang), rank([r[3] for r in rows], source), sum(len(text) + 1 >= b for b in bounds))
+              for _, text, lang, source in rows]
+    want = sharding.hilbert_index(np.array(points), 4).tolist()
+    assert [got[r[0]][0] for r in rows] == want
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (3, "é" * 40_000, "de", "s"), (4, "x", "en", ""), (4, "x", "en", ""),
             (None, "y", "fr", "t")] + [(10 + i, "same", "en", "hot") for i in range(40)]
