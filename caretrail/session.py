@@ -28,9 +28,21 @@ def build_session(name: str = "caretrail", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder every executor sees: below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the warehouse where it is unset.
+
+    A warehouse on a local disk will do for a local session only: on a cluster every executor would write to its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_shared"
-    return f"{base.rstrip('/')}/{name}"
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
+    master = spark.conf.get("spark.master", None) or "local"
+    if not master.startswith("local") and (warehouse.startswith("file:") or ":/" not in warehouse):
+        raise ValueError(f"spark.checkpoint.dir is unset and the warehouse {warehouse} is a folder of one machine")
+    return f"{warehouse}/_shared"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name which every executor sees."""
+    return f"{shared_base(spark)}/{name}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caretrail.jobs import Tables
 from caretrail.schemas import LINK_KEY, conform
+from caretrail.sources.documents import document_catalog
 from caretrail.sources.output import write_json
 from caretrail.sources.places import read_places
 from caretrail.sources.requests import read_requests
@@ -59,6 +60,20 @@ def _(req):
         F.when(~broken, F.get_json_object("body", "$.address")).alias("address"), broken.alias("broken"))
 
 
+@check("document_catalog", "S6 X10", "clinic_location",
+       """SELECT id AS folder, 'txt' AS extension, CAST(length(name) + 1 AS BIGINT) AS size, true AS placed
+          FROM clinic_location""")
+def _(clinic):
+    """One document for each clinic, landed in a folder of its own."""
+    spark, path = clinic.sparkSession, scratch(clinic.sparkSession, "uploads") + "/in"
+    clinic.select("id", F.col("name").alias("value")).repartition("id").write.partitionBy("id").text(path)
+    files = document_catalog(spark, path).where(~F.col("originalName").startswith("_"))
+    named = F.col("storedName").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}[.]txt$")
+    return files.select(
+        F.regexp_extract("path", "id=([^/]+)/", 1).alias("folder"), "extension", "size",
+        (named & (F.col("url") == F.concat(F.lit("/uploads/"), "storedName"))).alias("placed"))
+
+
 @check("listings_read_back", "S5 S7", "place_listing",
        "SELECT place_id, name, rating, round(lat, 6) AS lat, round(lng, 6) AS lng FROM place_listing")
 def _(listing):

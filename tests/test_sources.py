@@ -192,6 +192,13 @@ def test_document_catalog(spark, tmp_path):
     assert rows["a.pdf"].url == "/uploads/" + rows["a.pdf"].storedName and rows["a.pdf"].storedName.endswith(".pdf")
     again = {r.originalName: r.storedName for r in document_catalog(spark, str(tmp_path)).collect()}
     assert again == {k: r.storedName for k, r in rows.items()}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        elsewhere = {r.originalName: r.storedName for r in document_catalog(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert elsewhere == again
 
 
 def test_write_json_keeps_nulls_and_nesting(spark, tmp_path):

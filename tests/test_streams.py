@@ -250,6 +250,23 @@ def test_work_goes_to_the_shared_folder(spark):
     assert not shared_folder(Bare, "x").startswith(shared)
 
 
+def test_a_local_folder_is_refused_on_a_cluster():
+    class Session:
+        def __init__(self, **settings):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})
+
+    def folder(master, warehouse, checkpoint=None):
+        return shared_folder(Session(**{"spark.master": master, "spark.sql.warehouse.dir": warehouse,
+                                        "spark.checkpoint.dir": checkpoint}), "x")
+
+    for warehouse in ("file:/w", "/w", "spark-warehouse"):
+        with pytest.raises(ValueError, match="of one machine"):
+            folder("yarn", warehouse)
+        assert folder("local[4]", warehouse) == f"{warehouse}/_shared/x"
+        assert folder("yarn", warehouse, "hdfs://n/c/") == "hdfs://n/c/x"
+    assert folder("k8s://h", "s3a://b/w/") == "s3a://b/w/_shared/x"
+
+
 def test_checkpoint_defaults_to_the_shared_folder(spark, tmp_path):
     root = str(tmp_path / "db")
     setup(spark, root, "a")
