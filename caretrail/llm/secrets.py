@@ -1,8 +1,9 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger remembers which (blob, rule version)
-pairs were scanned and what was found, so a run scans each unseen blob once, by the rules it has not met, however many
-paths and versions hold it, and joins findings back to all of them. Rules are regular expressions run inside the JVM;
+Every version of every path is addressed by the SHA-256 of its text. The ledger remembers which pairs of a blob and a
+version of a rule were scanned and what was found (a row holds the rules of one run over a blob), so a run scans each
+blob once by the rules it has not met, however many paths and versions hold it, and joins findings back to all of them.
+Raising one rule scans old blobs by that rule alone. Rules are regular expressions run inside the JVM;
 where a match begins follows from the lengths of what ``split`` leaves between the matches.
 
 Defined results: a null text is an empty one; an empty text has no findings; rows that repeat each get their findings; a
@@ -67,14 +68,31 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(test, walked).otherwise(F.array().cast(SPAN))
 
 
-def rules_version(rules: tuple[Rule, ...] = RULES) -> str:
-    return ";".join(f"{r.kind}@{r.version}" for r in rules)
+def rule_keys(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    return [f"{r.kind}@{r.version}" for r in rules]
+
+
+def _names(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[F.lit(k) for k in rule_keys(rules)])
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, rules, spans of every row (blob, text): what the rules find in each text."""
-    spans = F.concat(*[_spans(F.col("text"), rule, i) for i, rule in enumerate(rules)])
-    return blobs.select("blob", F.lit(rules_version(rules)).alias("rules"), F.array_sort(spans).alias("spans"))
+    """blob, rules, spans of every row (blob, text, todo): what those rules find in each text that are named in ``todo``."""
+    none = F.array().cast(SPAN)
+    spans = F.concat(*[
+        F.when(F.array_contains("todo", key), _spans(F.col("text"), rule, i)).otherwise(none)
+        for i, (key, rule) in enumerate(zip(rule_keys(rules), rules, strict=True))])
+    return blobs.select("blob", F.col("todo").alias("rules"), F.array_sort(spans).alias("spans"))
+
+
+def current_spans(known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans of ledger rows, as far as they come from these versions of the rules, in order."""
+    key = F.create_map(*[F.lit(x) for r, k in zip(rules, rule_keys(rules), strict=True) for x in (r.kind, k)])
+    rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
+    valid = F.filter("spans", lambda s: F.coalesce(F.array_contains("rules", key[s["kind"]]), F.lit(False)))
+    ranked = F.transform(valid, lambda s: s.withField("rank", rank[s["kind"]]))
+    return known.where(F.size("spans") > 0).groupBy("blob").agg(
+        F.array_sort(F.flatten(F.collect_list(ranked))).alias("spans"))
 
 
 def address(versions: DataFrame) -> DataFrame:
@@ -84,27 +102,31 @@ def address(versions: DataFrame) -> DataFrame:
 
 
 def unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, text once for each blob that these rules have not scanned."""
-    if ledger is not None:
-        done = ledger.where(F.col("rules") == rules_version(rules)).select("blob")
-        addressed = addressed.join(done, "blob", "left_anti")
+    """blob, text, todo once for each blob that some of these rules have not scanned; ``todo`` names them."""
     # The path that hands in the text is chosen over narrow rows. Joined by a key made of both, so that the many paths of
     # one blob are spread; rows that repeat then lie together and fall to one without another exchange.
     key = F.concat_ws(":", "blob", F.coalesce("path", F.lit(-1 << 63)).cast("string"))
     first = addressed.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(-1 << 63))).alias("path"))
-    return (
-        addressed.withColumn("key", key).join(first.select(key.alias("key")), "key", "left_semi")
-        .dropDuplicates(["key"]).select("blob", "text")
-    )
+    if ledger is None:
+        picked = addressed.withColumn("key", key).join(first.select(key.alias("key")), "key", "left_semi")
+        return picked.dropDuplicates(["key"]).select("blob", "text", _names(rules).alias("todo"))
+    done = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))  # a row for each run over a blob
+    nothing = F.array().cast("array<string>")
+    first = first.join(done, "blob", "left").withColumn(
+        "todo", F.array_except(_names(rules), F.coalesce("done", nothing))).where(F.size("todo") > 0)
+    return addressed.withColumn("key", key).join(first.select(key.alias("key"), "todo"), "key").dropDuplicates(
+        ["key"]).select("blob", "text", "todo")
 
 
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
                  ) -> tuple[DataFrame, DataFrame]:
-    """Findings of every row (path, text), as path, blob, spans; and the rows to add to the ledger."""
+    """Findings of every row (path, text), as path, blob, spans; and the rows (blob, rules, spans) to add to the ledger."""
     addressed = address(versions)
     new = scan(unseen(addressed, ledger, rules), rules)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == rules_version(rules)))
-    found = known.where(F.size("spans") > 0).select("blob", "spans")
+    if ledger is None:
+        found = new.where(F.size("spans") > 0).select("blob", "spans")
+    else:
+        found = current_spans(new.unionByName(ledger), rules)
     paths = versions.select("path", F.sha2(whole_text(F.col("text")), 256).alias("blob"))
     none = F.array().cast(SPAN)
     return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), new

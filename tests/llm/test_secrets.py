@@ -68,6 +68,26 @@ def test_ledger_scans_unseen_blobs_once(spark):
     assert secrets.unseen(secrets.address(first), ledger, newer).count() == 2
 
 
+def test_a_raised_rule_scans_old_blobs_alone(spark):
+    """A second run over more versions: old blobs by the raised rule only, new ones by all; results as of a full scan."""
+    texts = ["password=abcdefghijkl 0123456789", "0123456789abcdef", "nothing", "AKIA" + "A" * 16, None]
+    first = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    _, ledger = secrets.scan_history(first)
+    raised = tuple(secrets.Rule("hex", r"([0-9a-f]{8,})", 1, 8, version=2) if r.kind == "hex" else r for r in secrets.RULES)
+    later = spark.createDataFrame([*enumerate(texts), (7, "token=abcdefghijklm 12345678"), (8, "nothing")], "path long, text string")
+    found, added = secrets.scan_history(later, ledger, raised)
+    pairs = sorted(tuple(r.rules) for r in added.collect())
+    assert pairs == sorted([("hex@2",)] * 5 + [tuple(secrets.rule_keys(raised))])
+    whole, _ = secrets.scan_history(later, None, raised)
+    read = lambda df: sorted((r.path, r.d) for r in df.select("path", secrets.digest(F.col("spans")).alias("d")).collect())
+    assert read(found) == read(whole)
+    both = ledger.unionByName(added)
+    again, none = secrets.scan_history(later, both, raised)
+    assert none.count() == 0 and read(again) == read(whole)
+    old, _ = secrets.scan_history(later, both)
+    assert read(old) == read(secrets.scan_history(later)[0])
+
+
 def test_empty_table(spark):
     found, added = secrets.scan_history(spark.createDataFrame([], "path long, text string"))
     assert found.count() == 0 and added.count() == 0
