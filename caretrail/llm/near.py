@@ -8,8 +8,9 @@ that remain when ``SHARED`` - 1 are left out: values that many unlike documents
 1. every node is paired with the list's pivots; the pivot it meets most often is estimated on the sketch of the union and,
    if the estimate allows 0.75, verified on the full sets. A few rounds with other pivots join most of each group;
 2. of what lists then still hold of different components, sketches are compared in blocks of ``BLOCK`` nodes, so that a
-   list of any length is worked on by many tasks and no pair of equal components is looked at. Pairs whose sketches share
-   enough for the estimate are verified, each once, on the full sets; only for these are texts exchanged.
+   list of any length is worked on by many tasks and no pair of equal components is looked at. Nodes of pairs whose
+   sketches share enough for the estimate, each pair in the list of its smallest common value only, are then compared on
+   the full sets in these blocks; only their texts are exchanged.
 
 Only links between components leave a block, so a group of copies never turns into all its pairs, and no link between
 different components is missed.
@@ -103,16 +104,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(_pair_check, "a bigint, b bigint")
 
 
-def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different labels in a block whose sketches share what the estimate needs.
+def _block_nodes(block: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a block that must be compared there: those of a pair of different labels whose sketches share what the
+    estimate needs, and that has no smaller value in common (which is where else it is compared).
 
     The union's sketch has min(K, union) values, no fewer than min(K, larger set), and the two share no more of it than of
     their own sketches.
     """
+    value, i_, j_ = block["value"].iloc[0], block["i"].iloc[0], block["j"].iloc[0]
     block = block.drop_duplicates("node").reset_index(drop=True)
-    nodes, labels, sizes = (block[c].to_numpy() for c in ("node", "label", "n"))
+    labels, sizes = block["label"].to_numpy(), block["n"].to_numpy()
     names, counts = np.unique(labels, return_counts=True)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    needed = np.zeros(len(block), bool)
     if len(names) > 1:
         lengths = block["sketch"].map(len).to_numpy()
         owner = np.repeat(np.arange(len(block)), lengths)
@@ -120,16 +123,58 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(code, kind="stable")
         owners, starts = owner[order], np.r_[0, np.cumsum(np.bincount(code, minlength=len(values)))]
         codes = np.split(code, np.cumsum(lengths)[:-1])
+        smaller: dict[int, list[int]] = {}
+        listed = [[v for v in vs.tolist() if v < value] for vs in block["listed"]]
+        for k, vs in enumerate(listed):
+            for v in vs:
+                smaller.setdefault(v, []).append(k)
+        major = names[np.argmax(counts)]
+        for k in np.flatnonzero(labels != major):  # two of the largest component need no look
+            common = np.bincount(
+                np.concatenate([owners[starts[c]:starts[c + 1]] for c in codes[k]]), minlength=len(block))
+            least, most = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
+            there = (common >= LEAST_ESTIMATE * np.minimum(K, most)) & (100 * least >= 75 * most) & (labels != labels[k])
+            for v in listed[k]:
+                there[smaller[v]] = False
+            if there.any():
+                needed |= there
+                needed[k] = True
+    nodes = block["node"].to_numpy()[needed]
+    return pd.DataFrame({"value": value, "i": i_, "j": j_, "node": nodes, "label": labels[needed]}).astype(
+        {"value": "int64", "i": "int32", "j": "int32", "node": "int64", "label": "int64"})
+
+
+def _block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of different labels in a block: one for each two labels at most."""
+    block = block.drop_duplicates("node").reset_index(drop=True)
+    labels = block["label"].to_numpy()
+    names, counts = np.unique(labels, return_counts=True)
+    out = []
+    if len(names) > 1:
+        sets = list(Shingler().sets(list(block["text"])))
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        owners, starts = owner[order], np.r_[0, np.cumsum(np.bincount(code, minlength=len(values)))]
+        codes = np.split(code, np.cumsum(sizes)[:-1])
+        parent = {x: x for x in names.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
         major = names[np.argmax(counts)]
         for i in np.flatnonzero(labels != major):  # two of the largest component need no look
             common = np.bincount(
-                np.concatenate([owners[starts[c]:starts[c + 1]] for c in codes[i]]), minlength=len(block))
-            least, most = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-            there = np.flatnonzero((common >= LEAST_ESTIMATE * np.minimum(K, most)) & (100 * least >= 75 * most)
-                                   & (labels != labels[i]))
-            left.append(np.minimum(nodes[i], nodes[there]))
-            right.append(np.maximum(nodes[i], nodes[there]))
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}, dtype="int64").drop_duplicates()
+                np.concatenate([owners[starts[c]:starts[c + 1]] for c in codes[i]]), minlength=len(sets))
+            for j in np.flatnonzero(alike(common, sizes[i], sizes) & (labels != labels[i])):
+                x, y = root(int(labels[i])), root(int(labels[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(labels[i]), int(labels[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -170,8 +215,11 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     parts = now.join(mixed_lists.select("value"), "value").select(
         "value", "node", "label", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j")).select(
         "value", "node", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    pairs = parts.join(sketches, "node").groupBy("value", "i", "j").applyInPandas(_block_pairs, "a bigint, b bigint")
-    found = checkpointed(verified(pairs.distinct(), texts))
+    listed = lists.groupBy("node").agg(F.collect_list("value").alias("listed"))
+    needed = stored(parts.join(sketches, "node").join(listed, "node").groupBy("value", "i", "j").applyInPandas(
+        _block_nodes, "value bigint, i int, j int, node bigint, label bigint"), "near-blocks")
+    found = needed.join(texts, "node").groupBy("value", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
+    found = checkpointed(found.distinct())
     if not found.isEmpty():
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
