@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from caretrail.operators.keys import all_key_audits
 from caretrail.operators.sets import recipient_diff, update_selection
 from caretrail.plans import creates, deletes, dispatch, migration, patches
 from caretrail.schemas import LINK_KEY, TABLES, conform
@@ -421,3 +422,56 @@ def test_sync_of_a_campaign_that_does_not_exist(spark):
     sync = patches.sync_recipients(req, links(spark, ("c", "a")), AS_OF, camp=camp)
     assert {(r.campaignId, r.referralSourceId) for r in sync.table.collect()} == {("c", "b")}
     assert [(r.campaignId, r.reason) for r in sync.rejects.collect()] == [("nowhere", patches.CAMPAIGN_MISSING)]
+
+
+# ---- unique keys -----------------------------------------------------------------------------------------------------
+
+
+def numbered_requests(spark, *rows):
+    return spark.createDataFrame([(r, n, None, json.dumps(b)) for r, n, b in rows],
+                                 "requestId string, seq long, id string, body string")
+
+
+def test_the_first_request_of_an_id_makes_the_row(spark):
+    req = numbered_requests(
+        spark, ("a", 2, {"name": "later"}), ("a", 1, {"name": "first"}), ("a", 1, {"name": "first"}), ("b", 1, {"name": ""}),
+        ("b", 2, {"name": "sound"}), ("c", 1, {"name": "stored"}), ("d", 1, {"name": "d"}))
+    stored = creates.create_sources(numbered_requests(spark, ("c", 9, {"name": "old"})), table(spark, "referral_source", []), AS_OF)
+    made = creates.create_sources(req, stored.table, AS_OF)
+    assert sorted(r["name"] for r in made.delta.collect()) == ["d", "first", "sound"]
+    assert sorted((r.requestId, r.reason) for r in made.rejects.collect()) == [
+        ("a", creates.SOURCE_FAILED), ("b", creates.NAME_REQUIRED), ("c", creates.SOURCE_FAILED)]
+    assert all_key_audits({"referral_source": made.table}).count() == 0
+
+
+def test_campaigns_of_one_request_are_made_once_with_their_links(spark):
+    src = table(spark, "referral_source", [{"id": "s1"}, {"id": "s2"}])
+    none = [table(spark, n, []) for n in ("campaign", "campaign_link")]
+    body = {"name": "n", "type": "FAX", "referralSourceIds": ["s1"]}
+    req = numbered_requests(spark, ("a", 1, body), ("a", 1, body), ("a", 2, {**body, "referralSourceIds": ["s1", "s2"]}))
+    made = creates.create_campaigns(req, *none, src, AS_OF)
+    assert made.campaigns.delta.count() == 1 and made.links.delta.count() == 1
+    assert reasons(made.rejects) == {"a": creates.CAMPAIGN_FAILED}
+    tables = {"campaign": made.campaigns.table, "campaign_link": made.links.table}
+    assert all_key_audits(tables).count() == 0
+
+
+def test_key_audit_counts_every_declared_key(spark):
+    clinics = table(spark, "clinic_location", [{"id": "1", "name": "x"}, {"id": "1", "name": "y"}, {"id": "2", "name": "x"},
+                                               {"id": None, "name": None}, {"id": None, "name": None}])
+    links = table(spark, "campaign_link", [{"campaignId": "c", "referralSourceId": s} for s in ("1", "1", "2", None, None)])
+    found = all_key_audits({"clinic_location": clinics, "campaign_link": links}).collect()
+    assert sorted((r.table, r.key, r.value, r["count"]) for r in found) == [
+        ("campaign_link", "campaignId,referralSourceId", '["c","1"]', 2), ("clinic_location", "id", '["1"]', 2),
+        ("clinic_location", "name", '["x"]', 2)]
+
+
+def test_answer_of_a_send_that_throws(spark):
+    link = table(spark, "campaign_link", [{"campaignId": "c", "referralSourceId": s, "status": "SENDING"} for s in "ab"])
+    camp = table(spark, "campaign", [{"id": "c", "status": "DRAFT"}])
+    results = spark.createDataFrame(
+        [("c", "a", False, None, '{"x":1}', "timeout", "500", True), ("c", "b", False, None, '{"x":1}', "busy", "500", False)],
+        "campaignId string, referralSourceId string, success boolean, faxId string, data string, error string, status string, "
+        "thrown boolean")
+    got = {r.referralSourceId: json.loads(r.response) for r in dispatch.apply_send_results(link, camp, results, AS_OF).links.collect()}
+    assert got == {"a": {"error": "timeout"}, "b": {"error": "busy", "status": "500", "data": {"x": 1}}}
