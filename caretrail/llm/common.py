@@ -16,9 +16,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the warehouse if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+    """The folder that driver and executors share; see :func:`caretrail.session.shared_base`."""
+    from caretrail.session import shared_base  # the driver has it; executors get this subpackage alone
+
+    return shared_base(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
