@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -160,11 +161,12 @@ class Model:
         if len(rest):
             cos += self._cosines(starts, x, rest)
             cos[own] = 0
-        cos = np.round(cos, 12)
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
-        at = np.flatnonzero((cos > 0) & (cos >= least))
-        at = at[np.lexsort((self.ids[at], -cos[at]))[:k]]
-        return at, cos[at], self.telling(terms, x, at) if len(at) else cos[at]
+        at = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
+        near = np.round(cos[at], 12)
+        best = np.lexsort((self.ids[at], -near))[:k]
+        at, near = at[best], near[best]
+        return at, near, self.telling(terms, x, at) if len(at) else near
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """Score and evidence of a text."""
@@ -184,10 +186,10 @@ def held_out(column: str = "doc_id"):
 def _term_counts(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int]) -> Iterator[pd.DataFrame]:
     total = np.zeros(len(vocabulary), np.int64)
     for batch in batches:
-        for text in batch["text"]:
+        for text, n in Counter(batch["text"]).items():  # copies are split into words once
             words = set(words_of(text))
             codes = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
-            total[codes[codes >= 0]] += 1
+            total[codes[codes >= 0]] += n
     terms = np.flatnonzero(total)
     yield pd.DataFrame({"term": terms, "n": total[terms]})
 
