@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
-Around each cue, a wording that speaks of a license, a window of words is cut on both sides that holds the longest template
-with its allowed foreign words, so no block grows with the text. Every template is aligned with the window: its words must
-appear in order, with few missing and few foreign ones between. What is aligned is compressed alone and with the template
-as a zstandard raw-content dictionary, and counts if that saves bytes; of alignments that overlap, the one with the fewest
-differences is taken, then the one that saves most. A text may so carry notices within other text, in lines of any length,
-and two notices are told apart by the words in which they differ.
-
-Defined results: null and empty texts and texts without cues have no license; alignments equal in differences and saving
-are ranked by template order; n_candidates counts the lines in which a cue begins; rows that repeat are judged each;
-columns besides doc_id and text are ignored.
+Candidate blocks are the words around a cue, a wording that speaks of a license: as many on both sides as a template may
+take up, rounded up to a power of two, so a block's size depends on the template and not on the text. Every block is
+compressed alone and with each template of its width as a zstandard raw-content dictionary, with the same parameters. The
+pairs of block and template are ranked by the bytes saved, and in this order the wordings are compared, until nothing is
+saved any more: the template's words must appear in order, with few missing and few foreign ones between. Of wordings
+that overlap, the one with the fewest differences wins, then the one of higher rank. A text may so carry notices within
+other text, in lines of any length, and two notices are told apart by the words in which they differ.
+
+A second name in a list of licenses ("... and the Apache License, Version 2.0") counts as a notice, also where the text
+only mentions it.
+
+Defined results: null and empty texts and texts without cues have no license; pairs that save the same rank in template
+order, then in text order; n_candidates counts the lines in which a cue begins; words longer than every template's count
+as one letter in the compressed block; rows that repeat are judged each; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ CUES = (rf"(?i)licen[sc]e|copyright|(?<![a-z0-9_])spdx(?![a-z0-9_])|public{GAP}d
         rf"|hereby{GAP}granted|permission{GAP}to{GAP}use{GAP}copy|(?<![a-z0-9_])cc{GAP}(by|0)|redistribution{GAP}and{GAP}use")
 MAX_MISSING = 0.1  # of the template's words
 MAX_FOREIGN = 0.25  # words between, as a part of the template's
-LEAST_SAVED = 4  # bytes
-KNOWN_BLOCKS = 50_000
+LEAST_SAVED = 1  # bytes: the ranking is used up below
+KNOWN_BLOCKS = 4_096
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-# The notices' public wordings.
-TEMPLATES = (
+# The notices' public wordings, names and identifiers.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -59,6 +63,42 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+TITLES = (
+    ("MIT", "MIT License. Copyright (c)"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License, Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License, Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License, Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License, Version 3, 19 November 2007"),
+)
+NAMES = (
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+)
+HEADERS = (
+    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"),
+    ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+)
+HEADER = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0} Public "
+          "License as published by the Free Software Foundation; either version {1} of the License, or (at your option) "
+          "any later version")
+IDENTIFIERS = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause",
+    "BSD-2-Clause", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC0-1.0", "Unlicense",
+)
+
+TEMPLATES = (
+    *NOTICES,
+    *TITLES,
+    *[(name, f"{word} the {full}") for name, full in NAMES for word in ("and", "or")],
+    *[(name, HEADER.format(kind, version)) for name, kind, version in HEADERS],
+    *[(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS],
+)
 
 
 @dataclass(frozen=True)
@@ -88,23 +128,30 @@ class Scanner:
 
         self.names = [name for name, _ in templates]
         self.templates = [words_of(text) for _, text in templates]
+        self.longest = max(len(w) for t in self.templates for w in t)
         self.cues = re.compile(CUES, re.ASCII)
-        self.reach = max(len(t) + int(MAX_FOREIGN * len(t)) for t in self.templates)
-        self.alone = zstandard.ZstdCompressor(level=6, write_content_size=False)
+        self.widths: dict[int, list[int]] = {}  # templates by the words that they may take up
+        for number, t in enumerate(self.templates):
+            self.widths.setdefault(1 << (len(t) + int(MAX_FOREIGN * len(t)) - 1).bit_length(), []).append(number)
+        # the optimal parser: the lazy ones pass over matches at a dictionary's start
+        same = zstandard.ZstdCompressionParameters.from_level(19, source_size=1 << 14, write_content_size=False)
+        self.alone = zstandard.ZstdCompressor(compression_params=same)
         self.given = [
-            zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-                " ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
+            zstandard.ZstdCompressor(compression_params=same, dict_data=zstandard.ZstdCompressionDict(
+                f" {' '.join(t)} ".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
         self.saved = lru_cache(KNOWN_BLOCKS)(self._saved)
 
-    def _saved(self, block: str, template: int) -> int:
-        """Bytes that the template saves on a block of words."""
-        data = block.encode()
-        return len(self.alone.compress(data)) - len(self.given[template].compress(data))
+    def _saved(self, block: str, numbers: tuple[int, ...]) -> tuple[int, ...]:
+        """Bytes that each of the templates saves on a block of words."""
+        data = f"{block} ".encode()  # a last word that differs costs its blank, too
+        alone = len(self.alone.compress(data))
+        return tuple(alone - len(self.given[i].compress(data)) for i in numbers)
 
     def ranking(self, block: str) -> list[tuple[int, int]]:
-        """(bytes saved, template) from the best on."""
-        block = " ".join(words_of(block))
-        return sorted(((self._saved(block, i), i) for i in range(len(self.given))), key=lambda x: (-x[0], x[1]))
+        """(bytes saved, template) of all templates on one block, from the best on."""
+        numbers = tuple(range(len(self.templates)))
+        saved = self.saved(" ".join(words_of(block)), numbers)
+        return sorted(zip(saved, numbers, strict=True), key=lambda x: (-x[0], x[1]))
 
     def alignments(self, number: int, words: list[str]) -> Iterator[Alignment]:
         """Every end at which the template is found within its bounds, with the fewest foreign words for it.
@@ -137,57 +184,78 @@ class Scanner:
                 if pairs[2] == j and m + n - i <= most_missing and not any(vital[i:]):
                     yield Alignment(number, start, j + 1, _path(pairs))
 
-    def confirmed(self, words: list[str]) -> Iterator[tuple[tuple, Alignment, Match]]:
-        """(cost, alignment, match) of all that is aligned and saves bytes."""
-        for number, template in enumerate(self.templates):
-            for a in self.alignments(number, words):
-                saved = self.saved(" ".join(words[a.start:a.end]), number)
-                if saved < LEAST_SAVED:
+    def ranked(self, words: list[str], cues: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(bytes saved, template, start, end) of all blocks and templates that save any, from the best on."""
+        short = [w if len(w) <= self.longest else "_" for w in words]
+        found = []
+        for width, numbers in self.widths.items():
+            for start, end in blocks(cues, width, len(words)):
+                saved = self.saved(" ".join(short[start:end]), tuple(numbers))
+                found += [(n, i, start, end) for n, i in zip(saved, numbers, strict=True) if n >= LEAST_SAVED]
+        return sorted(found, key=lambda x: (-x[0], *x[1:]))
+
+    def confirmed(self, words: list[str], ranked: list[tuple[int, int, int, int]]) -> dict[tuple, tuple[int, int, Match]]:
+        """The wordings found in the ranked blocks: (template, start, end) with differences, place in the ranking, match."""
+        found = {}
+        for rank, (saved, number, start, end) in enumerate(ranked):
+            block = words[start:end]
+            for a in self.alignments(number, block):
+                key = (number, start + a.start, start + a.end)
+                if key in found:  # in a block of higher rank
                     continue
                 there, here = {i for i, _ in a.pairs}, {j for _, j in a.pairs}
-                missing = [w for i, w in enumerate(template) if i not in there]
-                foreign = [words[j] for j in range(a.start, a.end) if j not in here]
-                yield ((len(missing) + len(foreign), -saved, number, a.start, a.end), a,
-                       Match(self.names[number], saved, " ".join(missing), " ".join(foreign)))
-
-    def match(self, block: str) -> Match | None:
-        """The confirmed template with the fewest differences."""
-        return min(self.confirmed(words_of(block)), key=lambda x: x[0], default=(None, None, None))[2]
-
-    def windows(self, text: str) -> tuple[int, list[list[str]]]:
-        """The number of lines in which a cue begins, and the words around the cues; windows that meet become one."""
+                missing = [w for i, w in enumerate(self.templates[number]) if i not in there]
+                foreign = [block[j] for j in range(a.start, a.end) if j not in here]
+                match = Match(self.names[number], saved, " ".join(missing), " ".join(foreign))
+                found[key] = len(missing) + len(foreign), rank, match
+        return found
+
+    def match(self, text: str) -> Match | None:
+        """The first of the notices of a text in the order in which they win."""
+        return next(iter(self.scan(text)[1]), None)
+
+    def words_and_cues(self, text: str) -> tuple[int, list[str], list[tuple[int, int]]]:
+        """The number of lines in which a cue begins, the words, and the words (first, end) that each cue touches."""
         cues = list(self.cues.finditer(text))
         spans = [m.span() for m in WORD.finditer(text)] if cues else []
         starts, ends = [a for a, _ in spans], [b for _, b in spans]
-        runs: list[list[int]] = []
-        for cue in cues:
-            lo = max(0, bisect_right(ends, cue.start()) - self.reach)
-            hi = min(len(spans), bisect_left(starts, cue.end()) + self.reach)
-            if runs and lo <= runs[-1][1]:
-                runs[-1][1] = max(hi, runs[-1][1])
-            else:
-                runs.append([lo, hi])
         at, line, lines = 0, 0, set()
         for cue in cues:
             line += text.count("\n", at, cue.start())
             at = cue.start()
             lines.add(line)
-        return len(lines), [[text[a:b] for a, b in spans[lo:hi]] for lo, hi in runs]
+        touched = [(bisect_right(ends, c.start()), bisect_left(starts, c.end())) for c in cues]
+        return len(lines), [text[a:b] for a, b in spans], touched
 
     def scan(self, text: str) -> tuple[int, list[Match]]:
         """The number of candidate lines and the confirmed notices, which don't overlap."""
-        candidates, windows = self.windows(text.lower())
-        found = []
-        for words in windows:
-            starts, ends = [], []  # of what is taken, in order
-            for _, a, match in sorted(self.confirmed(words), key=lambda x: x[0]):
-                at = bisect_left(starts, a.end)
-                if at and ends[at - 1] > a.start:
-                    continue
-                starts.insert(at, a.start)
-                ends.insert(at, a.end)
-                found.append(match)
-        return candidates, found
+        candidates, words, cues = self.words_and_cues(text.lower())
+        return candidates, self.winners(self.confirmed(words, self.ranked(words, cues)))
+
+    def winners(self, found: dict[tuple, tuple[int, int, Match]]) -> list[Match]:
+        won: list[Match] = []
+        starts: list[int] = []  # of what is taken, in order
+        ends: list[int] = []
+        for (_, start, end), (_, _, match) in sorted(found.items(), key=lambda x: (*x[1][:2], x[0])):
+            at = bisect_left(starts, end)
+            if at and ends[at - 1] > start:
+                continue
+            starts.insert(at, start)
+            ends.insert(at, end)
+            won.append(match)
+        return won
+
+
+def blocks(cues: list[tuple[int, int]], width: int, n_words: int) -> Iterator[tuple[int, int]]:
+    """Words (start, end) around the cues, ``width`` on both sides; cues within ``width`` words share a block."""
+    first = last = None
+    for start, end in cues:
+        if first is not None and end - first > width:
+            yield max(0, first - width), min(n_words, last + width)
+            first = None
+        first, last = start if first is None else first, end
+    if first is not None:
+        yield max(0, first - width), min(n_words, last + width)
 
 
 def _keep(states: dict[tuple[int, int], tuple], key: tuple[int, int], new: tuple) -> None:

@@ -132,3 +132,68 @@ def test_every_break_between_two_words(spark):
     words = notice.split()
     broken = [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in range(1, len(words))]
     assert _licenses(spark, broken) == [(name, 1, "")] * len(broken)
+
+
+def test_headers_titles_lists_and_identifiers(spark):
+    gpl = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+           "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+           "option) any later version.")
+    texts = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later\n": "GPL-2.0",
+        "/* SPDX-License-Identifier: CC-BY-SA-4.0 */": "CC-BY-SA-4.0", "SPDX-License-Identifier: GPL-9.0": "",
+        gpl: "GPL-2.0", "\n".join("# " + x for x in textwrap.wrap(gpl.replace("version 2", "version 3"), 60)): "GPL-3.0",
+        gpl.replace("General", "Lesser General").replace("program", "library").replace("version 2", "version 2.1"): "LGPL-2.1",
+        gpl.replace("General", "Affero General").replace("version 2", "version 3"): "AGPL-3.0",
+        "MIT License\n\nCopyright (c) 2020 A Name": "MIT", "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+        "Dual licensed under the MIT License and the Apache License, Version 2.0.": "Apache-2.0,MIT",
+        "Licensed under the Apache License, Version 2.0 or the MIT License, or the BSD 3-Clause License":
+            "Apache-2.0,BSD-3-Clause,MIT"}
+    assert [names for names, _, _ in _licenses(spark, texts)] == list(texts.values())
+
+
+def test_ranking_decides_which_wording_is_compared_first(monkeypatch):
+    scanner, compared = m.Scanner(), []
+    alignments = scanner.alignments
+    monkeypatch.setattr(scanner, "alignments", lambda i, words: compared.append(i) or alignments(i, words))
+    for notice, name in NOTICES.items():
+        compared.clear()
+        scanner.scan(f"Some words before. {notice} And some after.")
+        assert m.TEMPLATES[compared[0]][0] == name
+    words = m.words_of("Licensed under the Apache License, Version 2.0.")
+    ranked = scanner.ranked(words, [(0, 1), (4, 5)])
+    assert ranked == sorted(ranked, key=lambda x: (-x[0], *x[1:]))
+    compared.clear()
+    scanner.confirmed(words, ranked)
+    assert compared == [i for _, i, _, _ in ranked]
+
+
+def test_the_ranking_loses_nothing(texts):
+    """Every wording that touches a cue, by alignment of all templates with all words, is in the ranked blocks too."""
+    rng, scanner, found = random.Random(9), m.Scanner(), 0
+    prose = [w for t in list(texts.values())[:200] for w in t.split()]
+    for _ in range(120):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(prose))
+            text += prose[at:at + rng.choice([0, 3, 40, 300])]
+            _, notice = rng.choice(m.TEMPLATES)
+            for word in notice.split():
+                if rng.random() > 0.03:
+                    text.append(word)
+                if rng.random() < 0.05:
+                    text.append(rng.choice([rng.choice(prose), "license", "x" * 5_000]))
+        _, words, cues = scanner.words_and_cues(" ".join(text).lower())
+        got = scanner.confirmed(words, scanner.ranked(words, cues))
+        touched = {j for a, b in cues for j in range(a, b)}
+        for i in range(len(m.TEMPLATES)):
+            for a in scanner.alignments(i, words):
+                if touched & set(range(a.start, a.end)):
+                    assert (i, a.start, a.end) in got, (m.TEMPLATES[i], words[a.start:a.end])
+                    found += 1
+    assert found > 150
+
+
+def test_a_text_of_cues_only():
+    scanner = m.Scanner()
+    lines, notices = scanner.scan("license " * 20_000 + "Released under the MIT License. " + "copyright\n" * 20_000)
+    assert lines == 20_000 and [n.license for n in notices] == ["MIT"]
