@@ -1,4 +1,4 @@
-"""Place search pages as the remote service returns them, one JSON object per page."""
+"""Place search pages and geocoder answers as the remote services return them, one JSON object per page or answer."""
 
 from __future__ import annotations
 
@@ -13,6 +13,15 @@ PAGE_SCHEMA = """
         types: ARRAY<STRING>, geometry: STRUCT<location: STRUCT<lat: DOUBLE, lng: DOUBLE>>>>
 """
 
+# the geocoder's answer, with the place it was asked for
+GEOCODE_SCHEMA = """
+    place STRING,
+    status STRING,
+    results ARRAY<STRUCT<
+        formatted_address: STRING, address_components: ARRAY<STRUCT<types: ARRAY<STRING>>>,
+        geometry: STRUCT<location: STRUCT<lat: DOUBLE, lng: DOUBLE>>>>
+"""
+
 # Page states that are not errors.
 GOOD_PAGES = ("OK", "ZERO_RESULTS")
 
@@ -45,3 +54,21 @@ def place_page_errors(spark: SparkSession, path: str) -> DataFrame:
         .where(~status.isin(*GOOD_PAGES))
         .select(F.concat(F.lit("Failed to search businesses: "), status).alias("reason"))
     )
+
+
+def read_geocodes(spark: SparkSession, path: str) -> DataFrame:
+    """place, status and of the first result address, components, lat, lng, for every answer that names its place.
+
+    ``found`` is true if the answer is good and has a location. Lines that are no JSON have no place, so they are left out.
+    """
+    first = F.get("results", F.lit(0))
+    at = first["geometry"]["location"]
+    return spark.read.schema(GEOCODE_SCHEMA).json(path).where(F.col("place").isNotNull()).select(
+        "place",
+        "status",
+        first["formatted_address"].alias("formatted_address"),
+        first["address_components"].alias("components"),
+        at["lat"].alias("lat"),
+        at["lng"].alias("lng"),
+        (F.coalesce(F.col("status") == "OK", F.lit(False)) & at["lat"].isNotNull() & at["lng"].isNotNull()).alias("found"),
+    )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caretrail.jobs import Tables
+from caretrail.operators import searches
 from caretrail.schemas import LINK_KEY, conform
 from caretrail.sources.documents import document_catalog
 from caretrail.sources.output import write_json
-from caretrail.sources.places import read_places
+from caretrail.sources.places import read_geocodes, read_places
 from caretrail.sources.requests import read_requests
 from caretrail.sources.tables import commit, read_entity, write_snapshot
 from caretrail.streaming import delivery, links, recent
@@ -89,6 +90,56 @@ def _(listing):
         "place_id", "name", "rating", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
+def _located(search, answers):
+    """Searches and the geocoder's answers for their places, which are read back from what was landed."""
+    spark, path = answers.sparkSession, scratch(answers.sparkSession, "geocodes") + "/answers"
+    component = F.struct(F.array(F.lit("political"), "kind").alias("types"))
+    result = F.struct(
+        "formatted_address", F.when(~F.col("bare"), F.array(component)).alias("address_components"),
+        F.struct(F.when(F.col("lat").isNotNull(), F.struct("lat", "lng")).alias("location")).alias("geometry"))
+    none = F.array().cast(f"array<{answers.select(result.alias('r')).schema['r'].dataType.simpleString()}>")
+    landed = F.when(F.col("status") == "OK", F.array(result)).otherwise(none)
+    write_json(answers.select("place", "status", landed.alias("results")), path)
+    return searches.located_searches(search, read_geocodes(spark, path))
+
+
+LOCATED = """WITH asked AS (SELECT s.requestId AS "requestId", s.businessType AS word, coalesce(s.minRating, 0) AS least,
+      coalesce(s.radius, 50000) AS radius, g.formatted_address AS location, g.lat, g.lng, g.kind,
+      CASE WHEN s.location = '' OR s.businessType IS NULL THEN 'Location and business type are required'
+        WHEN g.place IS NULL OR g.status <> 'OK' OR g.lat IS NULL THEN 'Failed to geocode location'
+        WHEN g.bare THEN 'Failed to search businesses' END AS reason
+    FROM place_search s LEFT JOIN geocode_answer g ON g.place = s.location)
+"""
+
+
+@check("located_searches", "S5 F8 J11", "place_search geocode_answer",
+       LOCATED + """SELECT "requestId", location, round(lat, 4) AS lat, round(lng, 4) AS lng, CAST(radius AS INT) AS radius,
+         kind = 'administrative_area_level_1' AS "isStateSearch" FROM asked WHERE reason IS NULL""")
+def _(search, answers):
+    shown = searches.search_metadata(_located(search, answers)[0])
+    return shown.select("requestId", "location", F.round("coordinates.lat", 4).alias("lat"),
+                        F.round("coordinates.lng", 4).alias("lng"), "radius", "isStateSearch")
+
+
+@check("rejected_searches", "S5 J11", "place_search geocode_answer",
+       LOCATED + 'SELECT "requestId", reason FROM asked WHERE reason IS NOT NULL')
+def _(search, answers):
+    return _located(search, answers)[1]
+
+
+@check("searched_listings", "S5 J11 F7", "place_search geocode_answer place_listing",
+       LOCATED + """, far AS (SELECT a."requestId", p.place_id, a.radius,
+           2 * 6371000.0 * asin(sqrt(pow(sin(radians(p.lat - a.lat) / 2), 2)
+             + cos(radians(p.lat)) * cos(radians(a.lat)) * pow(sin(radians(p.lng - a.lng) / 2), 2))) AS metres
+         FROM asked a JOIN place_listing p ON p.rating >= a.least
+           AND (contains(lower(p.name), lower(a.word)) OR contains(lower(p.primary_type), lower(a.word)))
+         WHERE a.reason IS NULL)
+       SELECT "requestId", place_id, round(metres / 1000, 3) AS km FROM far WHERE metres <= radius""")
+def _(search, answers, listing):
+    found = searches.searched_listings(_located(search, answers)[0], listing)
+    return found.select("requestId", "place_id", F.round(F.col("distance") / 1000, 3).alias("km"))
+
+
 # ---- events --------------------------------------------------------------------------------------------------------
 
 EVENTS = """WITH good AS (SELECT e.*, CASE WHEN upper(e.status) IN ('DELIVERED', 'COMPLETED') THEN 'SENT'

@@ -127,6 +127,24 @@ SELECT concat(CASE WHEN p_partkey % 11 = 5 THEN 'q' ELSE 'p' END, p_partkey) AS
   CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat('https://p', p_partkey, '.example.com') END AS website,
   lower(p_type) AS kind
 FROM {part}""",
+    # what the geocoder answers: one in seven finds nothing, one in eleven has no location, one no components
+    "geocode_answer": """
+SELECT concat(n_name, ', NC') AS place, CASE WHEN n_nationkey % 7 = 3 THEN 'ZERO_RESULTS' ELSE 'OK' END AS status,
+  concat(n_name, ', North Carolina, USA') AS formatted_address,
+  CASE n_nationkey % 3 WHEN 0 THEN 'administrative_area_level_1' WHEN 1 THEN 'locality' ELSE 'postal_code' END AS kind,
+  CAST(CASE WHEN n_nationkey % 11 = 5 THEN NULL ELSE 34 + n_nationkey * 0.08 END AS DOUBLE) AS lat,
+  CAST(CASE WHEN n_nationkey % 11 = 5 THEN NULL ELSE -78 - n_nationkey * 0.05 END AS DOUBLE) AS lng,
+  n_nationkey = 9 AS bare
+FROM {nation}""",
+    "place_search": """
+SELECT concat('ps', s_suppkey) AS requestId,
+  CASE WHEN s_suppkey % 13 = 0 THEN '' WHEN s_suppkey % 17 = 0 THEN 'Nowhere'
+    ELSE concat('NATION_', s_nationkey, ', NC') END AS location,
+  CASE s_suppkey % 5 WHEN 0 THEN 'Econom' WHEN 1 THEN 'brass' WHEN 2 THEN 'PROMO' WHEN 3 THEN 'TIN'
+    ELSE CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'steel' END END AS businessType,
+  CAST(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 1 + s_suppkey % 4 END AS DOUBLE) AS minRating,
+  CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 5000 + s_suppkey % 9 * 9000 END AS radius
+FROM {supplier}""",
     # places as the geocoder describes them: whole states, towns, zip codes
     "geocode_component": """
 SELECT concat('p', p_partkey) AS place_id,
