@@ -74,3 +74,19 @@ def test_listings_against_all_pairs(spark):
     assert sorted((r.requestId, r.place_id) for r in found.collect()) == want and len(want) > 1_000
     assert found.columns == ["requestId", *places.columns, "distance"]
     assert searched_listings(df.limit(0), places).count() == 0
+
+
+def test_crowded_place_is_met_by_keyword_in_small_cells(spark):
+    """Searches of one degree: only listings that hold the keyword, in cells as small as the circles, meet a search."""
+    df = spark.range(40).selectExpr(
+        "concat('s', id) AS requestId", "concat('word', id % 8) AS businessType", "0.0D AS minRating", "2000.0D AS radius",
+        "34.01D + id * 0.02D AS lat", "-78.01D - id * 0.02D AS lng")
+    places = spark.range(400).selectExpr(
+        "concat('p', id) AS place_id", "concat('A word', id % 8, ' word', id % 8) AS name", "CAST(NULL AS STRING) AS primary_type",
+        "3.0D AS rating", "34.01D + id DIV 10 * 0.02D AS lat", "-78.01D - id DIV 10 * 0.02D AS lng")
+    found = searched_listings(df, places.unionByName(places.where("place_id = 'p0'")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_word" in plan.replace("\n", " ")
+    hits = sorted((r.requestId, r.place_id) for r in found.collect())
+    want = [(f"s{i}", f"p{j}") for i in range(40) for j in range(400) if i == j // 10 and i % 8 == j % 8]
+    assert hits == sorted([*want, ("s0", "p0")])
