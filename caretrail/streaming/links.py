@@ -48,16 +48,14 @@ def fold_events(batch: DataFrame) -> DataFrame:
     per task before they are exchanged.
     """
     error = F.col("error") if "error" in batch.columns else F.lit(None).cast("string")
-    mapped = map_event_status("status")
-    order = F.struct("receivedAt", "faxId", "status")
-    last = F.max_by(F.struct(mapped.alias("status"), "faxId", F.col("status").alias("eventStatus"),
-                             error.alias("error"), "receivedAt"), order)
-    folded = batch.groupBy(*LINK_KEY).agg(
-        last.alias("_l"), F.max(F.when(mapped.isin("SENT", "FAILED"), F.col("receivedAt"))).alias("responseAt")
-    )
+    # the order comes first in the struct, so that nothing is carried twice through the exchange
+    last = F.max(F.struct("receivedAt", "faxId", F.col("status").alias("eventStatus"), error.alias("error")))
+    responded = F.when(map_event_status("status").isin("SENT", "FAILED"), F.col("receivedAt"))
+    folded = batch.groupBy(*LINK_KEY).agg(last.alias("_l"), F.max(responded).alias("responseAt"))
     return folded.select(
-        *LINK_KEY, "_l.status", event_response("_l.faxId", "_l.eventStatus", "_l.receivedAt", "_l.error").alias("response"),
-        "responseAt", "_l.receivedAt", "_l.faxId", "_l.eventStatus",
+        *LINK_KEY, map_event_status("_l.eventStatus").alias("status"),
+        event_response("_l.faxId", "_l.eventStatus", "_l.receivedAt", "_l.error").alias("response"), "responseAt",
+        "_l.receivedAt", "_l.faxId", "_l.eventStatus",
     )
 
 

@@ -179,8 +179,12 @@ def _run_delivery(ev, link):
     landed, root = f"{base}/events", f"{base}/tables"
     write_snapshot(conform(link, "campaign_link"), root, "campaign_link", 0)
     body = ev.select("faxId", "status", F.struct(*LINK_KEY).alias("metadata"), "receivedAt")
-    body.repartition(6).write.options(timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(landed)
-    query = delivery.run_delivery_stream(spark, landed, root, f"{base}/checkpoint", files_per_trigger=3)
+    # packed, and in files of a bounded size, as a packed file is read by one task
+    packed = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
+    body.write.options(timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS", **packed).json(landed)
+    files = len(spark.read.format("binaryFile").load(landed).inputFiles())
+    query = delivery.run_delivery_stream(
+        spark, landed, root, f"{base}/checkpoint", files_per_trigger=max((files + 1) // 2, 1))
     query.awaitTermination()
     return spark, root
 

@@ -274,3 +274,32 @@ def test_checkpoint_defaults_to_the_shared_folder(spark, tmp_path):
     delivery.run_delivery_stream(spark, str(tmp_path / "in"), root, name="defaulted").awaitTermination()
     assert state(spark, root) == {"a": ("SENT", minute(1))}
     assert Path(checkpoint_folder(spark, root, "defaulted"), "offsets").is_dir()
+
+
+def test_table_not_there_yet_costs_no_join(spark, tmp_path):
+    landed = read_entity(spark, str(tmp_path / "db"), links.LANDED, schema=links.LANDED_SCHEMA)
+    files = spark.range(5).selectExpr("concat('f', id) AS file")
+    left = files.join(landed.where("stream <> 's'").select("file"), "file", "left_anti")
+    assert left.count() == 5 and "Join" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_carries_nothing_twice(spark):
+    """An event's moment, fax id and status travel once; ties go by them, in this order."""
+    rows = [("c", "a", "f1", "sent", "e", START), ("c", "a", "f2", "Failed", None, START), ("c", "a", "f2", "Delivered", "x", START),
+            ("c", "a", "f9", "queued", None, START - timedelta(minutes=1)), ("c", "b", "f1", "odd", None, None)]
+    folded = delivery.fold_events(spark.createDataFrame(rows, EVENT))
+    assert "max_by" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.referralSourceId, r.status, r.faxId, r.eventStatus, r.receivedAt, r.responseAt) for r in folded.collect()) == [
+        ("a", "FAILED", "f2", "Failed", START, START), ("b", "PENDING", "f1", "odd", None, None)]
+
+
+def test_stream_query_packs_its_landing(spark):
+    from checks.flows import _run_delivery
+
+    events = spark.createDataFrame([("f1", "Delivered", "c", "a", START), ("f2", "queued", "c", "z", START)],
+                                   "faxId string, status string, campaignId string, referralSourceId string, receivedAt timestamp_ntz")
+    link = spark.createDataFrame([("c", "a", "SENT")], "campaignId string, referralSourceId string, status string")
+    _, root = _run_delivery(events, link)
+    assert [r.faxId for r in links.dead_letters(spark, root).collect()] == ["f2"]
+    landed = [f.name for f in Path(root).parent.joinpath("events").iterdir() if f.name.startswith("part-")]
+    assert landed and all(name.endswith(".json.gz") for name in landed)
