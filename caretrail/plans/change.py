@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caretrail.functions.dates import parse_instant, parse_local_date
 from caretrail.functions.defaults import is_missing, null_if_empty, ntz
+from caretrail.session import shared_folder
 
 
 class Change(NamedTuple):
@@ -34,6 +36,13 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
+def written_down(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a work folder in the shared folder, for rows that are costly to make and read several times."""
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_body(req: DataFrame) -> DataFrame:
     """``req`` with its JSON body as map ``b``: a key is missing, null or has a value. Unreadable text gives null."""
     return once(req, "b", F.from_json("body", "map<string,string>"))

@@ -466,6 +466,27 @@ def test_key_audit_counts_every_declared_key(spark):
         ("clinic_location", "name", '["x"]', 2)]
 
 
+def test_single_key_is_counted_by_its_columns(spark):
+    """Values are put into text for repeated keys only, so that a task keeps the columns and a count."""
+    links = table(spark, "campaign_link", [{"campaignId": 'c"', "referralSourceId": s} for s in ("1", "1", "2", None, None)])
+    found = all_key_audits({"campaign_link": links})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert [tuple(r) for r in found.collect()] == [("campaign_link", "campaignId,referralSourceId", '["c\\"","1"]', 2)]
+
+
+def test_campaign_requests_are_parsed_once(spark):
+    src = table(spark, "referral_source", [{"id": "s1"}])
+    none = [table(spark, n, []) for n in ("campaign", "campaign_link")]
+    body = {"name": "n", "type": "FAX", "referralSourceIds": ["s1"]}
+    req = numbered_requests(spark, ("a", 1, body), ("b", 2, {**body, "name": ""}), ("c", 3, {**body, "referralSourceIds": ["s2"]}))
+    made = creates.create_campaigns(req, *none, src, AS_OF)
+    for frame in (made.campaigns.delta, made.links.delta, made.rejects):
+        assert "from_json" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert made.links.delta.count() == 1
+    assert reasons(made.rejects) == {"b": creates.NAME_REQUIRED, "c": creates.CAMPAIGN_FAILED}
+
+
 def test_answer_of_a_send_that_throws(spark):
     link = table(spark, "campaign_link", [{"campaignId": "c", "referralSourceId": s, "status": "SENDING"} for s in "ab"])
     camp = table(spark, "campaign", [{"id": "c", "status": "DRAFT"}])
