@@ -46,14 +46,22 @@ def declared_keys(table: str) -> list[list[str]]:
 def key_audit(df: DataFrame, table: str) -> DataFrame:
     """table, key (its columns), value (theirs, as JSON), count of every declared key value that several rows hold.
 
-    All keys of a table are counted in one pass, as grouping sets; rows with a null in a key aren't held against it.
+    A single key is counted by its columns, so a task keeps no more of a value than that; several are counted in one pass,
+    as grouping sets. The text is made for repeated values only. Rows with a null in a key aren't held against it.
     """
     keys = declared_keys(table)
-    one = [F.when(F.greatest(*[F.col(c).isNull() for c in [*key, key[0]]]), None).otherwise(F.struct(
-        F.lit(",".join(key)).alias("key"), F.to_json(F.array(*[F.col(c).cast("string") for c in key])).alias("value")))
-        for key in keys]
-    found = df.select(F.explode(F.array(*one)).alias("k")).where("k IS NOT NULL").groupBy("k.key", "k.value").count()
-    return found.where("count > 1").select(F.lit(table).alias("table"), "key", "value", F.col("count").alias("count"))
+    if len(keys) == 1:
+        names = [f"_k{i}" for i in range(len(keys[0]))]
+        values = df.select(*[F.col(c).cast("string").alias(n) for c, n in zip(keys[0], names)]).dropna()
+        found = values.groupBy(*names).count().where("count > 1").select(
+            F.lit(",".join(keys[0])).alias("key"), F.to_json(F.array(*names)).alias("value"), "count")
+    else:
+        one = [F.when(F.greatest(*[F.col(c).isNull() for c in [*key, key[0]]]), None).otherwise(F.struct(
+            F.lit(",".join(key)).alias("key"), F.to_json(F.array(*[F.col(c).cast("string") for c in key])).alias("value")))
+            for key in keys]
+        found = df.select(F.explode(F.array(*one)).alias("k")).where("k IS NOT NULL").groupBy(
+            "k.key", "k.value").count().where("count > 1")
+    return found.select(F.lit(table).alias("table"), "key", "value", F.col("count").alias("count"))
 
 
 def all_key_audits(tables: dict[str, DataFrame]) -> DataFrame:
