@@ -83,17 +83,21 @@ def nest(flat: DataFrame, key: str, order: str, items: str, page_size: int = PAG
 
 
 def campaign_recipients(
-    camp: DataFrame, link: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE
+    camp: DataFrame, link: DataFrame, src: DataFrame, nested: bool = False, page_size: int = PAGE,
+    link_cols: list[str] | None = None, source_cols: list[str] | None = None,
 ) -> DataFrame:
     """Campaigns with their links and the linked sources; campaigns without recipients stay.
 
     Flat: one row per recipient (campaignId, campaign, link, source). Nested: one row per campaign and page, recipients in
     the order of their source's id, see :func:`nest`; the campaign's own columns are joined on by the caller who wants them.
+
+    ``link_cols`` (with the referralSourceId) and ``source_cols`` are the columns of the link and the source that the
+    caller wants, all unless told: those of a nested row can't be pruned later, and every one moves several times.
     """
     parents = as_relation(camp, "campaignId", "campaign")
-    children = link.select(*LINK_KEY, F.struct(*link.columns).alias("link"))
+    children = link.select(*LINK_KEY, F.struct(*(link_cols or link.columns)).alias("link"))
     joined = children.join(parents, "campaignId").join(
-        as_relation(src, "referralSourceId", "source"), "referralSourceId", "left"
+        as_relation(src, "referralSourceId", "source", source_cols), "referralSourceId", "left"
     )
     flat = with_childless(parents, link, "campaignId", joined).select("campaignId", "campaign", "link", "source")
     if not nested:

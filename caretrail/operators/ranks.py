@@ -19,7 +19,7 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, f"numbered-{uuid.uuid4().hex}")
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    ranges.withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(df.schema.add("_at", "long")).parquet(path)
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = rows.groupBy(part.alias("_part")).count()

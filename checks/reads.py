@@ -178,7 +178,8 @@ RECIPIENT_PAGE, ROSTER_PAGE = 3, 100
               "FROM campaign_link l LEFT JOIN referral_source s ON s.id = l.referralSourceId", RECIPIENT_PAGE))
 def campaign_recipient_lists(camp, link, src, page_size=RECIPIENT_PAGE):
     """Pages of one size at any number of recipients, in id order, with the campaign's whole number of them."""
-    pages = joins.campaign_recipients(camp, link, src, nested=True, page_size=page_size)
+    pages = joins.campaign_recipients(
+        camp, link, src, nested=True, page_size=page_size, link_cols=["referralSourceId"], source_cols=["name"])
     names = F.transform("recipients", lambda r: F.concat(
         r["referralSourceId"], F.lit(":"), F.coalesce(r["source"]["name"], F.lit("?"))))
     return pages.select(F.col("campaignId").alias("key"), "page", "pages", "total", F.size("recipients").cast("long").alias("items"),

@@ -177,6 +177,18 @@ def test_recipient_pages_hold_a_thousand_at_every_size(spark):
     assert rows == want
 
 
+def test_recipient_lists_carry_only_what_they_show(spark, no_broadcast):
+    """A row's links and sources move several times on their way into pages: columns nobody reads stay behind."""
+    camp = spark.createDataFrame([("a",), ("none",)], "id string")
+    link = spark.createDataFrame([("a", "s1", "SENT"), ("a", "s2", "SENT")], "campaignId string, referralSourceId string, status string")
+    src = spark.createDataFrame([("s1", "n1", "road")], "id string, name string, address string")
+    pages = campaign_recipient_lists(camp, link, src, 1)
+    assert sorted(tuple(r) for r in pages.collect()) == [
+        ("a", 0, 2, 2, 1, "s1:n1"), ("a", 1, 2, 2, 1, "s2:?"), ("none", 0, 1, 0, 0, "")]
+    carried = plan(pages)
+    assert "address" not in carried and "status" not in carried and "createdAt" not in carried
+
+
 def test_many_patches_of_one_row_are_folded_first(spark, no_broadcast):
     src = spark.range(10).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("n").alias("name"))
     req = spark.range(2_000).select(
