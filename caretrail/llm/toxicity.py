@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import map_texts, ship
+from caretrail.llm.common import ship
 
 EXAMPLES = 1500
 EXAMPLE_BYTES = 1 << 16
@@ -290,11 +290,26 @@ def _scores(model: Model):
     return work
 
 
-def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score and evidence (nearest examples with their cosines) of every row."""
+def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` columns, score and evidence (nearest examples with their cosines) of every row.
+
+    Python gets the texts alone and returns the scores alone, so wide rows cost no more than their texts.
+    """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, keep, "text", lambda: _scores(shared.value),
-                     "score double, evidence array<struct<doc_id:bigint,cosine:double>>")
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = _scores(shared.value)
+        for batch in batches:
+            yield pa.StructArray.from_arrays(work(batch.to_pylist()), ["score", "evidence"])
+
+    kind = "score double, evidence array<struct<doc_id:bigint,cosine:double>>"
+    # Not taken as deterministic: a filter on the score, moved below the columns, would score every text once more.
+    score = F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return docs.select(*keep, score(F.col(text).cast("string")).alias("_scored")).select(
+        *keep, "_scored.score", "_scored.evidence")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -69,3 +70,11 @@ def test_nulls_clashing_columns_and_empty_tables(spark, sf_dir):
             assert out.columns == mixed.columns
         assert any(r.doc_id is None for r in out.collect()), name
         assert stage(spark, mixed.limit(0), sf_dir).count() == 0
+
+
+def test_toxicity_sends_texts_alone_to_python(spark, sf_dir):
+    """Not the rows too, whose batches took an executor's memory; and each text once, filter or not."""
+    got = p.toxicity(spark, documents(spark, sf_dir), sf_dir)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1, plan
+    assert re.search(r"ArrowEvalPython \[run\(text#\d+\)", plan), plan
