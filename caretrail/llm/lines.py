@@ -1,10 +1,12 @@
 """Line dedup: lines that repeat an earlier line up to a few edits are removed.
 
-Exact repeats are found on hashes of 128 bits. For near repeats every distinct line is cut into ``EDITS + 1`` segments; a
-line within ``EDITS`` edits of it holds one of them as a substring, at a place that the lengths bound. Segments are
-indexed by (length, segment, content), each line probes the indexes of its own and slightly smaller lengths at those
-places, and pairs that meet are verified by banded bit-parallel edit distance. Letter parities travel with the keys and
-settle most pairs of a crowded key inside the join, before a row is made of them.
+Exact repeats are found on hashes of 128 bits. For near repeats every distinct line is cut into ``EDITS + 1`` segments of
+sizes that lines of nearly its length share; of a line within ``EDITS`` edits one segment at least is untouched, moved by
+the edits on one side of it at most. So each line has a few keys (content of a segment, or of the pieces of it that a
+moved one still has in common), the same kind for both ends of a link. Only lines that meet another one of fitting length
+at a key are read again, and of these each is tried against earlier ones until the first within ``EDITS`` edits: letter
+parities settle most pairs, the built-in distance with a threshold most others, banded bit-parallel edit distance confirms.
+No step makes a row of a pair, so a crowd at one key gives as many rows as it has lines, however many are alike.
 
 The rule: rows are ordered by (doc_id, hash of the row), null ids as -1. A line of ``LEAST`` bytes or more is kept where
 it comes first, and only if no other line with an earlier first row (in one row: the smaller bytes first) is within
@@ -16,8 +18,6 @@ Nothing but text changes, whatever the other columns' names.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from caretrail.llm.common import row_keys
 
 EDITS = 2
 LEAST = 24  # bytes
+WIDTH = 16  # lengths whose segments are of one size
 COUNTED = "etaoinsrhldcumpg"  # of whose counts the parities are compared: an edit changes two of them at most
 
 
@@ -81,30 +82,27 @@ def edit_distance(longer: Column, shorter: Column, edits: int) -> Column:
     return F.aggregate(masks, start, step, lambda a: a["d"])
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of segment i (from 0) of a line: near-equal parts, the longer ones last."""
-    parts = edits + 1
-    base, spare = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    size = base + F.when(i >= parts - spare, 1).otherwise(0)
-    return base * i + F.greatest(F.lit(i - parts) + spare, F.lit(0)) + 1, size
-
-
-def _key(line: Column, at: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, at, size), length, F.lit(i))
+def _cells(n: Column, edits: int) -> Column:
+    """Cells of ``WIDTH`` lengths, one mostly or two; lengths that differ by ``edits`` at most have one in common."""
+    own, below = (F.floor((n - less) / WIDTH).cast("int") for less in (0, edits))
+    return F.when(own == below, F.array(own)).otherwise(F.array(own, below))
 
 
-def _index_keys(line: Column, edits: int) -> list[Column]:
-    n = F.octet_length(line)
-    return [_key(line, *_segment(n, i, edits), n, i) for i in range(edits + 1)]
+def _segment_keys(line: Column, cell: Column, edits: int, least: int) -> list[Column]:
+    """Keys of a line's segments, whose sizes are those of the shortest line of its cell.
 
-
-def _probe_keys(line: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that a segment of a line of the same or a smaller length can match (multi-match-aware)."""
-    n, out = F.octet_length(line), []
-    for less, i in product(range(edits + 1), range(edits + 1)):
-        at, size = _segment(n - less, i, edits)
-        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-            out.append(_key(line, at + shift, size, n - less, i))
+    Segments of the first half are counted from the line's start, the others from its end, so that one with ``moved``
+    segments before (after) it has moved by that many bytes at most, if it is the untouched one. Two lines' pieces of it,
+    each begun at 0 to ``moved`` bytes into it, then have one in common.
+    """
+    parts, n, out = edits + 1, F.octet_length(line), []
+    shortest = F.greatest(cell * WIDTH, F.lit(least))
+    for i in range(parts):
+        moved = min(i, edits - i)
+        start, end = (F.floor(shortest * k / parts).cast("int") for k in (i, i + 1))
+        at = start if moved == i else n - shortest + start
+        size = F.greatest(end - start - moved, F.lit(0))
+        out += [F.xxhash64(F.substring(line, at + shift + 1, size), cell, F.lit(i)) for shift in range(moved + 1)]
     return out
 
 
@@ -132,61 +130,66 @@ def first_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """_k, _h, pos, line of the places (_k, _h, pos), once for each row that repeats. Texts are exchanged by row."""
-    at = places.groupBy("_k", "_h").agg(F.collect_set("pos").alias("at"))
+    """``places`` (_k, _h, pos, more columns) with their line, once for each row that repeats. Texts are exchanged by row."""
+    more = [c for c in places.columns if c not in ("_k", "_h")]
+    at = places.groupBy("_k", "_h").agg(F.collect_set(F.struct(*more)).alias("at"))
     cut = _row_lines(docs).join(at, ["_k", "_h"]).select("_k", "_h", "at", F.split("text", "\n").alias("all"))
-    picked = F.transform("at", lambda p: F.struct(p.alias("pos"), F.get("all", p).alias("line")))
+    picked = F.transform("at", lambda p: F.struct(*(p[c].alias(c) for c in more), F.get("all", p["pos"]).alias("line")))
     return cut.select("_k", "_h", F.explode_outer(picked).alias("x")).select("_k", "_h", "x.*")
 
 
-def near_links(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs of distinct lines within ``edits`` of each other, as the (h1, _k, _h, pos, line) structs a and b."""
-    lines = lines_at(docs, firsts).select("line", F.xxhash64("line").alias("h1"))
-    data = lines.select("h1", F.col("line").cast("binary").alias("b"), letter_parities(F.col("line")).alias("odd"))
-    index = data.select("h1", "odd", F.explode_outer(F.array(*_index_keys(F.col("b"), edits))).alias("key"))
-    probe = data.select(
-        F.col("h1").alias("p1"), F.col("odd").alias("podd"),
-        F.explode_outer(F.array(*_probe_keys(F.col("b"), edits))).alias("key"))
-    # Equal lengths meet twice; a pair of such lines is taken both ways and once after ``distinct``.
-    pairs = index.join(
-        probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("p1"))
-        & (F.bit_count(F.col("odd").bitwiseXOR(F.col("podd"))) <= 2 * edits)
-    ).select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = lines_at(docs, firsts.join(ends, "h1", "left_semi")).select(
-        F.xxhash64("line").alias("h1"), F.struct("_k", "_h", "line", "pos").alias("x"))
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("x").alias("x")), "a").join(
-        texts.select(F.col("h1").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
-    n, m = F.octet_length("x.line"), F.octet_length("y.line")
-    longer = F.when(n >= m, F.col("x.line")).otherwise(F.col("y.line")).cast("binary")
-    shorter = F.when(n >= m, F.col("y.line")).otherwise(F.col("x.line")).cast("binary")
-    measured = both.where(F.abs(n - m) <= edits).select("x", "y", longer.alias("l"), shorter.alias("s")).select(
-        "x", "y", edit_distance(F.col("l"), F.col("s"), edits).alias("d"))
-    return measured.where(F.col("d") <= edits).select("x", "y", "d")
+def meeting_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """_k, _h, pos, key: places of distinct lines and those keys at which they meet another line of fitting length."""
+    lines = lines_at(docs, firsts.select("_k", "_h", "pos")).select(
+        "_k", "_h", "pos", F.col("line").cast("binary").alias("b"))
+    n = F.octet_length("b")
+    celled = lines.select("*", n.alias("n"), F.explode_outer(_cells(n, edits)).alias("cell"))
+    keyed = celled.select("_k", "_h", "pos", "n", F.explode_outer(
+        F.array(*_segment_keys(F.col("b"), F.col("cell"), edits, least))).alias("key"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    other = (x("_h") != y("_h")) | (x("pos") != y("pos")) | (x("_k") != y("_k"))
+    return keyed.alias("y").join(
+        keyed.alias("x"), (x("key") == y("key")) & other & (F.abs(x("n") - y("n")) <= edits), "left_semi").select(
+        "_k", "_h", "pos", "key")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """_k, _h, pos: places of the distinct lines that are within ``edits`` of an earlier one; some come repeatedly."""
+    tried = lines_at(docs, meeting_lines(docs, firsts, edits, least)).select(
+        "_k", "_h", "pos", "key", letter_parities(F.col("line")).alias("odd"), F.octet_length("line").alias("n"),
+        F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("line"))  # a character a byte, in their order
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    longer = F.when(x("n") >= y("n"), x("line")).otherwise(y("line"))
+    shorter = F.when(x("n") >= y("n"), y("line")).otherwise(x("line"))
+    ends = (F.encode(c, "ISO-8859-1") for c in (longer, shorter))
+    # In the order of their costs: a later condition is tried only if those before it hold.
+    return tried.alias("y").join(
+        tried.alias("x"), (x("key") == y("key")) & (F.abs(x("n") - y("n")) <= edits)
+        & (F.bit_count(x("odd").bitwiseXOR(y("odd"))) <= 2 * edits)
+        & (F.struct(x("_k"), x("_h"), x("line")) < F.struct(y("_k"), y("_h"), y("line")))
+        & (F.levenshtein(x("line"), y("line"), edits) >= 0) & (edit_distance(*ends, edits) <= edits), "left_semi").select(
+        "_k", "_h", "pos")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """_k, _h (the row), text (cleaned), n_lines, n_repeats (exact), n_near of every different row of ``docs``."""
     firsts = first_rows(docs, least)
-    links = near_links(docs, firsts, edits)
-    gone = links.select(F.greatest("x", "y").alias("z")).select(
-        F.xxhash64("z.line").alias("h1"), F.xxhash64("z.line", F.lit("line")).alias("h2")).distinct()
-    marked = firsts.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    kept = marked.groupBy("_k", "_h").agg(
-        F.collect_set(F.when(F.col("near").isNull(), F.col("pos"))).alias("kept"),
-        F.count("near").alias("n_near"))
-    cut = _row_lines(docs).join(kept, ["_k", "_h"], "left").select(
-        "_k", "_h", "n_near", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"),
+    near = near_lines(docs, firsts, edits, least).groupBy("_k", "_h").agg(F.collect_set("pos").alias("near"))
+    first = firsts.groupBy("_k", "_h").agg(F.collect_set(F.struct("pos")).alias("first"))
+    none = F.array().cast("array<int>")
+    cut = _row_lines(docs).join(first, ["_k", "_h"], "left").join(near, ["_k", "_h"], "left").select(
+        "_k", "_h", F.size(F.coalesce("near", none)).cast("long").alias("n_near"),
+        F.array_except(F.coalesce("first.pos", none), F.coalesce("near", none)).alias("kept"),
         F.split("text", "\n").alias("all"))
     places = F.sequence(F.lit(0), F.size("all") - 1)
     short = F.filter(places, lambda p: F.octet_length(F.get("all", p)) < least)
     cut = cut.select("*", F.when(F.col("all").isNotNull(), F.array_sort(F.array_union(short, "kept"))).alias("at"))
-    n_lines, n_near = F.coalesce(F.size("all"), F.lit(0)), F.coalesce("n_near", F.lit(0))
-    n_lines = F.when(F.col("all").isNull(), 0).otherwise(n_lines).cast("long")
+    n_near = F.col("n_near")
+    n_lines = F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long")
     n_kept = F.when(F.col("all").isNull(), 0).otherwise(F.size("at")).cast("long")
     return cut.select(
         "_k", "_h", F.array_join(F.transform("at", lambda p: F.get("all", p)), "\n").alias("text"),
-        n_lines.alias("n_lines"), (n_lines - n_kept - n_near).alias("n_repeats"), n_near.alias("n_near"))
+        n_lines.alias("n_lines"), (n_lines - n_kept - n_near).alias("n_repeats"), n_near)
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

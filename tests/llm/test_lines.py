@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,41 @@ def test_repeated_rows_are_cleaned_alike(spark):
     df = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE), (2, "x\ny"), (2, "x\ny")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in m.without_repeats(df).collect())
     assert got == [(1, BASE), (1, BASE), (2, ""), (2, "x\ny"), (2, "x\ny")]
+
+
+def test_a_crowd_makes_no_rows_of_its_pairs(spark):
+    """Many variants of one line, near each other or only alike at a segment: joins give a row a line and key at most."""
+    rng = random.Random(5)
+    docs = [(i, BASE[:30] + "".join(rng.choice("etaoin") for _ in range(20))) for i in range(50)]
+    docs += [(200 + i, BASE[:-2] + f"{i:03d}") for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    firsts = m.first_rows(df)
+    keys = [r.key for r in m.meeting_lines(df, firsts).collect()]
+    assert len(keys) <= 8 * len(docs) and max(Counter(keys).values()) >= 50
+    got = m.without_repeats(df)
+    assert {r.doc_id: r.text for r in got.collect()} == brute(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line and "key#" in line]
+    assert joins and all("Join LeftSemi" in line for line in joins), joins
+
+
+def test_pairs_at_every_place_and_length(spark):
+    """Lines of every length around the borders of the cells, each with a copy of up to two edits anywhere."""
+    rng = random.Random(11)
+    docs = []
+    for n in [*range(24, 52), 63, 64, 65, 66, 80, 81, 82, 160, 161]:
+        for _ in range(6):
+            a = [rng.choice("abcdefghij ") for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.choice([0, n // 3, n // 2, 2 * n // 3, n - 1, rng.randrange(n)])
+                b[min(at, len(b)):at + rng.randint(0, 1)] = rng.choice(["", "é", "x", "y"])
+            docs += [(len(docs), "".join(a)), (len(docs) + 1, "".join(b))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert {r.doc_id: r.text for r in m.without_repeats(df).collect()} == want
+    assert sum(t == "" for t in want.values()) > 150
+    for edits, least in ((1, 5), (3, 10)):
+        few = docs[:120]
+        got = m.without_repeats(df.where(F.col("doc_id") < len(few)), edits, least)
+        assert {r.doc_id: r.text for r in got.collect()} == brute(few, edits, least), edits
