@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PIECE = 1 << 20  # bytes of text that a Python worker works on at once, if no single text is longer
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,8 +78,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pieces(batch, texts) -> Iterator:
+    """An Arrow batch or array in slices of about ``PIECE`` bytes of its ``texts``, in order; an empty one as it is.
+
+    What Python makes of texts takes many times their size, and a worker keeps much of that for its later tasks.
+    """
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // PIECE)) + 1
+    for start, end in pairwise([0, *cuts.tolist(), len(texts)]):
+        yield batch.slice(start, end - start)
+
+
 def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, make: Callable[[], Callable], fields: str) -> DataFrame:
-    """``keep`` columns as they are and ``fields``, which are computed batch by batch from the texts.
+    """``keep`` columns as they are and ``fields``, which are computed piece by piece from the texts.
 
     ``make`` is called once for each partition; what it returns takes a list of texts (or None) and returns one Arrow
     array for each field.
@@ -89,7 +105,8 @@ def map_texts(df: DataFrame, keep: tuple[str, ...], text: str, make: Callable[[]
 
         work = make()
         for batch in batches:
-            columns = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns[:-1], *work(columns[-1].to_pylist())], schema.names)
+            for piece in pieces(batch, batch.columns[-1]):
+                columns = piece.columns
+                yield pa.RecordBatch.from_arrays([*columns[:-1], *work(columns[-1].to_pylist())], schema.names)
 
     return df.select(*keep, df[text].cast("string").alias("_text")).mapInArrow(run, schema)

@@ -3,10 +3,11 @@
 The model is a set of at most ``EXAMPLES`` labelled documents of each class (those with the smallest hashes of the id, of
 at most ``EXAMPLE_BYTES`` each; a documented bound on labelled rows, so the driver may gather it and it can be broadcast),
 as TF-IDF vectors over all their words; inverse document frequencies are counted over all documents. Examples are put in
-an order in which alike ones are neighbours and cut into blocks of ``BLOCK``. For every word the index has the largest
-weight in each block. So the largest cosine a block can hold is known before its postings are read: a few blocks of the
-highest bounds are read first, and then only those whose bound reaches the cosine of the last neighbour so far. The
-neighbours are those of the full cosine over all examples.
+an order in which alike ones are neighbours and cut into blocks of ``BLOCK``. For every word of more examples than there
+are blocks the index has the largest weight in each block; the postings of rarer words, most of the vocabulary, are all
+read, so the index is no larger than the postings. So the largest cosine a block can hold is known before its other
+postings are read: a few blocks of the highest bounds are read first, and then only those whose bound reaches the cosine of
+the last neighbour so far. The neighbours are those of the full cosine over all examples.
 
 A neighbour's vote is the square of the part of its cosine that comes from words which tell labels apart (each word
 weighted by its association, the phi coefficient among the examples), times what an example stands for in the whole
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import ship
+from caretrail.llm.common import pieces, ship
 
 EXAMPLES = 1500
 EXAMPLE_BYTES = 1 << 16
@@ -74,24 +75,38 @@ class Model:
     read: list[int] = field(default_factory=lambda: [0, 0])  # postings read, postings there, of all queries
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("starts", "block_max", "by_example", "_dense")}
+        return {k: v for k, v in vars(self).items() if k not in ("ends", "row", "starts", "block_max", "by_example", "_dense")}
 
     @property
     def blocks(self) -> int:
         return -(-len(self.ids) // BLOCK)
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where the postings of each term start, and the end of the last."""
+        return np.searchsorted(self.term, np.arange(len(self.idf) + 1))
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """The row of each common term in ``starts`` and ``block_max``; -1 for terms in no more examples than blocks."""
+        common = np.diff(self.ends) > self.blocks
+        return np.where(common, np.cumsum(common) - 1, -1)
+
     @cached_property
     def starts(self) -> np.ndarray:
-        """Where the postings of each term in each block start; one more column for the ends."""
+        """Where the postings of each common term in each block start; one more column for the ends."""
         key = self.term * np.int64(self.blocks) + self.example // BLOCK
-        grid = np.arange(len(self.idf), dtype=np.int64)[:, None] * self.blocks + np.arange(self.blocks + 1)
+        grid = np.flatnonzero(self.row >= 0)[:, None] * self.blocks + np.arange(self.blocks + 1)
         return np.searchsorted(key, grid).astype(np.int32)
 
     @cached_property
     def block_max(self) -> np.ndarray:
-        """The largest weight of each term in each block, rounded up."""
-        out = np.zeros((len(self.idf), max(1, self.blocks)), np.float32)
-        np.maximum.at(out, (self.term, self.example // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        """The largest weight of each common term in each block, rounded up."""
+        row = self.row[self.term]
+        at = np.flatnonzero(row >= 0)
+        out = np.zeros((int(self.row.max(initial=-1)) + 1, max(1, self.blocks)), np.float32)
+        np.maximum.at(out, (row[at], self.example[at] // BLOCK),
+                      np.nextafter(self.weight[at].astype(np.float32), np.float32(2)))
         return out
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +118,7 @@ class Model:
         return terms, x / np.sqrt(x @ x) if len(x) else x
 
     def _cosines(self, starts: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with all examples, those of other blocks being 0; ``starts`` are those of the query's terms.
+        """What common terms add to the cosines with all examples of ``blocks``; ``starts`` are those of these terms.
 
         Blocks next to each other are read in one go.
         """
@@ -112,12 +127,19 @@ class Model:
         blocks = np.sort(blocks)
         gaps = np.flatnonzero(np.diff(blocks) > 1)
         low = starts[:, blocks[np.concatenate([[0], gaps + 1])]].ravel()
-        n = starts[:, blocks[np.concatenate([gaps, [-1]])] + 1].ravel() - low
+        high = starts[:, blocks[np.concatenate([gaps, [-1]])] + 1].ravel()
+        return self._products(low, high, np.repeat(x, len(gaps) + 1))
+
+    def _products(self, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For all examples, the sums over the postings from each ``low`` to its ``high`` of the weights times ``x``."""
+        n = high - low
         ends = np.cumsum(n, dtype=np.int64)
+        if not len(ends):
+            return np.zeros(len(self.ids))
         self.read[0] += int(ends[-1])
         at = np.repeat(low - (ends - n), n)
         at += np.arange(len(at))
-        product = np.repeat(np.repeat(x, len(gaps) + 1), n)
+        product = np.repeat(x, n)
         product *= self.weight[at]
         return np.bincount(self.example[at], product, len(self.ids))
 
@@ -149,17 +171,22 @@ class Model:
         terms, x = self.vector(text)
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        bounds, starts = x @ self.block_max[terms], self.starts[terms]
+        self.read[1] += int((self.ends[terms + 1] - self.ends[terms]).sum())
+        row = self.row[terms]
+        is_common = row >= 0
+        rare, common, row = terms[~is_common], x[is_common], row[is_common]
+        cos = self._products(self.ends[rare], self.ends[rare + 1], x[~is_common])
+        bounds, starts = common @ self.block_max[row], self.starts[row]
+        bounds += np.maximum.reduceat(cos, np.arange(0, len(cos), BLOCK))
         order = np.argsort(-bounds, kind="stable")
-        self.read[1] += int((starts[:, -1] - starts[:, 0]).sum())
         own = self.texts.get(same(text), [])
-        cos = self._cosines(starts, x, order[:FIRST])
+        cos += self._cosines(starts, common, order[:FIRST])
         cos[own] = 0
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else 0.0
         rest = order[FIRST:]
         rest = rest[(bounds[rest] >= least - 1e-9) & (bounds[rest] > 0)]
         if len(rest):
-            cos += self._cosines(starts, x, rest)
+            cos += self._cosines(starts, common, rest)
             cos[own] = 0
         least = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
         at = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
@@ -281,11 +308,19 @@ def _scores(model: Model):
 
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
-    def work(texts: list[str | None]) -> list[pa.Array]:
-        done = {t: model.score(t) for t in dict.fromkeys(texts)}
-        out = [done[t] for t in texts]
-        evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in out]
-        return [pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)]
+    def work(batch: pa.Array) -> pa.Array:
+        done: dict[bytes, tuple] = {}  # copies are scored once
+        out = []
+        for piece in pieces(batch, batch):
+            texts = piece.to_pylist()
+            keys = list(map(same, texts))
+            for key, text in dict(zip(keys, texts, strict=True)).items():
+                if key not in done:
+                    done[key] = model.score(text)
+            evidence = [[{"doc_id": i, "cosine": c} for i, c in done[key][1]] for key in keys]
+            out.append(pa.StructArray.from_arrays(
+                [pa.array([done[key][0] for key in keys], pa.float64()), pa.array(evidence, kind)], ["score", "evidence"]))
+        return pa.concat_arrays(out)
 
     return work
 
@@ -299,11 +334,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
-        work = _scores(shared.value)
-        for batch in batches:
-            yield pa.StructArray.from_arrays(work(batch.to_pylist()), ["score", "evidence"])
+        yield from map(_scores(shared.value), batches)
 
     kind = "score double, evidence array<struct<doc_id:bigint,cosine:double>>"
     # Not taken as deterministic: a filter on the score, moved below the columns, would score every text once more.

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from caretrail.llm import common
 from caretrail.llm import toxicity as t
 from caretrail.llm.queries import op10_toxicity
 
@@ -136,3 +138,43 @@ def test_every_word_of_the_examples_counts(spark):
             want = (sum(w * y for w, y in votes) + model.scale * base) / total if total else base
             assert abs(rows[i].score - want) < 1e-9
     assert rows[102].evidence == [] and rows[101].evidence
+
+
+def rare_worded(n):
+    """Texts with common words and words that few or no others have."""
+    def letters(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+    return [f"{x} pair{letters(i // 2)} " + " ".join(f"own{letters(10 * i + j)}" for j in range(20)) for i, x in enumerate(made_up(n))]
+
+
+def test_the_index_is_no_larger_than_its_postings():
+    """A row a word and a column a block made it many times as large; rare words are read whole, with the same scores."""
+    texts = rare_worded(200)
+    toxic = [int(i % 5 == 0) for i in range(200)]
+    words = sorted({w for x in texts for w in t.words_of(x)})
+    idf = {w: 1 + i / 10_000 for i, w in enumerate(words)}
+    totals = {0: 3000, 1: 400}
+    model = t.model_of(list(range(200)), toxic, texts, {w: i for i, w in enumerate(words)}, np.array(list(idf.values())), totals)
+    assert model.blocks == 4 and len(words) > 2000
+    assert 0 < len(model.block_max) and model.starts.size + model.block_max.size < len(model.term)
+    for query in [*texts[:20], *made_up(10, 8), *rare_worded(30)[20:], "owna", "paira owna vile"]:
+        near, votes, base = plain(texts, range(200), toxic, idf, totals, query)
+        at, cos, _ = model.nearest(query)
+        assert [i for i, _ in near] == model.ids[at].tolist() and np.allclose(cos, [c for _, c in near])
+        total = sum(w for w, _ in votes) + model.scale
+        assert abs(model.score(query)[0] - (sum(w * y for w, y in votes) + model.scale * base) / total) < 1e-9
+
+
+def test_texts_are_scored_piece_by_piece(monkeypatch):
+    texts = made_up(80)
+    toxic = [int(i % 5 == 0) for i in range(80)]
+    words = sorted({w for x in texts for w in t.words_of(x)})
+    model = t.model_of(list(range(80)), toxic, texts, {w: i for i, w in enumerate(words)}, np.ones(len(words)), {0: 64, 1: 16})
+    given = [*texts, None, "", *texts[:30]]
+    want, asked, score = [model.score(x) for x in given], [], t.Model.score
+    monkeypatch.setattr(common, "PIECE", 500)
+    monkeypatch.setattr(t.Model, "score", lambda self, x: asked.append(x) or score(self, x))
+    got = t._scores(model)(pa.array(given, pa.string())).to_pylist()
+    assert [(r["score"], [(e["doc_id"], e["cosine"]) for e in r["evidence"]]) for r in got] == want
+    assert len(asked) == len({x or "" for x in given}), "copies are scored once, in whatever piece"
+    assert t._scores(model)(pa.array([], pa.string())).to_pylist() == []
